@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.functions.numbers import row_sum
-from meterflow.functions.timing import bucket, instant, step_interval
+from meterflow.functions.timing import bucket, floor_to, instant, step_interval
 from meterflow.operators.filters import closed_only
 from meterflow.operators.ordered import plain_delta
 
@@ -39,8 +39,14 @@ def counter_rollup(
 def carry_in(
     df: DataFrame, keys: Sequence[str], ts: str, step: str, before, cumuls: Mapping[str, str], gts: str = "gts"
 ) -> DataFrame:
-    """Last raw counters of every series before a point in time, as a seed for ``counter_delta``."""
-    older = df.where(F.col(ts) < instant(df, ts, before))
+    """Last raw counters of every series before a point in time, as a seed for ``counter_delta``.
+
+    Only the bucket of that time and the one before it can be adjacent to what follows,
+    so nothing older is read.
+    """
+    edge = instant(df, ts, before)
+    oldest = (floor_to(edge, step) - step_interval(step)).cast(df.schema[ts].dataType)
+    older = df.where((F.col(ts) >= oldest) & (F.col(ts) < edge))
     # max_by over plain number columns keeps hash aggregation; a struct would force a sort.
     last = older.groupBy(*keys).agg(
         F.max(ts).alias("__last"), *[F.max_by(src, ts).alias(new) for new, src in cumuls.items()]

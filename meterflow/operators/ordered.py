@@ -32,9 +32,15 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> D
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", partitions: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "pos",
+    size: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add the 1-based place of each row in its series; ``order`` should be total.
+    """Add the 1-based place of each row in its series, and with ``size`` the rows of the
+    series; ``order`` should be total.
 
     One range shuffle, one write. The partition number is stored with the rows, so
     counting and numbering see the same split even if executors are lost.
@@ -53,10 +59,16 @@ def positions(
     counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift")
+        *keys,
+        "__part",
+        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__size"),
     )
     placed = join_on(ranged, small_side(offsets), [*keys, "__part"], "left")
-    return placed.select(*df.columns, (F.col("__row") + F.col("__shift")).alias(name))
+    added = [(F.col("__row") + F.col("__shift")).alias(name)]
+    if size is not None:
+        added.append(F.col("__size").alias(size))
+    return placed.select(*df.columns, *added)
 
 
 def with_trailing(
@@ -77,7 +89,7 @@ def with_trailing(
     block = F.floor((F.col("__pos") - 1) / size)
     in_tail = F.pmod(F.col("__pos") - 1, F.lit(size)) >= size - back
     homes = F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = positions(df, keys, order, "__pos", partitions).select(
+    spread = positions(df, keys, order, "__pos", partitions=partitions).select(
         "*", block.alias("__own"), F.explode(homes).alias("__block")
     )
     window = Window.partitionBy(*keys, "__block").orderBy("__pos")

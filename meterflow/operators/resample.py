@@ -113,11 +113,9 @@ def _medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], **sizing)
         .where(F.col("__v").isNotNull())
     )
     group = [*keys, "__col"]
-    placed = positions(long, group, ["__v"], "__pos", **sizing)
-    sizes = placed.groupBy(*group).agg(F.max("__pos").alias("__n"))
-    low, high = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
-    middles = sizes.select(*group, F.explode(F.array_distinct(F.array(low, high))).alias("__pos"))
-    middle = join_on(placed, middles, [*group, "__pos"], "left_semi")
+    placed = positions(long, group, ["__v"], "__pos", "__n", **sizing)
+    half = (F.col("__n") + 1) / 2
+    middle = placed.where(F.col("__pos").between(F.floor(half), F.ceil(half)))
     return middle.groupBy(*keys).agg(*[F.avg(F.when(F.col("__col") == c, F.col("__v"))).alias(c) for c in cols])
 
 

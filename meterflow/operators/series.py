@@ -98,7 +98,8 @@ def resolve_series(
     """
     if available is not None:
         routing = routing.where(F.col("dataset").isin(*available))
-    routed = join_on(requests, routing.select(*on, "dataset"), on, "left")
+    # A few types make up most requests: joining by shuffle would pile them up on their keys.
+    routed = join_on(requests, small_side(routing.select(*on, "dataset")), on, "left")
     broken = routed.where(F.col("dataset").isNull()).select(request).distinct()
     return join_on(routed.where(F.col("dataset").isNotNull()), broken, [request], "left_anti")
 
@@ -108,6 +109,6 @@ def label_series(df: DataFrame, names: DataFrame | Mapping[str, str], code: str,
     if isinstance(names, Mapping):
         lookup = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
         return df.select("*", F.coalesce(F.try_element_at(lookup, F.col(code)), F.col(code)).alias(name))
-    # Whether the names are broadcast is left to the planner, which knows their size.
-    named = join_on(df, names.select(F.col(names.columns[0]).alias(code), F.col(names.columns[1]).alias("__name")), [code], "left")
+    lookup = names.select(F.col(names.columns[0]).alias(code), F.col(names.columns[1]).alias("__name"))
+    named = join_on(df, small_side(lookup), [code], "left")
     return named.select(*df.columns, F.coalesce("__name", F.col(code)).alias(name))

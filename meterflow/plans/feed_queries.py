@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.plans.registry import COUNTERS_SQL, counters, ntz, query, table
+from meterflow.schemas import METER_FEED
 from meterflow.session import scratch_path
 from meterflow.sources.climate import explode_measures
 from meterflow.sources.files import page_columns, read_counter_csv, read_day_files, read_meter_csv, read_meter_xml
@@ -93,8 +94,6 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     l_shipdate AS "recordTimestamp", CAST(l_quantity AS BIGINT) AS "heatingEnergy", l_discount AS temp1 FROM lineitem""",
 )
 def meter_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meterflow.schemas import METER_FEED
-
     given = {
         "rowId": F.col("l_linenumber").cast("bigint"),
         "accessNumber": F.col("l_orderkey"),
@@ -216,8 +215,7 @@ def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stream-delta")
     writer = delta_stream(_rolled(spark, sf_dir), ["series"], "gts", "1 hour", {"use": "cumul"}, f"{path}/rows")
     run(writer, f"{path}/checkpoint").awaitTermination()
-    rows = spark.read.parquet(f"{path}/rows").select("series", ntz("gts"), "cnt", "peak", "cumul", "use")
-    return rows
+    return spark.read.parquet(f"{path}/rows").select("series", ntz("gts"), "cnt", "peak", "cumul", "use")
 
 
 @query(

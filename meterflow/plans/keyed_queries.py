@@ -9,6 +9,7 @@ from meterflow.functions import unit_factor
 from meterflow.operators.keyed import (
     distinct_readings,
     duplicate_keys,
+    first_per_key,
     insert_ignore,
     insert_replace,
     union_by,
@@ -36,8 +37,7 @@ def _loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "event_id",
         "value",
     )
-    none = rows.where(F.col("event_id").isNull())
-    stored = insert_ignore(none, rows.where("hour < timestamp_ntz'2024-01-20 00:00:00'"), _KEY, ["event_id"])
+    stored = first_per_key(rows.where("hour < timestamp_ntz'2024-01-20 00:00:00'"), _KEY, ["event_id"])
     return stored, rows.where("hour >= timestamp_ntz'2024-01-10 00:00:00'")
 
 
@@ -280,9 +280,8 @@ def _measure_sql() -> str:
     FROM s JOIN w USING (id, t)""",
 )
 def pivot_readings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records loaded with insert-ignore, then turned into readings."""
+    """Records, the first of each key, turned into readings."""
     records = meter_records(spark, sf_dir).withColumn("quantity", F.col("recordValue").cast("bigint"))
-    none = records.where(F.col("id").isNull())
     key = ["address", "id", "recordId", "recordTimestamp"]
-    stored = insert_ignore(none, records, key, ["l_orderkey", "l_linenumber", "quantity"])
+    stored = first_per_key(records, key, ["l_orderkey", "l_linenumber", "quantity"])
     return pivot_readings(stored)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType, TimestampNTZType, TimestampType
 
 from meterflow.functions.timing import ISO_FORMAT, from_ns, parse_ts, to_ns
-from meterflow.schemas import CIRCUITS
+from meterflow.schemas import CIRCUITS, POWER_STATS, WATER_STATS
 
 
 def scan(spark: SparkSession, table: str) -> DataFrame:
@@ -68,15 +68,13 @@ def _stats_rows(rollup: DataFrame, schema: StructType, gts: str, count: str, pre
     return rollup.select(*[value(field) for field in schema])
 
 
-def power_stats_rows(rollup: DataFrame, gts: str = "gts", count: str = "measures_count", prev: str = "prev_gts") -> DataFrame:
-    from meterflow.schemas import POWER_STATS
-
+def power_stats_rows(
+    rollup: DataFrame, gts: str = "gts", count: str = "measures_count", prev: str = "prev_gts"
+) -> DataFrame:
     return _stats_rows(rollup, POWER_STATS, gts, count, prev)
 
 
 def water_stats_rows(rollup: DataFrame, gts: str = "gts", count: str = "cnt", prev: str = "prev_gts") -> DataFrame:
-    from meterflow.schemas import WATER_STATS
-
     return _stats_rows(rollup, WATER_STATS, gts, count, prev)
 
 
@@ -133,3 +131,7 @@ def write_csv(df: DataFrame, path: str, na_rep: str = "", ts_format: str = ISO_F
     lines = csv_lines(df, na_rep, ts_format).select("line", first.alias("__first"))
     text = F.when(F.col("__first"), F.concat_ws("\n", F.lit(header), F.col("line"))).otherwise(F.col("line"))
     lines.select(text.alias("value")).write.mode(mode).text(path)
+    spark = df.sparkSession
+    if spark.read.text(path).isEmpty():
+        # No rows: the header alone, as readers of the export expect one.
+        spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("append").text(path)

@@ -93,7 +93,7 @@ def delta_stream(
 
     def store(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        low, high = batch.agg(F.min(gts), F.max(gts)).first()
+        low, high = batch.agg(*[f(gts).cast("timestamp_ntz") for f in (F.min, F.max)]).first()
         if low is not None:
             # Two times per batch reach the driver; they prune the stored days and row groups.
             after, until = instant(batch, gts, low) - step_interval(step), instant(batch, gts, high)
