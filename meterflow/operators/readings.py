@@ -12,16 +12,30 @@ from meterflow.operators.ordered import join_on
 from meterflow.schemas import MEASURES
 
 
-def scaled(value: Column, factor: Column, kind: str) -> Column:
-    """One record value in the unit of its measure; whole numbers are cut towards zero."""
-    number = value.try_cast("double")
+def _ids(*kinds: str) -> list[int]:
+    return [number for number, (_, kind) in MEASURES.items() if kind in kinds]
+
+
+def record_values(number: Column, value: Column, factor: Column) -> dict[str, Column]:
+    """The value of a record as whole number, real number or text, whichever its measure takes.
+
+    Whole numbers are cut towards zero after scaling.
+    """
+    parsed = value.try_cast("double")
+    whole = (
+        F.when(number.isin(_ids("scaled")), factor * parsed)
+        .when(number.isin(_ids("litres")), factor * parsed * F.lit(1000))
+        .when(number.isin(_ids("plain")), parsed)
+    )
     return {
-        "scaled": lambda: (factor * number).cast("bigint"),
-        "litres": lambda: (factor * number * F.lit(1000)).cast("bigint"),
-        "plain": lambda: number.cast("bigint"),
-        "degrees": lambda: F.round(factor * number, 6),
-        "text": lambda: value.cast("string"),
-    }[kind]()
+        "whole": whole.cast("bigint"),
+        "real": F.when(number.isin(_ids("degrees")), F.round(factor * parsed, 6)),
+        "text": F.when(number.isin(_ids("text")), value.cast("string")),
+    }
+
+
+#: How a measure is read -> where ``record_values`` puts it.
+_PLACES = {"scaled": "whole", "litres": "whole", "plain": "whole", "degrees": "real", "text": "text"}
 
 
 def pivot_readings(records: DataFrame) -> DataFrame:
@@ -30,13 +44,11 @@ def pivot_readings(records: DataFrame) -> DataFrame:
     Measures belong to (device, time). Every access number seen for that device and time
     gets a row with the same measures.
     """
-    value, factor = F.col("recordValue"), F.col("__factor")
-    known = records.select("id", "recordTimestamp", "recordId", "recordValue", unit_factor("recordUnit").alias("__factor"))
+    number = F.col("recordId")
+    values = record_values(number, F.col("recordValue"), unit_factor("recordUnit"))
+    known = records.select("id", "recordTimestamp", "recordId", *[col.alias(name) for name, col in values.items()])
     wide = known.groupBy("id", "recordTimestamp").agg(
-        *[
-            F.max(F.when(F.col("recordId") == number, scaled(value, factor, kind))).alias(name)
-            for number, (name, kind) in MEASURES.items()
-        ]
+        *[F.max(F.when(number == n, F.col(_PLACES[kind]))).alias(name) for n, (name, kind) in MEASURES.items()]
     )
     # An access number keeps one row per device and time, whatever bus addresses it came by.
     seen = (

@@ -71,6 +71,18 @@ def _label(start: Column, step: tuple[int, str], tz: str, label: str) -> Column:
     return to_utc(wall - day if label == "left" else wall + span - day, tz)
 
 
+def _range_of(rolled: DataFrame, keys: Sequence[str], at: str, cols: Sequence[Column]) -> DataFrame:
+    """First and last bucket of every key of a rollup.
+
+    Counting the values as well keeps all columns of the rollup in use here. Both uses of it
+    are then the same plan, and Spark computes it once and reuses the exchange.
+    """
+    seen = [F.count(c).alias(f"__n{i}") for i, c in enumerate(cols)]
+    bounds = rolled.groupBy(*keys).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"), *seen)
+    in_use = F.greatest(F.lit(0), *[F.col(f"__n{i}") for i in range(len(cols))]) >= 0
+    return bounds.where(F.col("__lo").isNotNull() & in_use).select(*keys, "__lo", "__hi")
+
+
 def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str], tz: str) -> DataFrame:
     """Every bucket from ``__lo`` to ``__hi`` of each key.
 
@@ -149,9 +161,9 @@ def resample(
     else:
         rolled = placed.groupBy(*group).agg(*[_aggregate(how, F.col(c), F.col("__ts")).alias(c) for c in cols])
     if fill:
-        # Only the key and time columns are read for the range.
-        bounds = placed.groupBy(*keys).agg(F.min("__b").alias("__lo"), F.max("__b").alias("__hi"))
-        spine = _spine(bounds.where(F.col("__lo").isNotNull()), keys, parsed, tz)
+        # A count is never null, so counting it would be dropped from the plan.
+        used = [F.nullif(F.col(c), F.lit(-1)) if how == "count" else F.col(c) for c in cols]
+        spine = _spine(_range_of(rolled, keys, "__b", used), keys, parsed, tz)
         rolled = join_on(spine, rolled, group, "left")
         if how == "count":
             rolled = rolled.fillna(0, cols)
@@ -169,7 +181,7 @@ def daily_stats(
     )
     if not fill:
         return stats
-    bounds = placed.groupBy(*keys).agg(F.min("ts").alias("__lo"), F.max("ts").alias("__hi")).where(F.col("__lo").isNotNull())
+    bounds = _range_of(stats, keys, "ts", [F.col(c) for c in ("min", "max", "avg")])
     days = bounds.select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr("INTERVAL 1 DAY"))).alias("ts"))
     return join_on(days, stats, [*keys, "ts"], "left")
 
