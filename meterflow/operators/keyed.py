@@ -27,7 +27,7 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def rows_to_insert(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows of ``new`` an insert-ignore would add; append these to the stored table."""
-    return join_on(first_per_key(new, keys, order), target.select(*keys), keys, "left_anti")
+    return join_on(first_per_key(new, keys, order), target.select(*keys).distinct(), keys, "left_anti")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -31,23 +31,21 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> D
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "pos",
-    size: str | None = None,
-    partitions: int | None = None,
+def _ranged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None, copies: bool = False
 ) -> DataFrame:
-    """Add the 1-based place of each row in its series, and with ``size`` the rows of the
-    series; ``order`` should be total.
+    """Rows in series order, with the number of their partition and their place in it stored beside them.
 
-    One range shuffle, one write. The partition number is stored with the rows, so
-    counting and numbering see the same split even if executors are lost.
+    Counting and numbering later see the same split, even if executors are lost. Rows equal
+    in key and order go to one partition; ``copies`` gives each a stored number first, so
+    that a mass of equal rows is split as well.
     """
-    keys, sort = list(keys), [*keys, *order]
+    sort = [*keys, *order]
+    if copies:
+        df = written(df.withColumn("__copy", F.monotonically_increasing_id()), "copies")
+        sort.append("__copy")
     split = df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)
-    ranged = written(
+    return written(
         split.sortWithinPartitions(*sort).select(
             "*",
             F.spark_partition_id().alias("__part"),
@@ -55,22 +53,63 @@ def positions(
         ),
         "ranged",
     )
-    # At most one row per key and partition a key touches: partitions + keys rows in all.
-    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+
+
+def _with_offsets(ranged: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
+    """Beside each row: what its series holds in earlier partitions, in all, and its first place here.
+
+    The sums have one row per key and partition the key touches: partitions + keys rows in all.
+    """
+    sums = ranged.groupBy(*keys, "__part").agg(amount.alias("__n"), F.min("__row").alias("__first"))
+    series = Window.partitionBy(*keys)
+    earlier = series.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
         *keys,
         "__part",
-        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("__size"),
+        "__first",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__n").over(series).alias("__size"),
     )
-    placed = join_on(ranged, small_side(offsets), [*keys, "__part"], "left")
-    added = [(F.col("__row") + F.col("__shift")).alias(name)]
+    return join_on(ranged, small_side(offsets), [*keys, "__part"], "left")
+
+
+def positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "pos",
+    size: str | None = None,
+    partitions: int | None = None,
+    copies: bool = False,
+) -> DataFrame:
+    """Add the 1-based place of each row in its series, and with ``size`` the rows of the series.
+
+    ``order`` should tell the rows of a series apart, as the unique keys of the stored
+    tables do; set ``copies`` for tables that may hold many equal rows.
+    """
+    placed = _with_offsets(_ranged(df, keys, order, partitions, copies), keys, F.count(F.lit(1)))
+    added = [(F.col("__before") + F.col("__row") - F.col("__first") + 1).alias(name)]
     if size is not None:
         added.append(F.col("__size").alias(size))
     return placed.select(*df.columns, *added)
 
 
+def running_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    count: str,
+    name: str = "upto",
+    size: str = "total",
+    partitions: int | None = None,
+) -> DataFrame:
+    """For rows that stand for ``count`` equal ones each: how many there are up to this row, and in all."""
+    placed = _with_offsets(_ranged(df, keys, order, partitions), keys, F.sum(count))
+    here = Window.partitionBy(*keys, "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("__before") + F.sum(count).over(here)
+    return placed.select(*df.columns, upto.alias(name), F.col("__size").alias(size))
+
+
 def with_trailing(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,6 +118,7 @@ def with_trailing(
     columns: Callable[[WindowSpec], dict[str, Column]],
     block_rows: int = BLOCK_ROWS,
     partitions: int | None = None,
+    copies: bool = False,
 ) -> DataFrame:
     """Add columns that look at most ``back`` rows back, in blocks of bounded size.
 
@@ -89,7 +129,7 @@ def with_trailing(
     block = F.floor((F.col("__pos") - 1) / size)
     in_tail = F.pmod(F.col("__pos") - 1, F.lit(size)) >= size - back
     homes = F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = positions(df, keys, order, "__pos", partitions=partitions).select(
+    spread = positions(df, keys, order, "__pos", partitions=partitions, copies=copies).select(
         "*", block.alias("__own"), F.explode(homes).alias("__block")
     )
     window = Window.partitionBy(*keys, "__block").orderBy("__pos")

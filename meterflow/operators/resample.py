@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.functions.timing import day_key, step_micros, to_local, to_utc
-from meterflow.operators.ordered import join_on, positions
+from meterflow.operators.ordered import join_on, running_counts
 
 #: Request step letters.
 _STEP_LETTERS = {
@@ -118,17 +118,21 @@ def _aggregate(how: str, value: Column, ts: Column) -> Column:
 def _medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], **sizing) -> DataFrame:
     """Exact medians per group: the middle places of the ordered values.
 
-    Places come from ``positions``, so the values of one group are never held in one task.
+    Equal values are counted first, and the counts are added up across partitions, so
+    neither a large group nor a frequent value ends up in one task.
     """
-    long = (
-        df.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v")) for c in cols])))
-        .where(F.col("__v").isNotNull())
-    )
+    pairs = [F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v")) for c in cols]
+    long = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("__v").isNotNull())
     group = [*keys, "__col"]
-    placed = positions(long, group, ["__v"], "__pos", "__n", **sizing)
+    counted = long.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_counts(counted, group, ["__v"], "__c", "__upto", "__n", **sizing)
+
+    def at(place: Column, col: str) -> Column:
+        holds = (F.col("__upto") - F.col("__c") < place) & (place <= F.col("__upto"))
+        return F.max(F.when(holds & (F.col("__col") == col), F.col("__v")))
+
     half = (F.col("__n") + 1) / 2
-    middle = placed.where(F.col("__pos").between(F.floor(half), F.ceil(half)))
-    return middle.groupBy(*keys).agg(*[F.avg(F.when(F.col("__col") == c, F.col("__v"))).alias(c) for c in cols])
+    return placed.groupBy(*keys).agg(*[((at(F.floor(half), c) + at(F.ceil(half), c)) / 2).alias(c) for c in cols])
 
 
 def resample(

@@ -63,14 +63,14 @@ def counter_minute_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "counter_use_seeded",
-    f"""WITH {COUNTERS_SQL}, {_HOURS_SQL.replace("FROM m", "FROM m WHERE ts < TIMESTAMP '2024-01-29 12:00:00'")}
+    f"""WITH {COUNTERS_SQL}, {_HOURS_SQL.replace("FROM m", "FROM m WHERE ts < TIMESTAMP '2024-01-30 22:00:00'")}
     SELECT b.series, b.gts, b.cnt, b.peak, b.cumul, b.cumul - p.cumul AS use
     FROM b LEFT JOIN b p ON p.series = b.series AND p.gts = b.gts - INTERVAL 1 HOUR""",
 )
 def counter_use_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs: up to a stored bucket, then on from there with carried-in counters. Equals one run over all."""
     split = "2024-01-15 00:00:00"
-    rows = closed_only(counters(spark, sf_dir), "ts", "1 hour", "2024-01-29 12:34:56")
+    rows = closed_only(counters(spark, sf_dir), "ts", "1 hour", "2024-01-30 22:34:56")
     first, second = rows.where(f"ts < timestamp_ntz'{split}'"), rows.where(f"ts >= timestamp_ntz'{split}'")
     seed = carry_in(rows, ["series"], "ts", "1 hour", split, {"cumul": "cumul"})
     use = {"use": "cumul"}
@@ -313,7 +313,7 @@ def _utc_of_local(wall: str) -> str:
     f"""WITH {COUNTERS_SQL}, {_POWER_SQL},
     t AS (SELECT gts AS ts, {_sum_sql("use")} AS all_use, {_sum_sql("cumul")} AS all_cumul,
           greatest({", ".join(f"c{n}_peak" for n in CIRCUITS)}) AS all_peak, measures_count FROM power
-          WHERE gts >= {_utc_of_local("TIMESTAMP '2024-01-05'")} AND gts < {_utc_of_local("TIMESTAMP '2024-01-26'")})
+          WHERE gts >= {_utc_of_local("TIMESTAMP '2024-01-01'")} AND gts < {_utc_of_local("TIMESTAMP '2024-02-01'")})
     SELECT {_utc_of_local("date_trunc('day', " + _LOCAL_HELSINKI.format("ts") + ")")} AS ts,
     CAST(sum(all_use) AS BIGINT) AS all_use, CAST(sum(all_cumul) AS BIGINT) AS all_cumul,
     CAST(sum(all_peak) AS BIGINT) AS all_peak, CAST(sum(measures_count) AS BIGINT) AS measures_count
@@ -321,7 +321,7 @@ def _utc_of_local(wall: str) -> str:
 )
 def power_stats_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.power_stats(
-        power_statistics(spark, sf_dir), mindate="20240105", maxdate="20240125", tz="Europe/Helsinki", aggrto="D"
+        power_statistics(spark, sf_dir), mindate="20240101", maxdate="20240131", tz="Europe/Helsinki", aggrto="D"
     )
 
 
@@ -329,11 +329,11 @@ def power_stats_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     "energy_water_request",
     f"""WITH {COUNTERS_SQL}, {_WATER_SQL}
     SELECT gts AS ts, c1_delta, c3_delta FROM water
-    WHERE gts >= {_utc_of_local("TIMESTAMP '2024-01-10'")} AND gts < {_utc_of_local("TIMESTAMP '2024-01-13'")}""",
+    WHERE gts >= {_utc_of_local("TIMESTAMP '2024-01-01'")} AND gts < {_utc_of_local("TIMESTAMP '2024-02-01'")}""",
 )
 def energy_water_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.energy_water(
-        water_stats(spark, sf_dir), ["c1_delta", "c3_delta"], "20240110", "20240112", "Europe/Helsinki"
+        water_stats(spark, sf_dir), ["c1_delta", "c3_delta"], "20240101", "20240131", "Europe/Helsinki"
     )
 
 

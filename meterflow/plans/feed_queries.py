@@ -175,7 +175,8 @@ def meter_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    rows = ingest_stream(spark, sf_dir, schema, glob="events.parquet")
+    # A file source wants a folder or a pattern; this pattern fits the table as one file or as many.
+    rows = ingest_stream(spark, f"{sf_dir}/event[s].parquet", schema)
     return rows.select(
         F.col("event_type").alias("series"),
         "user_id",

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.functions.numbers import row_max, row_sum
 from meterflow.operators.filters import for_series, local_range, project
 from meterflow.operators.resample import daily_stats, resample
-from meterflow.operators.series import merge_series
+from meterflow.operators.series import merge_series, resolve_series
 from meterflow.operators.shape import last_per_day
 from meterflow.schemas import CIRCUITS
 
@@ -41,6 +41,18 @@ def _resampled(df: DataFrame, tz: str, aggrto: str | None, aggrhow: str, aggrlab
     return df if aggrto is None else resample(df, "ts", aggrto, aggrhow, aggrlabel, tz)
 
 
+def datasets_for(
+    spark: SparkSession, routing: DataFrame, datasets: Mapping[str, DataFrame], device: str, datatypes: Sequence[str]
+) -> dict[str, DataFrame] | None:
+    """The table that serves each requested type of a device; ``None`` when any is not served.
+
+    One request names a handful of types, so its resolved pairs come to the driver.
+    """
+    wanted = spark.createDataFrame([(0, device, t) for t in datatypes], "request int, device string, datatype string")
+    routed = {r["datatype"]: datasets[r["dataset"]] for r in resolve_series(wanted, routing, available=list(datasets)).collect()}
+    return routed if routed else None
+
+
 def with_house_totals(stats: DataFrame, datatypes: Sequence[str]) -> DataFrame:
     """Whole-house columns, computed only when asked: sums of use and counters, highest peak."""
     makers = {"all_use": row_sum, "all_cumul": row_sum, "all_peak": row_max}
@@ -112,9 +124,17 @@ def combined(
 
 
 def clima_daily(
-    events: DataFrame, datatype: str, device: str, tz: str = "UTC", fill: bool = True, columns: Mapping[str, str] | None = None
+    events: DataFrame,
+    datatype: str,
+    device: str | None,
+    tz: str = "UTC",
+    fill: bool = True,
+    columns: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Daily min, max and mean of one climate series, with empty days unless ``fill`` is off."""
+    """Daily min, max and mean of one climate series, with empty days unless ``fill`` is off.
+
+    Without a device the type is taken over all devices.
+    """
     c = {"source": "sourceId", "type": "eventType", "ts": "eventTimestamp", "value": "value", **(columns or {})}
     series = for_series(events, **{c["source"]: device, c["type"]: datatype})
     return daily_stats(series, c["ts"], c["value"], tz, fill=fill)
@@ -123,7 +143,7 @@ def clima_daily(
 def clima_events(
     events: DataFrame,
     datatypes: Sequence[str],
-    device: str,
+    device: str | None,
     mindate=None,
     maxdate=None,
     tz: str = "UTC",

@@ -144,13 +144,13 @@ def daily_rollup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "clima_daily",
     f"""WITH s AS (SELECT CAST({_LOCAL} AS DATE) AS d, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg
-    FROM events WHERE event_type = 'click' AND user_id = 7 GROUP BY 1)
+    FROM events WHERE event_type = 'click' GROUP BY 1)
     SELECT CAST(r.d AS VARCHAR) AS ts, min, max, avg FROM
     (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM s) r LEFT JOIN s USING (d)""",
 )
 def clima_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"source": "user_id", "type": "event_type", "ts": "ts"}
-    stats = requests.clima_daily(_events(spark, sf_dir), "click", 7, _ZONE, columns=names)
+    stats = requests.clima_daily(_events(spark, sf_dir), "click", None, _ZONE, columns=names)
     return stats.select(F.col("ts").cast("string").alias("ts"), "min", "max", F.round("avg", 6).alias("avg"))
 
 
@@ -158,13 +158,13 @@ def clima_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     "clima_events",
     f"""SELECT ts, max(CASE WHEN event_type = 'click' THEN value END) AS click,
     max(CASE WHEN event_type = 'view' THEN value END) AS view FROM events
-    WHERE user_id = 7 AND event_type IN ('click', 'view')
-    AND ts >= {_utc("TIMESTAMP '2024-01-03'")} AND ts < {_utc("TIMESTAMP '2024-01-26'")} GROUP BY 1""",
+    WHERE event_type IN ('click', 'view')
+    AND ts >= {_utc("TIMESTAMP '2024-01-01'")} AND ts < {_utc("TIMESTAMP '2024-02-01'")} GROUP BY 1""",
 )
 def clima_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"source": "user_id", "type": "event_type", "ts": "ts"}
     return requests.clima_events(
-        _events(spark, sf_dir), ["click", "view"], 7, "20240103", "20240125", _ZONE, columns=names
+        _events(spark, sf_dir), ["click", "view"], None, "20240101", "20240131", _ZONE, columns=names
     )
 
 

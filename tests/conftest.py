@@ -21,7 +21,6 @@ def spark(tmp_path_factory):
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
             "spark.sql.warehouse.dir": str(base / "warehouse"),
-            "spark.checkpoint.dir": str(base / "checkpoints"),
             "spark.sql.catalogImplementation": "in-memory",
         },
     )

@@ -162,6 +162,16 @@ def test_ordered_operators_match_brute_force(spark, block_rows):
     assert {(r.k, r.i): (r.d, r.delta_i) for r in got} == want_delta
 
 
+def test_equal_rows_are_split(spark):
+    """Most rows are copies of one row; they still get places of their own, over many partitions."""
+    df = spark.createDataFrame([("k", 5)] * 200 + [("k", i) for i in range(5)], "k string, i int")
+    got = positions(df, ["k"], ["i"], partitions=8, copies=True)
+    assert sorted(r.pos for r in got.collect()) == list(range(1, 206))
+    assert [r.i for r in sorted(got.collect(), key=lambda r: r.pos)] == [0, 1, 2, 3, 4] + [5] * 200
+    got = prev_row(df, ["k"], ["i"], ["i"], partitions=8, copies=True, block_rows=20)
+    assert sorted((r.i, r.prev_i) for r in got.collect()) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)] + [(5, 5)] * 199
+
+
 @pytest.mark.parametrize("partitions", [1, 5, 16])
 def test_positions(spark, partitions):
     data = [("hot", i) for i in range(100)] + [("b", i) for i in range(3)] + [(None, 1)]

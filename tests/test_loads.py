@@ -126,5 +126,10 @@ def test_combined(spark, rows):
     assert requests.combined(el, wat, "indirect0", *days).columns == ["ts", "c1_delta", "c4_use", "c3_use", "c3_delta"]
     assert rows(requests.combined(el, wat, "indirect0", *days, aggrto="H")) == [("2024-01-01 00:00:00", 8, 11, 3, 10)]
     assert rows(requests.energy_water(wat, ["c2_delta"], *days)) == [("2024-01-01 00:02:00", 8), ("2024-01-01 00:03:00", 1)]
+    routing = spark.createDataFrame([("house", "c3_use", "el"), ("house", "c2_delta", "wat"), ("house", "CO2", "air")], schemas.ROUTING)
+    served = requests.datasets_for(spark, routing, {"el": el, "wat": wat}, "house", ["c3_use", "c2_delta"])
+    assert served["c3_use"] is el and served["c2_delta"] is wat
+    for wrong in (["c3_use", "CO2"], ["c3_use", "none"]):
+        assert requests.datasets_for(spark, routing, {"el": el, "wat": wat}, "house", wrong) is None
     last = requests.daily_last(el.withColumn("id", F.col("x")), "id", ["c3_use"], "gts")
     assert rows(last) == [("2024-01-01 00:02:00", 2)]
