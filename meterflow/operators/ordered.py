@@ -1,9 +1,10 @@
 """Ordered work inside series of any size.
 
 A plain window sorts a whole series in one task, which fails when one series
-holds a large share of all rows. Here rows are range partitioned on key *and*
-order, so a long series is spread over many tasks, and each row gets its place in
-the series from small per-partition counts.
+holds a large share of all rows. Here the rows are stored and counted first. A table
+small enough for one task gets the plain window. Anything larger is range
+partitioned on key *and* order, so a long series is spread over many tasks, and each
+row gets its place in the series from small per-partition counts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.window import WindowSpec
 
 from meterflow.session import small_side, written
 
-#: Rows one task sorts for a window; longer series are cut into blocks of this size.
+#: Rows one task may sort for a window; longer series are cut into blocks of this size.
 BLOCK_ROWS = 500_000
 
 
@@ -31,21 +32,29 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> D
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
-def _ranged(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None, copies: bool = False
+def _stored(df: DataFrame, block_rows: int) -> tuple[DataFrame, bool]:
+    """The rows with a number each, stored; and whether one task could hold them all.
+
+    The number tells equal rows apart, so that a mass of them can be split as well. Storing
+    also spares the second run over the input that sampling for the ranges would need.
+    """
+    rows = written(df.withColumn("__copy", F.monotonically_increasing_id()), "rows")
+    return rows, rows.count() <= block_rows
+
+
+def _with_offsets(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, partitions: int | None
 ) -> DataFrame:
-    """Rows in series order, with the number of their partition and their place in it stored beside them.
+    """Rows in ranges of key and order. Beside each: its partition and place there, and what
+    its series holds in earlier partitions and in all.
 
-    Counting and numbering later see the same split, even if executors are lost. Rows equal
-    in key and order go to one partition; ``copies`` gives each a stored number first, so
-    that a mass of equal rows is split as well.
+    Partition and place are stored, so counting and numbering see the same split even if
+    executors are lost. The sums have one row per key and partition the key touches:
+    partitions + keys rows in all.
     """
-    sort = [*keys, *order]
-    if copies:
-        df = written(df.withColumn("__copy", F.monotonically_increasing_id()), "copies")
-        sort.append("__copy")
-    split = df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)
-    return written(
+    sort = [*keys, *order, "__copy"]
+    split = rows.repartitionByRange(partitions, *sort) if partitions else rows.repartitionByRange(*sort)
+    ranged = written(
         split.sortWithinPartitions(*sort).select(
             "*",
             F.spark_partition_id().alias("__part"),
@@ -53,13 +62,6 @@ def _ranged(
         ),
         "ranged",
     )
-
-
-def _with_offsets(ranged: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
-    """Beside each row: what its series holds in earlier partitions, in all, and its first place here.
-
-    The sums have one row per key and partition the key touches: partitions + keys rows in all.
-    """
     sums = ranged.groupBy(*keys, "__part").agg(amount.alias("__n"), F.min("__row").alias("__first"))
     series = Window.partitionBy(*keys)
     earlier = series.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,24 +75,28 @@ def _with_offsets(ranged: DataFrame, keys: Sequence[str], amount: Column) -> Dat
     return join_on(ranged, small_side(offsets), [*keys, "__part"], "left")
 
 
+def _positions(
+    rows: DataFrame, small: bool, keys: Sequence[str], order: Sequence[str], partitions: int | None
+) -> tuple[DataFrame, Column, Column]:
+    if small:
+        series = Window.partitionBy(*keys)
+        return rows, F.row_number().over(series.orderBy(*order, "__copy")), F.count(F.lit(1)).over(series)
+    placed = _with_offsets(rows, keys, order, F.count(F.lit(1)), partitions)
+    return placed, F.col("__before") + F.col("__row") - F.col("__first") + 1, F.col("__size")
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "pos",
     size: str | None = None,
+    block_rows: int = BLOCK_ROWS,
     partitions: int | None = None,
-    copies: bool = False,
 ) -> DataFrame:
-    """Add the 1-based place of each row in its series, and with ``size`` the rows of the series.
-
-    ``order`` should tell the rows of a series apart, as the unique keys of the stored
-    tables do; set ``copies`` for tables that may hold many equal rows.
-    """
-    placed = _with_offsets(_ranged(df, keys, order, partitions, copies), keys, F.count(F.lit(1)))
-    added = [(F.col("__before") + F.col("__row") - F.col("__first") + 1).alias(name)]
-    if size is not None:
-        added.append(F.col("__size").alias(size))
+    """Add the 1-based place of each row in its series, and with ``size`` the rows of the series."""
+    placed, pos, total = _positions(*_stored(df, block_rows), keys, order, partitions)
+    added = [pos.cast("bigint").alias(name)] + ([total.alias(size)] if size else [])
     return placed.select(*df.columns, *added)
 
 
@@ -101,10 +107,16 @@ def running_counts(
     count: str,
     name: str = "upto",
     size: str = "total",
+    block_rows: int = BLOCK_ROWS,
     partitions: int | None = None,
 ) -> DataFrame:
     """For rows that stand for ``count`` equal ones each: how many there are up to this row, and in all."""
-    placed = _with_offsets(_ranged(df, keys, order, partitions), keys, F.sum(count))
+    rows, small = _stored(df, block_rows)
+    if small:
+        series = Window.partitionBy(*keys)
+        upto = F.sum(count).over(series.orderBy(*order, "__copy").rowsBetween(Window.unboundedPreceding, 0))
+        return rows.select(*df.columns, upto.alias(name), F.sum(count).over(series).alias(size))
+    placed = _with_offsets(rows, keys, order, F.sum(count), partitions)
     here = Window.partitionBy(*keys, "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("__before") + F.sum(count).over(here)
     return placed.select(*df.columns, upto.alias(name), F.col("__size").alias(size))
@@ -118,22 +130,25 @@ def with_trailing(
     columns: Callable[[WindowSpec], dict[str, Column]],
     block_rows: int = BLOCK_ROWS,
     partitions: int | None = None,
-    copies: bool = False,
 ) -> DataFrame:
     """Add columns that look at most ``back`` rows back, in blocks of bounded size.
 
     The last ``back`` rows of a block are repeated at the head of the next one and
     dropped again after the window, so block edges do not show in the result.
     """
+    rows, small = _stored(df, block_rows)
+    if small:
+        added = columns(Window.partitionBy(*keys).orderBy(*order, "__copy"))
+        return rows.select(*df.columns, *[col.alias(name) for name, col in added.items()])
+    placed, pos, _ = _positions(rows, small, keys, order, partitions)
     size = max(block_rows, back + 1)
     block = F.floor((F.col("__pos") - 1) / size)
     in_tail = F.pmod(F.col("__pos") - 1, F.lit(size)) >= size - back
     homes = F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = positions(df, keys, order, "__pos", partitions=partitions, copies=copies).select(
+    spread = placed.select(*df.columns, pos.alias("__pos")).select(
         "*", block.alias("__own"), F.explode(homes).alias("__block")
     )
-    window = Window.partitionBy(*keys, "__block").orderBy("__pos")
-    added = columns(window)
+    added = columns(Window.partitionBy(*keys, "__block").orderBy("__pos"))
     return (
         spread.select(*df.columns, "__own", "__block", *[col.alias(name) for name, col in added.items()])
         .where(F.col("__own") == F.col("__block"))

@@ -165,19 +165,19 @@ def test_ordered_operators_match_brute_force(spark, block_rows):
 def test_equal_rows_are_split(spark):
     """Most rows are copies of one row; they still get places of their own, over many partitions."""
     df = spark.createDataFrame([("k", 5)] * 200 + [("k", i) for i in range(5)], "k string, i int")
-    got = positions(df, ["k"], ["i"], partitions=8, copies=True)
+    got = positions(df, ["k"], ["i"], partitions=8, block_rows=20)
     assert sorted(r.pos for r in got.collect()) == list(range(1, 206))
     assert [r.i for r in sorted(got.collect(), key=lambda r: r.pos)] == [0, 1, 2, 3, 4] + [5] * 200
-    got = prev_row(df, ["k"], ["i"], ["i"], partitions=8, copies=True, block_rows=20)
+    got = prev_row(df, ["k"], ["i"], ["i"], partitions=8, block_rows=20)
     assert sorted((r.i, r.prev_i) for r in got.collect()) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)] + [(5, 5)] * 199
 
 
-@pytest.mark.parametrize("partitions", [1, 5, 16])
-def test_positions(spark, partitions):
+@pytest.mark.parametrize("partitions, block_rows", [(1, 10), (5, 10), (16, 10), (5, 1000)])
+def test_positions(spark, partitions, block_rows):
     data = [("hot", i) for i in range(100)] + [("b", i) for i in range(3)] + [(None, 1)]
     random.Random(1).shuffle(data)
     df = spark.createDataFrame(data, "k string, i int")
-    got = positions(df, ["k"], ["i"], "pos", "n", partitions=partitions).collect()
+    got = positions(df, ["k"], ["i"], "pos", "n", partitions=partitions, block_rows=block_rows).collect()
     assert sorted(((r.k or "", r.i, r.pos, r.n) for r in got)) == sorted(
         [("hot", i, i + 1, 100) for i in range(100)] + [("b", i, i + 1, 3) for i in range(3)] + [("", 1, 1, 1)]
     )

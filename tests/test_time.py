@@ -159,7 +159,7 @@ def test_every_aggregate(spark, how):
         "var": statistics.variance,
     }[how]
     want = [expect([v for _, v in data[h * 30 : h * 30 + 30] if v is not None]) for h in range(3)]
-    sizing = {"partitions": 5} if how == "median" else {}
+    sizing = {"partitions": 5, "block_rows": 9} if how == "median" else {}
     df = frame(spark, data).select(F.lit("hot").alias("k"), "ts", "v", (F.col("v") * 2).alias("w"))
     got = sorted(resample(df, "ts", "H", how, keys=["k"], **sizing).collect(), key=lambda r: r.ts)
     assert [round(r.v, 9) for r in got] == [round(x, 9) for x in want]
@@ -215,5 +215,5 @@ def test_last_row_of_a_day(spark, rows):
 def test_day_segments(spark, rows):
     data = [(f"2024-01-01 {h:02d}:00:00", h) for h in range(24)]
     random.Random(2).shuffle(data)
-    got = rows(day_segments(frame(spark, data), "ts", HELSINKI, ["ts"], partitions=4), "day", "pos", "v")
+    got = rows(day_segments(frame(spark, data), "ts", HELSINKI, ["ts"], partitions=4, block_rows=5), "day", "pos", "v")
     assert got == [("2024-01-01", h + 1, h) for h in range(22)] + [("2024-01-02", 1, 22), ("2024-01-02", 2, 23)]
