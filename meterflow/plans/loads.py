@@ -25,9 +25,13 @@ from meterflow.sources.tables import append, overwrite, power_stats_rows, water_
 STEP = "1 minute"
 
 
-def _top(df: DataFrame, col: str):
-    """Latest time as a UTC wall clock, whatever zone the driver process runs in."""
-    return df.agg(F.max(col).cast("timestamp_ntz")).first()[0]
+def _latest_time(df: DataFrame, col: str):
+    """Latest time of a table partitioned by day, as a UTC wall clock whatever zone the driver runs in.
+
+    The last day comes from the folders; times are read in that day only.
+    """
+    last = df.agg(F.max("day")).first()[0]
+    return None if last is None else df.where(F.col("day") == last).agg(F.max(col).cast("timestamp_ntz")).first()[0]
 
 
 def _stored_mark(spark: SparkSession, table: str):
@@ -74,7 +78,7 @@ def load_power(spark: SparkSession, feed: str | list[str], raw_table: str, stats
     """Electricity feed: new rows to the raw table, closed minutes to the statistics."""
     rows = read_counter_csv(spark, feed).drop("eventNanoTs")
     known = spark.catalog.tableExists(raw_table)
-    rows = bounded(rows, "ts", mints=_top(spark.table(raw_table), "ts") if known else None)
+    rows = bounded(rows, "ts", mints=_latest_time(spark.table(raw_table), "ts") if known else None)
     # The raw time is a unique key.
     _append_days(_with_day(first_per_key(rows.where(F.col("ts").isNotNull()), ["ts"], rows.columns), "ts"), raw_table)
 

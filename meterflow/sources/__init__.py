@@ -1,6 +1,6 @@
 """Readers for the feeds and writers for tables and CSV."""
 
-from meterflow.sources.climate import explode_measures  # noqa: F401
+from meterflow.sources.climate import explode_measures, read_measures  # noqa: F401
 from meterflow.sources.files import (  # noqa: F401
     read_counter_csv,
     read_counter_pages,

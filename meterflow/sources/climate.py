@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,10 @@ def explode_measures(
         F.col("__value").cast("decimal(14,3)").alias("value"),
         F.lit(loctype).alias("locationType"),
     )
+
+
+def read_measures(
+    spark: SparkSession, path: str | list[str], types: Sequence[str], device: str, loctype: str, source: str
+) -> DataFrame:
+    """Measures of one device from saved replies, one reply per line."""
+    return explode_measures(spark.read.text(path), types, device, loctype, source)

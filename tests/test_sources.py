@@ -15,6 +15,7 @@ from meterflow.sources import (
     read_counter_csv,
     read_counter_pages,
     read_day_files,
+    read_measures,
     read_meter_csv,
     read_meter_xml,
     scan,
@@ -98,6 +99,12 @@ def test_climate(spark):
     assert {(r.sourceId, r.sourceType, r.locationType) for r in got} == {("dev", "station", "outdoor")}
 
 
+def test_climate_files(spark, tmp_path):
+    put(tmp_path, "r.json", '{"body":{"1397154014":[12.7,68]}}\n{"body":{"1397154276":[15.3,35]}}\n')
+    got = read_measures(spark, str(tmp_path), ["Temperature", "Humidity"], "dev", "outdoor", "station")
+    assert sorted(float(r.value) for r in got.collect()) == [12.7, 15.3, 35.0, 68.0]
+
+
 def reply(device, access, *records):
     body = "".join(
         f'<DataRecord id="{n}"{extra}><Function>Instantaneous value</Function><StorageNumber>0</StorageNumber>{more}'
