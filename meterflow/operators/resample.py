@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.functions.timing import day_key, step_micros, to_local, to_utc
-from meterflow.operators.ordered import join_on, running_counts
+from meterflow.operators.ordered import BLOCK_ROWS, join_on, running_counts
+from meterflow.session import hint_if_small, written
 
 #: Request step letters.
 _STEP_LETTERS = {
@@ -115,8 +116,8 @@ def _aggregate(how: str, value: Column, ts: Column) -> Column:
     }[how]()
 
 
-def _medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], **sizing) -> DataFrame:
-    """Exact medians per group: the middle places of the ordered values.
+def _large_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], **sizing) -> DataFrame:
+    """Exact medians of groups of any size: the middle places of the ordered values.
 
     Equal values are counted first, and the counts are added up across partitions, so
     neither a large group nor a frequent value ends up in one task.
@@ -132,7 +133,25 @@ def _medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], **sizing)
         return F.max(F.when(holds & (F.col("__col") == col), F.col("__v")))
 
     half = (F.col("__n") + 1) / 2
-    return placed.groupBy(*keys).agg(*[((at(F.floor(half), c) + at(F.ceil(half), c)) / 2).alias(c) for c in cols])
+    middles = placed.groupBy(*keys).agg(*[((at(F.floor(half), c) + at(F.ceil(half), c)) / 2).alias(c) for c in cols])
+    # A group with no value at all keeps its row.
+    return join_on(df.select(*keys).distinct(), middles, keys, "left")
+
+
+def _medians(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], block_rows: int = BLOCK_ROWS, **sizing
+) -> DataFrame:
+    """Exact medians. The built-in one holds the values of a group, so it gets the groups
+    one task can hold; larger ones, found by counting, are done across tasks."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = written(counts.where(F.col("__n") > block_rows).select(*keys), "large")
+    usual = [F.median(c).alias(c) for c in cols]
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(*usual)
+    large = hint_if_small(large)
+    rest = join_on(df, large, keys, "left_anti").groupBy(*keys).agg(*usual)
+    hot = join_on(df, large, keys, "left_semi")
+    return rest.unionByName(_large_medians(hot, keys, cols, block_rows=block_rows, **sizing))
 
 
 def resample(

@@ -81,7 +81,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int
     The side is computed once into the shared folder and its rows and bytes are
     counted there. A larger side is returned without a hint and joins by shuffle.
     """
-    table = written(df, "side")
+    return hint_if_small(written(df, "side"), max_rows, max_bytes)
+
+
+def hint_if_small(
+    table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> DataFrame:
+    """``small_side`` for a table that is stored already."""
     width: Column = F.lit(0)
     for field in table.columns:
         width = width + F.coalesce(F.octet_length(F.col(field).cast("string")), F.lit(0)) + 8

@@ -167,6 +167,17 @@ def test_every_aggregate(spark, how):
     assert [round(r.w, 6) for r in got] == [round(x * double, 6) for x in want]
 
 
+def test_medians_of_large_and_small_groups(spark):
+    """One hour holds most rows, many of them equal; one holds no value."""
+    rng = random.Random(9)
+    data = [("2024-01-01 00:10:00", rng.choice([4, 4, 4, rng.randint(-50, 50)])) for _ in range(301)]
+    data += [("2024-01-01 01:10:00", v) for v in (5, 1, 9, 2)] + [("2024-01-01 02:10:00", None)] * 30
+    want = [statistics.median([v for t, v in data if t[12] == h and v is not None] or [0]) for h in "01"] + [None]
+    for block_rows in (20, 10**6):
+        got = resample(frame(spark, data), "ts", "H", "median", block_rows=block_rows)
+        assert [r.v for r in sorted(got.collect(), key=lambda r: r.ts)] == want
+
+
 def test_unknown_aggregate(spark):
     with pytest.raises(ValueError):
         resample(frame(spark, HOURS), "ts", "H", "mode")
