@@ -57,13 +57,19 @@ def parse_ts(text: Column) -> Column:
 
 
 def to_local(col: Column, tz: str) -> Column:
-    """UTC instant -> wall clock of ``tz``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), col.cast("timestamp_ntz"))
+    """UTC instant -> wall clock of ``tz``.
+
+    The session runs in UTC, so the casts change the type only. Shifting by a literal zone
+    this way is several times cheaper per row than ``convert_timezone``.
+    """
+    at = col.cast("timestamp")
+    return (at if tz == "UTC" else F.from_utc_timestamp(at, tz)).cast("timestamp_ntz")
 
 
 def to_utc(wall: Column, tz: str) -> Column:
     """Wall clock of ``tz`` -> UTC instant."""
-    return F.convert_timezone(F.lit(tz), F.lit("UTC"), wall.cast("timestamp_ntz"))
+    at = wall.cast("timestamp")
+    return (at if tz == "UTC" else F.to_utc_timestamp(at, tz)).cast("timestamp_ntz")
 
 
 def day_key(col: Column, tz: str = "UTC", fmt: str | None = None) -> Column:

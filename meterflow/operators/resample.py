@@ -49,27 +49,27 @@ def parse_step(step: str) -> tuple[int, str]:
 
 
 def _start(ts: Column, step: tuple[int, str], tz: str) -> Column:
-    """Start of the local bucket as a UTC instant."""
+    """Start of the local bucket: a UTC instant, or for days and longer a wall clock of ``tz``."""
     count, unit = step
     if unit in _CALENDAR:
-        return to_utc(F.date_trunc(unit, to_local(ts, tz)), tz)
+        return F.date_trunc(unit, to_local(ts, tz)).cast("timestamp_ntz")
     # Going back from the instant by the local remainder keeps the two hours apart that
     # share a wall-clock time when summer time ends.
-    into = F.pmod(F.unix_micros(to_local(ts, tz).cast("timestamp")), F.lit(step_micros(f"{count} {unit}")))
-    return F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) - into).cast("timestamp_ntz")
+    micros = F.unix_micros(ts.cast("timestamp"))
+    local = micros if tz == "UTC" else F.unix_micros(to_local(ts, tz).cast("timestamp"))
+    into = F.pmod(local, F.lit(step_micros(f"{count} {unit}")))
+    return F.timestamp_micros(micros - into).cast("timestamp_ntz")
 
 
 def _label(start: Column, step: tuple[int, str], tz: str, label: str) -> Column:
-    """Minute, hour and day buckets are named by an edge; longer ones by the last day
-    before (left) or inside (right) them, as period-end labels are."""
+    """UTC name of a bucket. Minute, hour and day buckets are named by an edge; longer ones by
+    the last day before (left) or inside (right) them, as period-end labels are."""
     count, unit = step
     if unit not in _CALENDAR:
         return start if label == "left" else start + F.expr(f"INTERVAL '{count}' {unit}")
-    wall, span = to_local(start, tz), F.expr(f"INTERVAL {_CALENDAR[unit]}")
-    if unit == "day":
-        return start if label == "left" else to_utc(wall + span, tz)
-    day = F.expr("INTERVAL 1 DAY")
-    return to_utc(wall - day if label == "left" else wall + span - day, tz)
+    span, day = F.expr(f"INTERVAL {_CALENDAR[unit]}"), F.expr("INTERVAL 1 DAY")
+    edge = start if label == "left" else start + span
+    return to_utc(edge if unit == "day" else edge - day, tz)
 
 
 def _range_of(rolled: DataFrame, keys: Sequence[str], at: str, cols: Sequence[Column]) -> DataFrame:
@@ -84,7 +84,7 @@ def _range_of(rolled: DataFrame, keys: Sequence[str], at: str, cols: Sequence[Co
     return bounds.where(F.col("__lo").isNotNull() & in_use).select(*keys, "__lo", "__hi")
 
 
-def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str], tz: str) -> DataFrame:
+def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str]) -> DataFrame:
     """Every bucket from ``__lo`` to ``__hi`` of each key.
 
     Sub-day steps are laid out by day first; the days are spread over the cluster
@@ -92,8 +92,8 @@ def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str], tz: st
     """
     count, unit = step
     if unit in _CALENDAR:
-        walls = F.sequence(to_local(F.col("__lo"), tz), to_local(F.col("__hi"), tz), F.expr(f"INTERVAL {_CALENDAR[unit]}"))
-        return bounds.select(*keys, F.explode(walls).alias("__wall")).select(*keys, to_utc(F.col("__wall"), tz).alias("__b"))
+        buckets = F.sequence("__lo", "__hi", F.expr(f"INTERVAL {_CALENDAR[unit]}"))
+        return bounds.select(*keys, F.explode(buckets).alias("__b"))
     day = F.expr("INTERVAL 1 DAY")
     days = bounds.select(*keys, "__hi", F.explode(F.sequence("__lo", "__hi", day)).alias("__day"))
     fine = F.expr(f"INTERVAL '{count}' {unit}")
@@ -186,7 +186,7 @@ def resample(
     if fill:
         # A count is never null, so counting it would be dropped from the plan.
         used = [F.nullif(F.col(c), F.lit(-1)) if how == "count" else F.col(c) for c in cols]
-        spine = _spine(_range_of(rolled, keys, "__b", used), keys, parsed, tz)
+        spine = _spine(_range_of(rolled, keys, "__b", used), keys, parsed)
         rolled = join_on(spine, rolled, group, "left")
         if how == "count":
             rolled = rolled.fillna(0, cols)
@@ -217,13 +217,13 @@ def daily_rollup(
     keys: Mapping[str, str] | Sequence[str] = ("sourceType", "sourceId", "eventType", "locationType"),
 ) -> DataFrame:
     """The daily view of climate events, keyed by zone as well: min, avg, max and count."""
-    return (
-        df.groupBy(*keys, day_key(F.col(ts), tz, "yyyyMMdd").alias("eventGroupTimestamp"))
-        .agg(
-            F.min(value).alias("minvalue"),
-            F.avg(value).alias("avgvalue"),
-            F.max(value).alias("maxvalue"),
-            F.count(value).alias("eventCount"),
-        )
-        .withColumn("aggregationTimezone", F.lit(tz))
+    names = ["minvalue", "avgvalue", "maxvalue", "eventCount"]
+    days = df.groupBy(*keys, day_key(F.col(ts), tz).alias("__day")).agg(
+        *[f(value).alias(name) for f, name in zip((F.min, F.avg, F.max, F.count), names)]
+    )
+    return days.select(
+        *keys,
+        F.date_format("__day", "yyyyMMdd").alias("eventGroupTimestamp"),
+        *names,
+        F.lit(tz).alias("aggregationTimezone"),
     )
