@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +101,17 @@ def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str]) -> Dat
     return days.repartition(*keys, "__day").select(*keys, F.explode(F.sequence(F.col("__day"), stop, fine)).alias("__b"))
 
 
+def _with_empty(spine: DataFrame, rolled: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Every bucket of the spine, with its values if the rollup has it.
+
+    Stacking both and aggregating needs one shuffle and no sort; a join that keeps null keys
+    would shuffle and sort both sides.
+    """
+    values = [f for f in rolled.schema if f.name not in group]
+    empty = spine.select(*group, *[F.lit(None).cast(f.dataType).alias(f.name) for f in values])
+    return empty.unionByName(rolled).groupBy(*group).agg(*[F.max(f.name).alias(f.name) for f in values])
+
+
 def _aggregate(how: str, value: Column, ts: Column) -> Column:
     seen = F.when(value.isNotNull(), ts)
     return {
@@ -187,7 +198,7 @@ def resample(
         # A count is never null, so counting it would be dropped from the plan.
         used = [F.nullif(F.col(c), F.lit(-1)) if how == "count" else F.col(c) for c in cols]
         spine = _spine(_range_of(rolled, keys, "__b", used), keys, parsed)
-        rolled = join_on(spine, rolled, group, "left")
+        rolled = _with_empty(spine, rolled, group)
         if how == "count":
             rolled = rolled.fillna(0, cols)
     return rolled.select(*keys, _label(F.col("__b"), parsed, tz, label).alias("ts"), *cols)
@@ -206,7 +217,7 @@ def daily_stats(
         return stats
     bounds = _range_of(stats, keys, "ts", [F.col(c) for c in ("min", "max", "avg")])
     days = bounds.select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr("INTERVAL 1 DAY"))).alias("ts"))
-    return join_on(days, stats, [*keys, "ts"], "left")
+    return _with_empty(days, stats, [*keys, "ts"])
 
 
 def daily_rollup(
@@ -214,7 +225,7 @@ def daily_rollup(
     ts: str,
     value: str,
     tz: str,
-    keys: Mapping[str, str] | Sequence[str] = ("sourceType", "sourceId", "eventType", "locationType"),
+    keys: Sequence[str] = ("sourceType", "sourceId", "eventType", "locationType"),
 ) -> DataFrame:
     """The daily view of climate events, keyed by zone as well: min, avg, max and count."""
     names = ["minvalue", "avgvalue", "maxvalue", "eventCount"]
