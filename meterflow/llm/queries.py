@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,37 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterflow.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
+
+
+def _fold(of: int) -> Column:
+    """The fold of a document: the checksum of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+@_query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the folds that are not held out."""
+    from meterflow.llm.language import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.where(_fold(4) != 2))
+    return predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, line and repetition counts of every document and the verdict."""
+    from meterflow.llm.repetition import repetition_rules
+
+    return repetition_rules(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of the folds that are not held out."""
+    from meterflow.llm.toxicity import fit, toxicity_scores
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(_fold(3) != 1))
+    scores = toxicity_scores(docs, model, 0.7)
+    return scores.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")

@@ -67,6 +67,11 @@ def _powers_of(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of polynomial hashes and of its inverse, modulo 2**64."""
+    return _powers_of("up", _BASE, n)[:n], _powers_of("down", _INVERSE, n)[:n]
+
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -90,8 +95,7 @@ def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.nd
     space = SPACES[data]
     edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
     starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power = _powers_of("up", _BASE, len(data) + 1)
-    down = _powers_of("down", _INVERSE, len(data) + 1)
+    power, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:], dtype=np.uint64)
