@@ -74,3 +74,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, labels.where(_fold(3) != 1))
     scores = toxicity_scores(docs, model, 0.7)
     return scores.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five words, similarity 0.75."""
+    from meterflow.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), 75)
