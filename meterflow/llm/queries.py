@@ -82,3 +82,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterflow.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), 75)
+
+
+@_query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with models trained on labelled strings of the documents."""
+    from meterflow.llm.secrets import labelled_strings, secret_spans, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return secret_spans(docs, train(labelled_strings(docs)))
