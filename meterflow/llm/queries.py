@@ -91,3 +91,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return secret_spans(docs, train(labelled_strings(docs)))
+
+
+@_query
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold items of the benchmark, as they are or with other values."""
+    from meterflow.llm.templates import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ from meterflow.llm.texts import map_rows, mix, powers, slices
 
 #: Labelled rows a model is fitted on at most, and the longest text among them.
 MAX_ROWS = 8_000
-MAX_CHARS = 20_000
+MAX_CHARS = 10_000
 
 #: Words whose margin a worker remembers.
 MEMO_WORDS = 400_000
@@ -125,20 +126,26 @@ def train(
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return SubwordModel(emb * 0, weights, bias, scale)
-    bags = [Counter(WORD.findall(t.lower())) for t in texts]
-    y = y[np.array([bool(b) for b in bags])]
-    bags = [b for b in bags if b]
-    spread = Counter(w for b in bags for w in b)
+    # Texts are read twice, so that their bags never stand in memory together.
+    spread: Counter[str] = Counter()
+    for t in texts:
+        spread.update(set(WORD.findall(t.lower())))
     vocabulary = {w: i for i, w in enumerate(w for w, n in spread.items() if n >= min_texts)}
-    if not vocabulary or len(set(y.tolist())) < 2:
-        return SubwordModel(emb * 0, weights, bias, scale)
+    del spread
     # Edges from texts to words (share of the text) and from words to subwords (mean).
-    edges = [(i, vocabulary[w], c / b.total()) for i, b in enumerate(bags) for w, c in b.items() if w in vocabulary]
-    t_of, w_of = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
-    w_weight = np.array([e[2] for e in edges])
+    edge_text, edge_word, edge_share = array("l"), array("l"), array("d")
+    for i, t in enumerate(texts):
+        bag = Counter(WORD.findall(t.lower()))
+        for w in bag.keys() & vocabulary.keys():
+            edge_text.append(i)
+            edge_word.append(vocabulary[w])
+            edge_share.append(bag[w] / bag.total())
+    if not edge_text:
+        return SubwordModel(emb * 0, weights, bias, scale)
+    t_of, w_of, w_weight = np.array(edge_text), np.array(edge_word), np.array(edge_share)
     s_of, v_of = subwords(list(vocabulary), buckets)
     used, s_of = np.unique(s_of, return_inverse=True)
-    n_texts, n_words, n_used = len(bags), len(vocabulary), len(used)
+    n_texts, n_words, n_used = len(texts), len(vocabulary), len(used)
     s_weight = 1.0 / np.bincount(v_of, minlength=n_words)[v_of]
     part = emb[used]
     share = np.bincount(y, minlength=2)
@@ -201,6 +208,7 @@ def fit(
     texts: dict[str, int] = {}
     for row in rows:
         texts[row.text] = max(int(row.label > 0), texts.get(row.text, 0))
+    del rows
     return train(list(texts), list(texts.values()), **training)
 
 
