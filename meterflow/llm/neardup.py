@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from meterflow.llm.texts import map_rows, mix, slices, word_hashes
-from meterflow.session import written
+from meterflow.session import small_side, written
 
 #: Words of a shingle.
 WORDS = 5
@@ -304,8 +304,8 @@ def near_duplicates(
     large groups cost about as many pairs as they have members.
 
     Returns a row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``. Null, empty and
-    blank texts have no shingle, are linked with nothing and are kept. Rows with a null id and words belong to
-    the component of their text, if another row of it has an id, else to none, and are not kept then. Exact repetitions of a row get equal
+    blank texts have no shingle, are linked with nothing and are kept. So are rows with a null id, whose
+    ``component_id`` is null. Each row is judged by its own text; classes whose smallest id is the same are one. Exact repetitions of a row get equal
     results. An empty table gives an empty one. Very long texts are worked on alone, in memory in proportion to the text.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -332,10 +332,28 @@ def near_duplicates(
         labels = components(links.unionByName(more))
     named = classes.select("digest", "node").join(labels, "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("found"))
-    component = F.coalesce("found", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return rows.join(named, "digest", "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.col("n_shingles") == 0).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group of near duplicates of ``docs``, with all its columns: the one with the smallest ``doc_id``.
+
+    Of exact repetitions of a row one stays. Rows with a null id stay.
+    """
+    found = written(near_duplicates(docs, percent).where(F.col("doc_id").isNotNull()), "groups")
+    by_id = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = small_side(by_id.where(~F.col("kept")).select("_id"))
+    left = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    again = small_side(by_id.where("kept and n > 1").select("_id"))
+    if again.limit(1).count() == 0:
+        return left
+    same = left["doc_id"] == again["_id"]
+    return left.join(again, same, "left_anti").unionByName(
+        left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     )
