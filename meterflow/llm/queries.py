@@ -99,3 +99,20 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meterflow.llm.templates import contaminated
 
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from meterflow.llm.html import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal values replaced by pseudonyms under the key of the session."""
+    from meterflow.llm.pseudonyms import pseudonyms
+
+    key = spark.conf.get("spark.meterflow.pseudonymKey", "set spark.meterflow.pseudonymKey")
+    return pseudonyms(_table(spark, sf_dir, "documents"), key.encode()[:64])
