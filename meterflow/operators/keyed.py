@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterflow.functions.timing import now_or
 from meterflow.operators.ordered import join_on
+from meterflow.session import hint_if_small, small_side, written
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -26,22 +27,32 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def rows_to_insert(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The rows of ``new`` an insert-ignore would add; append these to the stored table."""
-    return join_on(first_per_key(new, keys, order), target.select(*keys).distinct(), keys, "left_anti")
+    """The rows of ``new`` an insert-ignore would add; append these to the stored table.
+
+    The delivery is deduplicated once and stored. Its keys find those the target has, so a target
+    much larger than the delivery is read where it lies.
+    """
+    fresh = written(first_per_key(new, keys, order), "delivery")
+    present = join_on(target.select(*keys), hint_if_small(fresh.select(*keys)), keys, "left_semi")
+    return join_on(fresh, small_side(present.distinct()), keys, "left_anti")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key wins and stored rows win over new ones.
 
-    Stored rows pass through unshuffled; only their keys take part in the join.
+    Stored rows pass through as they are; their keys are joined with those of the delivery.
     """
     return target.unionByName(rows_to_insert(target, new, keys, order))
 
 
 def insert_replace(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last new row per key wins and replaces the stored row."""
-    latest = last_per_key(new, keys, order)
-    kept = join_on(target, latest.select(*keys), keys, "left_anti")
+    """Last new row per key wins and replaces the stored row.
+
+    The deduplicated delivery is stored once. If its keys are few they go to the stored rows,
+    which are then neither shuffled nor sorted; else both sides are shuffled.
+    """
+    latest = written(last_per_key(new, keys, order), "delivery")
+    kept = join_on(target, hint_if_small(latest.select(*keys)), keys, "left_anti")
     return kept.unionByName(latest)
 
 
@@ -92,10 +103,16 @@ def distinct_readings(
 
 
 def union_by(
-    existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None
+    existing: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Merge new points into known ones by time key: known ones win, result in key order.
+    """Merge new points into known ones by time key: known ones win.
 
-    ``order`` says which of several new points of one key comes first.
+    ``order`` says which of several new points of one key comes first. ``ordered`` sorts the whole result by
+    key, which costs a shuffle of all known points; leave it out where the reader of the result sorts.
     """
-    return insert_ignore(existing, new, keys, order or new.columns).orderBy(*keys)
+    merged = insert_ignore(existing, new, keys, order or new.columns)
+    return merged.orderBy(*keys) if ordered else merged

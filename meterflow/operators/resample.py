@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from meterflow.functions.timing import day_key, step_micros, to_local, to_utc
 from meterflow.operators.ordered import BLOCK_ROWS, join_on, running_counts
-from meterflow.session import hint_if_small, written
+from meterflow.session import hint_if_small, small_side, written
 
 #: Request step letters.
 _STEP_LETTERS = {
+    "S": "second",
+    "s": "second",
+    "sec": "second",
     "T": "minute",
     "min": "minute",
     "H": "hour",
@@ -33,43 +36,85 @@ _CALENDAR = {"day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "quarter": "3
 HOW = ("sum", "mean", "min", "max", "count", "first", "last", "median", "std", "var")
 
 
+_DAY_MICROS = 86_400_000_000
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
 def parse_step(step: str) -> tuple[int, str]:
-    """``'H'``, ``'15min'``, ``'1 hour'``, ``'W'`` -> (count, unit)."""
+    """``'H'``, ``'15min'``, ``'30S'``, ``'3 hours'``, ``'2D'``, ``'W'`` -> (count, unit). Whole days of hours become days."""
     match = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+)\s*", step)
     if not match:
         raise ValueError(f"unknown step {step!r}")
     count, word = int(match[1] or 1), match[2]
     unit = _STEP_LETTERS.get(word, word.lower().rstrip("s"))
-    if unit in _CALENDAR:
-        if count != 1:
-            raise ValueError("calendar steps come one at a time")
-    elif unit not in ("minute", "hour") or 3600_000_000 % step_micros(f"{count} {unit}"):
-        raise ValueError(f"{step!r}: sub-day steps have to divide an hour")
+    if unit not in _CALENDAR and unit not in ("second", "minute", "hour") or not count:
+        raise ValueError(f"unknown step {step!r}")
+    if unit not in _CALENDAR and step_micros(f"{count} {unit}") >= _DAY_MICROS:
+        days, rest = divmod(step_micros(f"{count} {unit}"), _DAY_MICROS)
+        if rest:
+            raise ValueError(f"{step!r}: a step over a day has to be whole days")
+        return days, "day"
     return count, unit
 
 
-def _start(ts: Column, step: tuple[int, str], tz: str) -> Column:
-    """Start of the local bucket: a UTC instant, or for days and longer a wall clock of ``tz``."""
+def _even(step: tuple[int, str]) -> bool:
+    """Whether a sub-day step divides an hour; its buckets are then the same in every zone of whole hours."""
+    count, unit = step
+    return unit not in _CALENDAR and 3_600_000_000 % step_micros(f"{count} {unit}") == 0
+
+
+def _start(ts: Column, step: tuple[int, str], tz: str, first: Column | None = None) -> Column:
+    """Start of the local bucket: a UTC instant for steps that divide an hour, else a wall clock of ``tz``.
+
+    Other sub-day steps count from local midnight. Several days, weeks, months or years at once count
+    from ``first``, the first bucket of one unit of the series.
+    """
     count, unit = step
     if unit in _CALENDAR:
-        return F.date_trunc(unit, to_local(ts, tz)).cast("timestamp_ntz")
+        one = F.date_trunc(unit, to_local(ts, tz)).cast("timestamp_ntz")
+        return one if count == 1 or first is None else _group(one, step, first)
     # Going back from the instant by the local remainder keeps the two hours apart that
     # share a wall-clock time when summer time ends.
     micros = F.unix_micros(ts.cast("timestamp"))
     local = micros if tz == "UTC" else F.unix_micros(to_local(ts, tz).cast("timestamp"))
-    into = F.pmod(local, F.lit(step_micros(f"{count} {unit}")))
-    return F.timestamp_micros(micros - into).cast("timestamp_ntz")
+    span = F.lit(step_micros(f"{count} {unit}"))
+    if _even(step):
+        return F.timestamp_micros(micros - F.pmod(local, span)).cast("timestamp_ntz")
+    of_day = F.pmod(local, F.lit(_DAY_MICROS))
+    return F.timestamp_micros(local - F.pmod(of_day, span)).cast("timestamp_ntz")
 
 
-def _label(start: Column, step: tuple[int, str], tz: str, label: str) -> Column:
-    """UTC name of a bucket. Minute, hour and day buckets are named by an edge; longer ones by
-    the last day before (left) or inside (right) them, as period-end labels are."""
+def _group(one: Column, step: tuple[int, str], first: Column) -> Column:
+    """Start of the group of ``count`` units, counted from ``first``, that holds the unit beginning at ``one``."""
+    count, unit = step
+    if unit in _MONTHS:
+        months = lambda c: F.year(c) * 12 + F.month(c)
+        past = months(one) - months(first)
+        return F.add_months(first, past - F.pmod(past, F.lit(count * _MONTHS[unit]))).cast("timestamp_ntz")
+    past = F.datediff(one, first)
+    return F.date_add(first, past - F.pmod(past, F.lit(count * (7 if unit == "week" else 1)))).cast("timestamp_ntz")
+
+
+def _span(step: tuple[int, str]) -> Column:
     count, unit = step
     if unit not in _CALENDAR:
-        return start if label == "left" else start + F.expr(f"INTERVAL '{count}' {unit}")
-    span, day = F.expr(f"INTERVAL {_CALENDAR[unit]}"), F.expr("INTERVAL 1 DAY")
-    edge = start if label == "left" else start + span
-    return to_utc(edge if unit == "day" else edge - day, tz)
+        return F.expr(f"INTERVAL '{count}' {unit}")
+    if unit in _MONTHS:
+        return F.expr(f"INTERVAL '{count * _MONTHS[unit]}' MONTH")
+    return F.expr(f"INTERVAL '{count * (7 if unit == 'week' else 1)}' DAY")
+
+
+def _label(start: Column, step: tuple[int, str], tz: str, label: str) -> Column:
+    """UTC name of a bucket. Buckets of days and below are named by an edge; longer ones by
+    the last day before (left) or inside (right) them, as period-end labels are."""
+    unit = step[1]
+    edge = start if label == "left" else start + _span(step)
+    if _even(step):
+        return edge
+    if unit not in _CALENDAR and label == "right":
+        # The last bucket of a day ends with the day.
+        edge = F.least(edge, F.date_trunc("day", start).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+    return to_utc(edge if unit not in _CALENDAR or unit == "day" else edge - F.expr("INTERVAL 1 DAY"), tz)
 
 
 def _range_of(rolled: DataFrame, keys: Sequence[str], at: str, cols: Sequence[Column]) -> DataFrame:
@@ -84,21 +129,31 @@ def _range_of(rolled: DataFrame, keys: Sequence[str], at: str, cols: Sequence[Co
     return bounds.where(F.col("__lo").isNotNull() & in_use).select(*keys, "__lo", "__hi")
 
 
-def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str]) -> DataFrame:
+def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str], tz: str) -> DataFrame:
     """Every bucket from ``__lo`` to ``__hi`` of each key.
 
     Sub-day steps are laid out by day first; the days are spread over the cluster
     before they are cut finer, so a long range is not built in one task.
     """
-    count, unit = step
-    if unit in _CALENDAR:
-        buckets = F.sequence("__lo", "__hi", F.expr(f"INTERVAL {_CALENDAR[unit]}"))
-        return bounds.select(*keys, F.explode(buckets).alias("__b"))
+    fine = _span(step)
+    if step[1] in _CALENDAR:
+        return bounds.select(*keys, F.explode(F.sequence("__lo", "__hi", fine)).alias("__b"))
     day = F.expr("INTERVAL 1 DAY")
-    days = bounds.select(*keys, "__hi", F.explode(F.sequence("__lo", "__hi", day)).alias("__day"))
-    fine = F.expr(f"INTERVAL '{count}' {unit}")
-    stop = F.least(F.col("__day") + day - fine, F.col("__hi"))
-    return days.repartition(*keys, "__day").select(*keys, F.explode(F.sequence(F.col("__day"), stop, fine)).alias("__b"))
+    if _even(step):
+        days = bounds.select(*keys, "__hi", F.explode(F.sequence("__lo", "__hi", day)).alias("__day"))
+        stop = F.least(F.col("__day") + day - fine, F.col("__hi"))
+        return days.repartition(*keys, "__day").select(*keys, F.explode(F.sequence("__day", stop, fine)).alias("__b"))
+    midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    days = bounds.select(
+        *keys, "__lo", "__hi", F.explode(F.sequence(midnight("__lo"), midnight("__hi"), day)).alias("__day")
+    )
+    stop = F.col("__day") + day - F.expr("INTERVAL 1 SECOND")
+    cut = days.repartition(*keys, "__day").select(
+        *keys, "__lo", "__hi", F.explode(F.sequence("__day", stop, fine)).alias("__b")
+    )
+    # A bucket that lies wholly in the hour skipped in spring doesn't exist.
+    exists = to_local(to_utc(F.col("__b"), tz), tz) < F.col("__b") + fine
+    return cut.where(F.col("__b").between(F.col("__lo"), F.col("__hi")) & exists).select(*keys, "__b")
 
 
 def _with_empty(spine: DataFrame, rolled: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -179,7 +234,9 @@ def resample(
 ) -> DataFrame:
     """One aggregate for all value columns per local bucket; empty buckets in between are kept.
 
-    The range of a series runs from its first to its last bucket. Empty buckets count 0
+    ``step`` is any number of seconds, minutes, hours, days, weeks, months, quarters or years. Sub-day steps that
+    don't divide an hour begin anew at each local midnight; several days or more at once count from the
+    first unit of the series. The range of a series runs from its first to its last bucket. Empty buckets count 0
     and are null for every other aggregate. Labels are UTC instants in column ``ts``.
     """
     if how not in HOW or label not in ("left", "right"):
@@ -188,7 +245,15 @@ def resample(
     keys = list(keys)
     cols = [c for c in df.columns if c != ts and c not in keys] if cols is None else list(cols)
     group = [*keys, "__b"]
-    placed = df.select(*keys, *cols, F.col(ts).alias("__ts"), _start(F.col(ts), parsed, tz).alias("__b"))
+    first = None
+    if parsed[0] > 1 and parsed[1] in _CALENDAR:
+        one = F.min(_start(F.col(ts), (1, parsed[1]), tz)).alias("__first")
+        if keys:
+            df = join_on(df, small_side(df.groupBy(*keys).agg(one)), keys, "left")
+            first = F.col("__first")
+        else:
+            first = F.lit(df.agg(one).first()[0]).cast("timestamp_ntz")
+    placed = df.select(*keys, *cols, F.col(ts).alias("__ts"), _start(F.col(ts), parsed, tz, first).alias("__b"))
     placed = placed.where(F.col("__ts").isNotNull())
     if how == "median":
         rolled = _medians(placed, group, cols, **sizing)
@@ -197,7 +262,7 @@ def resample(
     if fill:
         # A count is never null, so counting it would be dropped from the plan.
         used = [F.nullif(F.col(c), F.lit(-1)) if how == "count" else F.col(c) for c in cols]
-        spine = _spine(_range_of(rolled, keys, "__b", used), keys, parsed)
+        spine = _spine(_range_of(rolled, keys, "__b", used), keys, parsed, tz)
         rolled = _with_empty(spine, rolled, group)
         if how == "count":
             rolled = rolled.fillna(0, cols)

@@ -67,7 +67,7 @@ def insert_replace_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_loads_sql('ASC')} SELECT * FROM t UNION ALL SELECT * FROM n ANTI JOIN t USING (user_id, event_type, hour)",
 )
 def union_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_by(*_loads(spark, sf_dir), _KEY, ["event_id"])
+    return union_by(*_loads(spark, sf_dir), _KEY, ["event_id"], ordered=False)
 
 
 @query(

@@ -26,16 +26,6 @@ BUNDLES = {
 }
 _PHASES = ["c6_use", "c7_use", "c8_use"]
 
-#: Names shown for series codes.
-SERIES_NAMES = {
-    "c1_delta": "Floor heat",
-    "c2_delta": "Wood boiler",
-    "c3_delta": "Hot water",
-    "c3_use": "Floor heat (bath)",
-    "c4_use": "Ventilation",
-    "c678_use": "Power boiler",
-}
-
 
 def _resampled(df: DataFrame, tz: str, aggrto: str | None, aggrhow: str, aggrlabel: str) -> DataFrame:
     return df if aggrto is None else resample(df, "ts", aggrto, aggrhow, aggrlabel, tz)

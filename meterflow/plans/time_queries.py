@@ -229,15 +229,74 @@ def resample_last_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "resample_first_month",
-    """WITH g AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS b, min(o_orderkey) AS first_key,
-    count(*) AS n FROM orders GROUP BY 1, 2),
+    """WITH g AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS b,
+    max(o_orderdate) - min(o_orderdate) AS span, min_by(o_totalprice, o_orderdate + o_orderkey * INTERVAL 1 MICROSECOND) AS first_price
+    FROM orders GROUP BY 1, 2),
     r AS (SELECT o_orderpriority, CAST(unnest(generate_series(min(b), max(b), INTERVAL 1 MONTH)) AS TIMESTAMP) AS b
     FROM g GROUP BY 1)
-    SELECT o_orderpriority, b - INTERVAL 1 DAY AS ts, first_key FROM r LEFT JOIN g USING (o_orderpriority, b)""",
+    SELECT o_orderpriority, b - INTERVAL 1 DAY AS ts, first_price FROM r LEFT JOIN g USING (o_orderpriority, b)""",
 )
 def resample_first_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", F.col("o_orderkey").alias("first_key"))
-    return resample(orders, "o_orderdate", "M", "min", "left", keys=["o_orderpriority"])
+    """First order value of each month; the order number tells orders of one day apart."""
+    at = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).cast("timestamp_ntz")
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", at.alias("at"), F.col("o_totalprice").alias("first_price"))
+    return resample(orders, "at", "M", "first", "left", keys=["o_orderpriority"])
+
+
+@query(
+    "resample_3h_local",
+    f"""WITH {COUNTERS_SQL}, g AS (SELECT series, time_bucket(INTERVAL 3 HOUR, {_LOCAL}) AS b, max(curr) AS curr
+    FROM m GROUP BY 1, 2), {_spine_sql("3 HOUR")}
+    SELECT series, {_utc("b")} AS ts, curr FROM r LEFT JOIN g USING (series, b)""",
+)
+def resample_3h_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-hour buckets from local midnight."""
+    return resample(_meter(spark, sf_dir), "ts", "180min", "max", tz=_ZONE, cols=["curr"], keys=["series"])
+
+
+@query(
+    "resample_30s",
+    f"""WITH {COUNTERS_SQL} SELECT series, time_bucket(INTERVAL 30 SECOND, ts) + INTERVAL 30 SECOND AS ts,
+    CAST(sum(curr) AS BIGINT) AS curr FROM m GROUP BY 1, 2""",
+)
+def resample_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_meter(spark, sf_dir), "ts", "30S", "sum", "right", cols=["curr"], keys=["series"], fill=False)
+
+
+@query(
+    "resample_2d",
+    f"""WITH {COUNTERS_SQL}, d AS (SELECT *, CAST(date_trunc('day', {_LOCAL}) AS TIMESTAMP) AS u FROM m),
+    f AS (SELECT series, min(u) AS lo FROM d GROUP BY 1),
+    g AS (SELECT series, lo + CAST(date_diff('day', lo, u) // 2 * 2 AS INTEGER) * INTERVAL 1 DAY AS b, max(curr) AS curr
+    FROM d JOIN f USING (series) GROUP BY 1, 2), {_spine_sql("2 DAY")}
+    SELECT series, {_utc("b")} AS ts, curr FROM r LEFT JOIN g USING (series, b)""",
+)
+def resample_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days at once, from the first local day of each series."""
+    return resample(_meter(spark, sf_dir), "ts", "2D", "max", tz=_ZONE, cols=["curr"], keys=["series"])
+
+
+def _orders_by(unit: str, months: int) -> str:
+    return f"""WITH g AS (SELECT o_orderpriority, date_trunc('{unit}', o_orderdate) AS b, count(*) AS n FROM orders GROUP BY 1, 2),
+    r AS (SELECT o_orderpriority, CAST(unnest(generate_series(min(b), max(b), INTERVAL {months} MONTH)) AS TIMESTAMP) AS b
+    FROM g GROUP BY 1)
+    SELECT o_orderpriority, b + INTERVAL {months} MONTH - INTERVAL 1 DAY AS ts, coalesce(n, 0) AS n
+    FROM r LEFT JOIN g USING (o_orderpriority, b)"""
+
+
+def _orders_per(spark: SparkSession, sf_dir: str, step: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", F.col("o_orderkey").alias("n"))
+    return resample(orders, "o_orderdate", step, "count", "right", keys=["o_orderpriority"])
+
+
+@query("resample_quarter", _orders_by("quarter", 3))
+def resample_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_per(spark, sf_dir, "Q")
+
+
+@query("resample_year", _orders_by("year", 12))
+def resample_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_per(spark, sf_dir, "Y")
 
 
 @query(

@@ -37,25 +37,41 @@ def page_columns(text: Column, include: Sequence[int] | None = None) -> list[Col
 def read_counter_pages(
     spark: SparkSession, path: str | list[str], include: Sequence[int] | None = None, arrived=None
 ) -> DataFrame:
-    """One row per saved counter page; ``ts`` is the arrival time, by default that of the file."""
-    pages = spark.read.text(path, wholetext=True).select("value", "_metadata.file_modification_time")
+    """One row per saved counter page; ``ts`` is the arrival time, by default that of the file.
+
+    A file holds one page or many in a row; cutting at the closing tag lets large files be read in parallel.
+    """
+    pages = spark.read.text(path, lineSep="</html>").select("value", "_metadata.file_modification_time")
     ts = F.col("file_modification_time") if arrived is None else F.lit(arrived).cast("timestamp")
     # A page that came back empty holds no data and makes no row.
-    return pages.where(F.length("value") > 0).select(ts.alias("ts"), *page_columns(F.col("value"), include))
+    return pages.where(F.length(F.btrim("value", F.lit(" \r\n\t"))) > 0).select(ts.alias("ts"), *page_columns(F.col("value"), include))
+
 
+def _csv(spark: SparkSession, path, schema: StructType, sep: str = ",") -> DataFrame:
+    """CSV files of one layout, read by column name.
 
-def _csv(spark: SparkSession, path, schema: StructType, **options) -> DataFrame:
-    return spark.read.schema(schema).options(header=True, **options).csv(path)
+    The columns may come in any order, the same in all files. A file with other columns, or with
+    the columns in another order than the rest, is an error: read by position it would give wrong values.
+    """
+    header = spark.read.options(header=True, sep=sep).csv(path).columns
+    if header and set(header) != set(schema.names):
+        odd = sorted(set(header) ^ set(schema.names))
+        raise ValueError(f"columns don't fit the layout, differing in {odd}")
+    order = StructType([schema[c] for c in header]) if header else schema
+    return spark.read.schema(order).options(header=True, enforceSchema=False, sep=sep).csv(path).select(*schema.names)
 
 
-def read_counter_csv(spark: SparkSession, path: str | list[str], empty_as_null: bool = True) -> DataFrame:
+def read_counter_csv(
+    spark: SparkSession, path: str | list[str], empty_as_null: bool = True, layout: str | None = None
+) -> DataFrame:
     """Electricity feed: time parsed, epoch time added, surrogate id dropped.
 
-    Both the full feed and the daily export (cumulative columns only) are read; the header
-    of the files tells which. ``""`` is a missing counter.
+    ``layout`` is ``feed`` for the full feed, ``daily`` for the daily export (cumulative columns only); without it
+    the header decides. Files of both layouts in one folder are an error. ``""`` is a missing counter.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    schema = schemas.COUNTER_FEED if "id" in header else schemas.COUNTER_DAILY
+    if layout is None:
+        layout = "feed" if "id" in spark.read.option("header", True).csv(path).columns else "daily"
+    schema = {"feed": schemas.COUNTER_FEED, "daily": schemas.COUNTER_DAILY}[layout]
     raw = _csv(spark, path, schema)
     counters = [c for c in schema.names if c.startswith("circuit")]
 
@@ -141,17 +157,35 @@ def read_replies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     close = "</MBusData>"
     text = spark.read.text(path, lineSep=close)
     opened = F.regexp_extract("value", r"(?s)(<MBusData[\s>].*)$", 1)
-    replies = text.select(opened.alias("reply")).where(F.length("reply") > 0)
-    parsed = F.from_xml(F.concat("reply", F.lit(close)), schemas.METER_REPLY, {"rowTag": "MBusData"})
+    replies = text.select(F.concat(opened, F.lit(close)).alias("reply")).where(F.length(opened) > 0)
+    parsed = F.from_xml("reply", schemas.METER_REPLY, {"rowTag": "MBusData"})
     # Opening the struct with a generator parses a reply once, not once per field.
-    return replies.select(F.inline(F.array(parsed)))
+    return replies.select("reply", F.inline(F.array(parsed)))
+
+
+def reply_rejects(replies: DataFrame) -> DataFrame:
+    """Replies without a device, as those cut off in transfer, with the text that was read."""
+    return replies.where(F.col("SlaveInformation.Id").isNull()).select(
+        F.lit("meter reply").alias("source"), F.col("reply").alias("raw"), F.lit("no device id").alias("reason")
+    )
 
 
 def read_meter_xml(spark: SparkSession, path: str | list[str], address: int = 0) -> tuple[DataFrame, DataFrame]:
     """Meter replies of one bus address -> (device rows, record rows).
 
-    Both are made from the parsed replies, which are stored once: parsing costs far more
+    Replies without a device id are left out; ``read_meter_replies`` returns them as well.
+    """
+    return read_meter_replies(spark, path, address)[:2]
+
+
+def read_meter_replies(
+    spark: SparkSession, path: str | list[str], address: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Meter replies of one bus address -> (device rows, record rows, rejected replies).
+
+    All are made from the parsed replies, which are stored once: parsing costs far more
     than reading them back.
     """
     replies = written(read_replies(spark, path), "replies")
-    return reply_devices(replies, address), reply_records(replies, address)
+    good = replies.where(F.col("SlaveInformation.Id").isNotNull())
+    return reply_devices(good, address), reply_records(good, address), reply_rejects(replies)

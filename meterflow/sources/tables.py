@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,14 @@ def stats_all(stats: DataFrame) -> DataFrame:
 
 
 def _stats_rows(rollup: DataFrame, schema: StructType, gts: str, count: str, prev: str) -> DataFrame:
-    """Rollup columns under their stored names; stored columns the rollup lacks are null."""
+    """Rollup columns under their stored names; stored columns the rollup lacks are null, flags false.
+
+    A circuit or device the table has no columns for is an error, not dropped.
+    """
+    known = {*schema.names, gts, count, prev, "prev_ns"}
+    lost = [c for c in rollup.columns if c not in known and re.fullmatch(r"(c\d+|all)_\w+", c)]
+    if lost:
+        raise ValueError(f"the statistics table has no columns for {lost}")
     given = {
         "groupNanoTs": to_ns(F.col(gts)),
         "measures_count": F.col(count),
@@ -62,7 +70,7 @@ def _stats_rows(rollup: DataFrame, schema: StructType, gts: str, count: str, pre
         elif field.name in rollup.columns:
             source = F.col(field.name)
         else:
-            source = F.lit(None)
+            source = F.lit(False if field.name.endswith("_indirect") else None)
         return source.cast(field.dataType).alias(field.name)
 
     return rollup.select(*[value(field) for field in schema])
@@ -130,7 +138,8 @@ def write_csv(df: DataFrame, path: str, na_rep: str = "", ts_format: str = ISO_F
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     lines = csv_lines(df, na_rep, ts_format).select("line", first.alias("__first"))
     text = F.when(F.col("__first"), F.concat_ws("\n", F.lit(header), F.col("line"))).otherwise(F.col("line"))
-    lines.select(text.alias("value")).write.mode(mode).text(path)
+    # The header is put once for each task, so a task has to write one file.
+    lines.select(text.alias("value")).write.mode(mode).option("maxRecordsPerFile", 0).text(path)
     spark = df.sparkSession
     if spark.read.text(path).isEmpty():
         # No rows: the header alone, as readers of the export expect one.

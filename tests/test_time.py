@@ -87,11 +87,35 @@ def test_projection(spark):
 
 def test_steps():
     assert parse_step("H") == (1, "hour") and parse_step("15min") == (15, "minute") and parse_step("W") == (1, "week")
-    for bad in ("7T", "2D", "6H", "fortnight", ""):
+    assert parse_step("30S") == (30, "second") and parse_step("180min") == (180, "minute") and parse_step("48H") == (2, "day")
+    assert parse_step("2W") == (2, "week") and parse_step("3 months") == (3, "month")
+    for bad in ("36H", "0D", "fortnight", ""):
         with pytest.raises(ValueError):
             parse_step(bad)
 
 
+def test_steps_from_local_midnight(spark):
+    """Three-hour buckets around both clock changes of Helsinki: 31 March (23 hours) and 27 October (25 hours)."""
+    for day, hours in (("2024-03-31", 23), ("2024-10-27", 25)):
+        times = spark.sql(
+            f"SELECT timestamp_micros(unix_micros(to_utc_timestamp(timestamp'{day} 00:00:00', 'Europe/Helsinki'))"
+            f" + id * 3600000000) AS ts, 1 AS v FROM range({hours})"
+        )
+        got = resample(times, "ts", "3H", "count", tz="Europe/Helsinki").orderBy("ts").collect()
+        assert len(got) == 8 and sum(r.v for r in got) == hours
+        assert sorted(r.v for r in got) == sorted([3] * 7 + [hours - 21])
+        odd = resample(times, "ts", "45min", "count", tz="Europe/Helsinki")
+        assert odd.count() == odd.select("ts").distinct().count() and odd.agg(F.sum("v")).first()[0] == hours
+
+
+def test_several_days_months(spark):
+    times = spark.sql("SELECT timestamp'2024-01-31 12:00:00' + make_interval(0, 0, 0, cast(id as int)) AS ts, 1 AS v FROM range(100)")
+    two = resample(times, "ts", "2D", "count").orderBy("ts").collect()
+    assert len(two) == 50 and {r.v for r in two} == {2} and str(two[0].ts) == "2024-01-31 00:00:00"
+    months = resample(times, "ts", "2M", "count", "right").orderBy("ts").collect()
+    assert [(str(r.ts)[:10], r.v) for r in months] == [("2024-02-29", 30), ("2024-04-30", 61), ("2024-06-30", 9)]
+
+
 def test_empty_buckets(spark, rows):
     df = frame(spark, HOURS)
     got = rows(resample(df, "ts", "H", "sum"))
