@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.functions.numbers import unit_factor
-from meterflow.operators.counters import counter_rollup
-from meterflow.operators.keyed import distinct_readings
-from meterflow.operators.ordered import join_on
+from meterflow.operators.counters import counter_delta, counter_rollup
 from meterflow.schemas import MEASURES
 
 
@@ -46,21 +44,33 @@ def pivot_readings(records: DataFrame) -> DataFrame:
     """
     number = F.col("recordId")
     values = record_values(number, F.col("recordValue"), unit_factor("recordUnit"))
-    known = records.select("id", "recordTimestamp", "recordId", *[col.alias(name) for name, col in values.items()])
-    wide = known.groupBy("id", "recordTimestamp").agg(
-        *[F.max(F.when(number == n, F.col(_PLACES[kind]))).alias(name) for n, (name, kind) in MEASURES.items()]
+    known = records.select(
+        "id", "recordTimestamp", "accessNumber", "address", "recordId", *[col.alias(name) for name, col in values.items()]
     )
-    # An access number keeps one row per device and time, whatever bus addresses it came by.
-    seen = (
-        distinct_readings(records)
-        .groupBy("id", "recordTimestamp", "accessNumber")
-        .agg(F.max("address").alias("address"))
+    # One pass: a row for each access number, with what its records say. Few rows are left for the window.
+    by_access = known.groupBy("id", "recordTimestamp", "accessNumber").agg(
+        # An access number keeps one row per device and time, whatever bus addresses it came by.
+        F.max("address").alias("address"),
+        *[F.max(F.when(number == n, F.col(_PLACES[kind]))).alias(name) for n, (name, kind) in MEASURES.items()],
     )
-    return join_on(seen, wide, ["id", "recordTimestamp"], "inner").select(
-        "id", "address", "accessNumber", "recordTimestamp", *[name for name, _ in MEASURES.values()]
+    whole = Window.partitionBy("id", "recordTimestamp")
+    return by_access.select(
+        "id",
+        "address",
+        "accessNumber",
+        "recordTimestamp",
+        *[F.max(name).over(whole).alias(name) for name, _ in MEASURES.values()],
     )
 
 
+def device_stats(
+    readings: DataFrame, ts: str, step: str, peak: str, cumul: str, device: str = "id", seed: DataFrame | None = None
+) -> DataFrame:
+    """Peak, last counter and consumption of every device by bucket, a row for each, however many devices there are."""
+    rolled = counter_rollup(readings, [device], ts, step, {"peak": peak}, {"cumul": cumul})
+    return counter_delta(rolled, [device], "gts", step, {"delta": "cumul"}, seed=seed)
+
+
 def device_rollup(
     readings: DataFrame, devices: list[str], ts: str, step: str, peak: str, cumul: str, device: str = "id"
 ) -> DataFrame:

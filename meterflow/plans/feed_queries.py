@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow.operators.readings import device_stats
 from meterflow.plans.registry import COUNTERS_SQL, counters, ntz, query, table
 from meterflow.schemas import METER_FEED
-from meterflow.session import scratch_path
-from meterflow.sources.climate import explode_measures
-from meterflow.sources.files import page_columns, read_counter_csv, read_day_files, read_meter_csv, read_meter_xml
+from meterflow.session import scratch_path, small_side
+from meterflow.sources.climate import explode_measures, measure_rejects
+from meterflow.sources.files import (
+    page_columns,
+    read_counter_csv,
+    read_counter_pages,
+    read_day_files,
+    read_meter_csv,
+    read_meter_replies,
+    read_meter_xml,
+)
 from meterflow.sources.tables import write_csv
 from meterflow.streaming.flows import (
     daily_view_stream,
@@ -160,7 +169,7 @@ def meter_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "lineitem").select(reply.alias("value")).write.text(path)
     devices, records = read_meter_xml(spark, path, address=1)
     makers = devices.groupBy("id").agg(F.max("manufacturer").alias("manufacturer"))
-    rows = records.join(makers, "id")
+    rows = records.join(small_side(makers), "id")
     return rows.select(
         "id",
         "accessNumber",
@@ -173,6 +182,102 @@ def meter_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "measures_bad_cells",
+    """SELECT event_id, raw, reason FROM (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS s, event_type FROM events),
+    LATERAL (SELECT CAST(s AS VARCHAR) || ':0:n/a' AS raw, 'no number' AS reason WHERE event_type = 'error' UNION ALL
+    SELECT CAST(s AS VARCHAR) || ':1:123456789012345', 'too large' WHERE event_type = 'signup' UNION ALL
+    SELECT CAST(s AS VARCHAR) || ':2:7', 'no type' WHERE event_type = 'view')""",
+)
+def measures_bad_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with a cell that is no number, too large or of no type: only that cell is rejected."""
+    kind = F.col("event_type")
+    cells = [
+        F.when(kind == "error", F.lit('"n/a"')).otherwise(F.col("value").cast("string")),
+        F.when(kind == "signup", F.lit("123456789012345")).otherwise(F.lit("5")),
+    ]
+    body = F.concat_ws(",", *cells, F.when(kind == "view", F.lit("7")))
+    second = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    replies = table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit('{"body":{"'), second, F.lit('":['), body, F.lit("]}}")).alias("value")
+    )
+    rejects = measure_rejects(replies, ["Temperature", "Humidity"], "station", keep=["event_id"])
+    return rejects.select("event_id", "raw", "reason")
+
+
+@query(
+    "counter_page_files",
+    f"""WITH {COUNTERS_SQL} SELECT cumul AS circuit9_cumul, user_id AS circuit10_cumul, curr AS circuit9_curr FROM m""",
+)
+def counter_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter pages saved many to a file, through the reader."""
+    cells = [F.lit(str(n)) for n in range(26)]
+    cells[9], cells[10], cells[18] = (F.col(c).cast("string") for c in ("cumul", "user_id", "curr"))
+    page = F.concat(F.lit("<html><body>"), F.concat_ws(",", *cells), F.lit("<br>\n</body></html>"))
+    path = scratch_path(spark, "counter-pages")
+    counters(spark, sf_dir).select(page.alias("value")).write.text(path)
+    return read_counter_pages(spark, path).select("circuit9_cumul", "circuit10_cumul", "circuit9_curr")
+
+
+@query(
+    "csv_columns_reordered",
+    f"""WITH {COUNTERS_SQL} SELECT ts, cumul AS circuit9_cumul, user_id AS circuit10_cumul FROM m""",
+)
+def csv_columns_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily export with its columns in another order, read by name."""
+    given = {"circuit9_cumul": F.col("cumul"), "circuit10_cumul": F.col("user_id")}
+    cells = [f"circuit{n}_cumul" for n in range(16, 8, -1)]
+    path = scratch_path(spark, "reordered")
+    rows = counters(spark, sf_dir).select(*[given.get(c, F.lit(None).cast("bigint")).alias(c) for c in cells], "ts")
+    write_csv(rows, path, ts_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return read_counter_csv(spark, path, layout="daily").select(ntz("ts"), "circuit9_cumul", "circuit10_cumul")
+
+
+@query("csv_small_files", "SELECT event_id, value FROM events")
+def csv_small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written under a limit of rows for each file, which must cost none."""
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    path = scratch_path(spark, "small-files")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "100")
+    try:
+        write_csv(table(spark, sf_dir, "events").select("event_id", "value"), path)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    return spark.read.schema("event_id bigint, value double").option("header", True).csv(path)
+
+
+@query("xml_rejects", "SELECT reason, count(*) AS n FROM (SELECT 'no device id' AS reason FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1")
+def xml_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of which every seventh has lost its device."""
+    value = F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("<Id>"), F.col("o_custkey").cast("string"), F.lit("</Id>"))
+    )
+    reply = F.concat(F.lit("<MBusData><SlaveInformation>"), value, F.lit("<Version>1</Version></SlaveInformation></MBusData>"))
+    path = scratch_path(spark, "cut-replies")
+    table(spark, sf_dir, "orders").select(reply.alias("value")).write.text(path)
+    rejects = read_meter_replies(spark, path, 1)[2]
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "water_stats_many_devices",
+    """WITH b AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, date_trunc('day', l_shipdate) + INTERVAL 1 DAY AS gts, count(*) AS cnt,
+    max(CAST(l_quantity AS BIGINT)) AS peak, max(l_orderkey) AS cumul FROM lineitem GROUP BY 1, 2)
+    SELECT b.id, b.gts, b.cnt, b.peak, b.cumul, b.cumul - p.cumul AS delta FROM b
+    LEFT JOIN b p ON p.id = b.id AND p.gts = b.gts - INTERVAL 1 DAY""",
+)
+def water_stats_many_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of as many meters as there are suppliers, a row for each meter and day."""
+    readings = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("id"),
+        F.col("l_shipdate").alias("recordTimestamp"),
+        F.col("l_quantity").cast("bigint").alias("power"),
+        F.col("l_orderkey").alias("heatingEnergy"),
+    )
+    stats = device_stats(readings, "recordTimestamp", "1 day", "power", "heatingEnergy")
+    return stats.select("id", ntz("gts"), "cnt", "peak", "cumul", "delta")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     # A file source wants a folder or a pattern; this pattern fits the table as one file or as many.

@@ -136,7 +136,7 @@ def load_readings(
 
 
 def load_water(spark: SparkSession, reading_table: str, stats_table: str, devices: list[str], now=None) -> None:
-    """Closed minutes of up to eight heat meters to their statistics.
+    """Closed minutes of up to eight heat meters to their statistics; more are an error (``operators.readings.device_stats`` takes any number).
 
     The bucket before the stored mark is rolled up again as the predecessor, so loading in
     parts gives what one load would.

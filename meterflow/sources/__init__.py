@@ -1,11 +1,12 @@
 """Readers for the feeds and writers for tables and CSV."""
 
-from meterflow.sources.climate import explode_measures, read_measures  # noqa: F401
+from meterflow.sources.climate import explode_measures, measure_rejects, read_measures  # noqa: F401
 from meterflow.sources.files import (  # noqa: F401
     read_counter_csv,
     read_counter_pages,
     read_day_files,
     read_meter_csv,
+    read_meter_replies,
     read_meter_xml,
 )
 from meterflow.sources.tables import (  # noqa: F401

@@ -10,6 +10,7 @@ from meterflow.sources import (
     ensure_table,
     explode_measures,
     load_series,
+    measure_rejects,
     overwrite,
     power_stats_rows,
     read_counter_csv,
@@ -17,15 +18,18 @@ from meterflow.sources import (
     read_day_files,
     read_measures,
     read_meter_csv,
+    read_meter_replies,
     read_meter_xml,
     scan,
     stats_all,
+    water_stats_rows,
     write_csv,
 )
 
 
 def put(folder, name, text):
     path = folder / name
+    path.parent.mkdir(exist_ok=True)
     path.write_text(text)
     return str(path)
 
@@ -47,44 +51,44 @@ def test_counter_feed(spark, tmp_path):
     cells = [f"circuit{n}_{p}" for p in ("cumul", "curr") for n in range(9, 17)]
     lines = [
         ",".join(f'"{c}"' for c in ["id", "ts", *cells]),
-        '1,"2016-01-06 12:00:00.123456",' + ",".join(["5"] * 16),
-        '2,"2016-01-06 12:00:05.000001",' + ",".join(['""'] + ["7"] * 15),
+        '1,"2030-01-02 03:04:05.123456",' + ",".join(["5"] * 16),
+        '2,"2030-01-02 03:04:10.000001",' + ",".join(['""'] + ["7"] * 15),
     ]
     path = put(tmp_path, "feed.csv", "\n".join(lines) + "\n")
     got = sorted(read_counter_csv(spark, path).collect(), key=lambda r: r.ts)
     assert "id" not in got[0].asDict()
-    assert [r.eventNanoTs for r in got] == [1452081600123456000, 1452081605000001000]
+    assert [r.eventNanoTs for r in got] == [1893553445123456000, 1893553450000001000]
     assert [r.circuit9_cumul for r in got] == [5, None] and got[1].circuit16_curr == 7
 
 
 def test_daily_export(spark, tmp_path):
     header = ",".join(f'"{c}"' for c in ["ts", *[f"circuit{n}_cumul" for n in range(9, 17)]])
-    path = put(tmp_path, "daily.csv", header + '\n"2015-01-05 22:27:43.733312","","","",9760,"",45722,45945,45204\n')
+    path = put(tmp_path, "daily.csv", header + '\n"2031-03-04 05:06:07.000008","","","",41,"",52,63,74\n')
     got = read_counter_csv(spark, path).first()
-    assert (got.circuit9_cumul, got.circuit12_cumul, got.circuit16_cumul) == (None, 9760, 45204)
+    assert (got.circuit9_cumul, got.circuit12_cumul, got.circuit16_cumul) == (None, 41, 74)
 
 
 def test_meter_feed(spark, tmp_path):
     names = [f.name for f in schemas.METER_FEED]
-    row = {"rowId": "1", "accessNumber": "7", "id": '"67"', "recordTimestamp": '"2016-01-28T06:48:13.000000Z"', "temp1": "21.5"}
+    row = {"rowId": "1", "accessNumber": "7", "id": '"67"', "recordTimestamp": '"2030-05-06T07:08:09.000000Z"', "temp1": "21.5"}
     path = put(tmp_path, "meter.csv", ",".join(names) + "\n" + ",".join(row.get(n, '""') for n in names) + "\n")
     got = read_meter_csv(spark, path).first()
-    assert got.recordNanoTs == 1453963693000000000 and got.temp1 == 21.5 and got.heatingEnergy is None
+    assert got.recordNanoTs == 1904281689000000000 and got.temp1 == 21.5 and got.heatingEnergy is None
     assert "rowId" not in got.asDict()
 
 
 def test_day_files(spark, tmp_path):
-    put(tmp_path, "one.csv", 'Timestamp;ts;value;Humidity\n1420149843;"2015/01/02 00:04:03";3.4;99\n1420150552;"2015/01/02 00:15:52";;98\n')
+    put(tmp_path, "one.csv", 'Timestamp;ts;value;Humidity\n1893456000;"2030/01/01 02:00:00";-7.5;61\n1893456900;"2030/01/01 02:15:00";;62\n')
     put(tmp_path, "none.csv", "Timestamp;ts;value;Humidity\n")
     got = sorted(read_day_files(spark, str(tmp_path / "*.csv"), "Europe/Helsinki").collect(), key=lambda r: r.ts)
     assert [str(r.local_as_utc) for r in got] == [str(r.ts.replace(tzinfo=None)) for r in got]
-    assert [(r.value, r.humidity) for r in got] == [(3.4, 99), (None, 98)]
+    assert [(r.value, r.humidity) for r in got] == [(-7.5, 61), (None, 62)]
     assert read_day_files(spark, str(tmp_path / "none.csv")).count() == 0
 
 
 def test_climate(spark):
     replies = [
-        ('{"body":{"1397154014":[12.7,68],"1397154276":[15.3,null]}}',),
+        ('{"body":{"1900000000":[4.25,31],"1900000300":[5.75,null]}}',),
         ('{"body":[]}',),
         ('{"body":{}}',),
         ("no json",),
@@ -92,17 +96,17 @@ def test_climate(spark):
     df = spark.createDataFrame(replies, "value string")
     got = explode_measures(df, ["Temperature", "Humidity"], "dev", "outdoor", "station").collect()
     assert sorted((str(r.eventTimestamp), r.eventType, float(r.value)) for r in got) == [
-        ("2014-04-10 18:20:14", "Humidity", 68.0),
-        ("2014-04-10 18:20:14", "Temperature", 12.7),
-        ("2014-04-10 18:24:36", "Temperature", 15.3),
+        ("2030-03-17 17:46:40", "Humidity", 31.0),
+        ("2030-03-17 17:46:40", "Temperature", 4.25),
+        ("2030-03-17 17:51:40", "Temperature", 5.75),
     ]
     assert {(r.sourceId, r.sourceType, r.locationType) for r in got} == {("dev", "station", "outdoor")}
 
 
 def test_climate_files(spark, tmp_path):
-    put(tmp_path, "r.json", '{"body":{"1397154014":[12.7,68]}}\n{"body":{"1397154276":[15.3,35]}}\n')
+    put(tmp_path, "r.json", '{"body":{"1900000000":[4.25,31]}}\n{"body":{"1900000300":[5.75,33]}}\n')
     got = read_measures(spark, str(tmp_path), ["Temperature", "Humidity"], "dev", "outdoor", "station")
-    assert sorted(float(r.value) for r in got.collect()) == [12.7, 15.3, 35.0, 68.0]
+    assert sorted(float(r.value) for r in got.collect()) == [4.25, 5.75, 31.0, 33.0]
 
 
 def reply(device, access, *records):
@@ -118,24 +122,24 @@ def reply(device, access, *records):
     )
 
 
-def one(n, value, unit="Power;100;W", ts="2016-01-28T06:48:13", extra="", more=""):
+def one(n, value, unit="Power;100;W", ts="2030-05-06T07:08:09", extra="", more=""):
     return (n, value, unit, ts, extra, more)
 
 
 def test_meter_xml(spark, tmp_path):
-    first = reply("67285016", 12, one(0, 5), one(11, 3, extra=' frame="0"', more="<Tariff>1</Tariff><Device>2</Device>"))
+    first = reply("M-0001", 12, one(0, 5), one(11, 3, extra=' frame="0"', more="<Tariff>1</Tariff><Device>2</Device>"))
     put(tmp_path, "single.xml", '<?xml version="1.0" encoding="ISO-8859-1"?>\n' + first)
     put(tmp_path, "many.xml", "\n".join(reply(f"d{n}", n, one(1, n)) for n in range(4)))
     put(tmp_path, "log.xml", "<log>" + reply("x", 1, one(1, 7)) + reply("y", 1, one(1, 8)) + "</log>\n")
     devices, records = read_meter_xml(spark, str(tmp_path), address=31)
-    assert {r.id for r in devices.collect()} == {"67285016", "d0", "d1", "d2", "d3", "x", "y"}
+    assert {r.id for r in devices.collect()} == {"M-0001", "d0", "d1", "d2", "d3", "x", "y"}
     assert devices.columns == [f.name for f in schemas.DEVICE][:9]
     got = {(r.id, r.recordId): r for r in records.collect()}
     assert len(got) == 8
-    full = got["67285016", 11]
+    full = got["M-0001", 11]
     assert (full.address, full.accessNumber, full.recordFrame, full.recordTariff, full.recordDevice) == (31, 12, "0", "1", "2")
-    assert (full.recordUnit, full.recordValue, str(full.recordTimestamp)) == ("Power;100;W", "3", "2016-01-28 06:48:13")
-    assert got["67285016", 0].recordTariff is None
+    assert (full.recordUnit, full.recordValue, str(full.recordTimestamp)) == ("Power;100;W", "3", "2030-05-06 07:08:09")
+    assert got["M-0001", 0].recordTariff is None
     assert records.columns == [f.name for f in schemas.DEVICE_RECORD]
 
 
@@ -160,9 +164,9 @@ def test_tables(spark, tmp_path):
 
 def test_load_series_times(spark, tmp_path):
     path = str(tmp_path / "series")
-    spark.createDataFrame([(1453963693123456000, "2016-01-28T06:48:13.123456Z", 5)], "ns bigint, t string, v int").write.parquet(path)
+    spark.createDataFrame([(1904281689123456000, "2030-05-06T07:08:09.123456Z", 5)], "ns bigint, t string, v int").write.parquet(path)
     by_ns, by_text = (load_series(spark, path, ["v"], c, unit).first() for c, unit in (("ns", "ns"), ("t", "text")))
-    assert by_ns == by_text and str(by_ns.ts) == "2016-01-28 06:48:13.123456"
+    assert by_ns == by_text and str(by_ns.ts) == "2030-05-06 07:08:09.123456"
 
 
 def test_stats_rows(spark):
@@ -176,8 +180,8 @@ def test_stats_rows(spark):
 @pytest.mark.parametrize("na_rep", ["", "NaN"])
 def test_csv_text(spark, na_rep):
     df = spark.createDataFrame([(1, 2.5, 'say "hi", you', True), (None, None, None, None)], "a int, b double, c string, d boolean")
-    df = df.withColumn("ts", F.lit("2016-01-22 22:05:04").cast("timestamp"))
-    ts = '"2016-01-22T22:05:04.000000Z"'
+    df = df.withColumn("ts", F.lit("2030-01-22 22:05:04").cast("timestamp"))
+    ts = '"2030-01-22T22:05:04.000000Z"'
     assert [r.line for r in csv_lines(df, na_rep).collect()] == [
         f'1,2.5,"say ""hi"", you","true",{ts}',
         ",".join([f'"{na_rep}"'] * 4 + [ts]),
@@ -193,3 +197,56 @@ def test_csv_files(spark, tmp_path):
     write_csv(spark.range(0), str(tmp_path / "none"))
     assert spark.read.text(str(tmp_path / "none")).collect()[0].value == '"id"'
     assert spark.read.option("header", True).csv(path).count() == 10
+
+
+def test_csv_by_name(spark, tmp_path):
+    names = ["ts", *[f"circuit{n}_cumul" for n in range(9, 17)]]
+    row = dict(zip(names, ['"2030-01-01 00:00:00.000000"', *map(str, range(1, 9))]))
+    turned = list(reversed(names))
+    path = put(tmp_path, "turned/a.csv", ",".join(turned) + "\n" + ",".join(row[n] for n in turned) + "\n")
+    got = read_counter_csv(spark, path, layout="daily").first()
+    assert (got.circuit9_cumul, got.circuit16_cumul) == (1, 8) and got.ts is not None
+    put(tmp_path, "mixed/a.csv", ",".join(names) + "\n" + ",".join(row[n] for n in names) + "\n")
+    put(tmp_path, "mixed/b.csv", ",".join(turned) + "\n" + ",".join(row[n] for n in turned) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_counter_csv(spark, str(tmp_path / "mixed")).collect()
+    with pytest.raises(ValueError, match="layout"):
+        read_counter_csv(spark, path, layout="feed")
+
+
+def test_small_csv_files(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        write_csv(spark.range(10), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 10
+
+
+def test_bad_cells(spark):
+    df = spark.createDataFrame([('{"body":{"1900000000":[1.5,"x"],"1900000300":[99999999999999,2,3],"soon":[1]}}',), ("cut",)], "value string")
+    types = ["Temperature", "Humidity"]
+    good = explode_measures(df, types, "dev", "outdoor", "station").collect()
+    assert sorted(float(r.value) for r in good) == [1.5, 2.0]
+    bad = {(r.raw, r.reason) for r in measure_rejects(df, types, "dev").collect()}
+    assert bad == {("1900000000:1:x", "no number"), ("1900000300:0:99999999999999", "too large"), ("1900000300:2:3", "no type"), ("soon:0:1", "no time"), ("cut", "no reply")}
+
+
+def test_cut_off_reply(spark, tmp_path):
+    put(tmp_path, "a.xml", reply("d1", 1, one(1, 5)) + "<MBusData><SlaveInformation><Manufact")
+    devices, records, rejects = read_meter_replies(spark, str(tmp_path), 3)
+    assert [r.id for r in devices.collect()] == ["d1"] and records.count() == 1
+    assert [r.reason for r in rejects.collect()] == ["no device id"]
+
+
+def test_statistics_keep_all_devices(spark):
+    rolled = spark.sql("SELECT timestamp'2030-01-01' AS gts, 1L AS cnt, timestamp'2030-01-01' AS prev_gts, 1L AS c1_delta, 2L AS c9_delta")
+    with pytest.raises(ValueError, match="c9_delta"):
+        water_stats_rows(rolled)
+    assert water_stats_rows(rolled.drop("c9_delta")).first().c1_indirect is False
+
+
+def test_pages_in_one_file(spark, tmp_path):
+    page = "<html><body>" + ",".join(str(10 * n) for n in range(26)) + "<br>\n</body></html>"
+    path = put(tmp_path, "many.html", "\n".join([page] * 3) + "\n")
+    assert [r.circuit9_cumul for r in read_counter_pages(spark, path).collect()] == [90] * 3
