@@ -29,6 +29,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents that labelled strings are taken from: for random strings, and for ordinary ones.
 RANDOM_DOCS, ORDINARY_DOCS = 20_000, 2_000
 
+#: Pairs of characters that a character's own frequency weighs as much as.
+BACKOFF = 5.0
+
 #: Elements that are added up in one go; keeps sums over long arrays from copying all that came before.
 BLOCK = 256
 
@@ -53,22 +56,39 @@ def _bigrams(strings: DataFrame) -> DataFrame:
     return pairs.groupBy("label", "pair").agg(F.sum("weight").alias("n"))
 
 
+def _log_likelihoods(counts: list[list[float]], uniform: float) -> list[float]:
+    """Log probability of each character after each other one.
+
+    Pairs back off to the character's own frequency, with the weight of ``BACKOFF`` pairs, and a share ``uniform`` of the
+    probability is the same for all characters.
+    """
+    size = len(ALPHABET)
+    single = [0.5 + sum(row[j] for row in counts) for j in range(size)]
+    all_ = sum(single)
+    out = []
+    for row in counts:
+        n = sum(row)
+        out += [
+            math.log((1 - uniform) * (row[j] + BACKOFF * single[j] / all_) / (n + BACKOFF) + uniform / size)
+            for j in range(size)
+        ]
+    return out
+
+
 def train(strings: DataFrame, threshold: float = 1.0) -> MarkovModel:
     """Models of both labels from ``label`` (``random`` or ``ordinary``), ``value`` and ``weight``.
 
-    Counts are smoothed by one for each pair; what comes to the driver is at most two tables of pairs of characters.
+    Half of the random model is the even distribution over the alphabet, so that random strings of other
+    alphabets than the sample's are known too. What comes to the driver is at most two tables of pairs of characters.
     """
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
-    counts = {k: [[1.0] * size for _ in range(size)] for k in ("random", "ordinary")}
+    counts = {k: [[0.0] * size for _ in range(size)] for k in ("random", "ordinary")}
     pairs = _bigrams(strings).where(F.col("pair").rlike(f"^[{ALPHABET[:-5]}+/_=-]{{2}}$"))
     for r in pairs.collect():
         counts[r.label][place[r.pair[0]]][place[r.pair[1]]] += float(r.n)
-    ratios = []
-    for i in range(size):
-        a, b = counts["random"][i], counts["ordinary"][i]
-        ratios += [math.log(x / sum(a)) - math.log(y / sum(b)) for x, y in zip(a, b, strict=True)]
-    return MarkovModel(tuple(ratios), threshold)
+    random, ordinary = _log_likelihoods(counts["random"], 0.5), _log_likelihoods(counts["ordinary"], 0.0)
+    return MarkovModel(tuple(a - b for a, b in zip(random, ordinary, strict=True)), threshold)
 
 
 def labelled_strings(docs: DataFrame, random_docs: int = RANDOM_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:

@@ -1,0 +1,279 @@
+"""Operators on texts of single documents, against brute force."""
+
+import collections
+import datetime
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meterflow.llm import html, language, pseudonyms, repetition, secrets, toxicity
+from meterflow.llm.texts import word_hashes
+
+
+def test_word_hashes():
+    texts = ["a b  A\n", "", None, " x\x0by", "a"]
+    hashes, first = word_hashes(texts, lower=True)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    assert np.diff(first).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert [[flat[i] == flat[j] for j in range(6)] for i in range(6)] == [[hashes[i] == hashes[j] for j in range(6)] for i in range(6)]
+
+
+# Language
+
+
+def language_rows():
+    rng = random.Random(3)
+    parts = {"en": ["the", "ing", "th", "and"], "de": ["sch", "ung", "der", "ein"], "fr": ["eau", "les", "ou", "ent"]}
+    return [(i, " ".join("".join(rng.choices(p, k=2)) for _ in range(30)), lang) for i, (lang, p) in enumerate(list(parts.items()) * 40)]
+
+
+def test_language(docs):
+    rows = language_rows()
+    model = language.fit(docs(*rows[:90]))
+    assert model.languages == ["de", "en", "fr"]
+    test = docs(*rows[90:], (900, None), (901, "123 !"), (902, "schungxq"), (903, "THING and THE"))
+    got = {r.doc_id: r for r in language.predict(test, model).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows[90:])
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "de" and got[903].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_backs_off_to_shorter_pieces():
+    tables = [{"known": np.array([-1.0, -2.0])}, {"x": np.array([-9.0, -3.0])}, {" q": np.array([-5.0, -6.0])}]
+    model = language.LanguageModel(["a", "b"], tables)
+    assert model.word("known").tolist() == [-1, -2] and model.word("qqx").tolist() == [-5, -6]
+    assert model.word("zx").tolist() == [-9, -3] and model.word("zz").tolist() == [0, 0]
+
+
+def test_language_of_odd_rows(odd, none, docs):
+    model = language.fit(docs(*language_rows()[:30]))
+    assert language.predict(odd, model).count() == 9 and language.predict(none, model).count() == 0
+    empty = language.fit(none)
+    assert {r.lang_pred for r in language.predict(odd, empty).collect()} == {"und"}
+
+
+# Secrets
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(t):
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(s)
+
+
+def joined(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+SECRET_TEXTS = [
+    "", "nothing here", "token:token: abcdefgh", 'PassWord = "hunter22" é😀 token=abc', "api_key='x' apikey: abcdef0123456789abcdef012345",
+    "AKIA" + "A" * 16 + " AKIA" + "B" * 15 + "!AKIAAKIA" + "C" * 20, "0123456789abcdef" * 3 + "G" + "f" * 23, "secret:secret=secret:abcdef",
+    " ".join(f"token=abcdef{i}" for i in range(700)), "token=" + "z" * 6, "token=" + "z" * 5,
+]
+
+
+def sample(spark):
+    rng = random.Random(5)
+    chars = secrets.ALPHABET[:62]
+    rows = [("random", "".join(rng.choices(chars, k=40)), 1) for _ in range(300)]
+    rows += [("ordinary", w, 3) for w in ("configuration internationalisation_of_things get-user-name understanding overwhelming responsibility").split()]
+    return spark.createDataFrame(rows, "label string, value string, weight int")
+
+
+def test_secrets_against_brute_force(spark, docs):
+    model = secrets.train(sample(spark))
+    texts = dict(enumerate(SECRET_TEXTS))
+    got = {r.doc_id: r for r in secrets.secret_spans(docs(*texts.items()), model).collect()}
+    for i, t in texts.items():
+        want = base_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest(), t[:80]
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
+
+
+def test_markov_adds_spans(spark, docs):
+    model = secrets.train(sample(spark))
+    key = "qZ7rT2xKp9LmW4vBn8sYd3FgHj6c"
+    text = f"the configurationinternationalisation uses {key} as it stands and token=abcdef99 too"
+    row = secrets.secret_spans(docs((1, text)), model).first()
+    at = text.index(key)
+    assert row.n_markov == 1 and f"markov:{at}:{at + len(key)}" in row.spans and "assign:" in row.spans
+    clean = secrets.redact(docs((1, text), (2, "clean"), (3, None)), model).orderBy("doc_id").collect()
+    assert clean[0].text == text.replace(key, "[SECRET]").replace("token=abcdef99", "[SECRET]") and clean[0].n_chars == len(clean[0].text)
+    assert (clean[1].text, clean[2].text) == ("clean", None)
+
+
+def test_secrets_use_no_python(spark, docs):
+    plan = secrets.redact(docs((1, "x")), secrets.train(sample(spark)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_of_odd_rows(spark, odd, none):
+    model = secrets.train(secrets.labelled_strings(odd))
+    rows = secrets.secret_spans(odd, model).collect()
+    assert len(rows) == 9 and {r.spans for r in rows} == {""}
+    assert secrets.secret_spans(none, secrets.train(secrets.labelled_strings(none))).count() == 0
+    assert secrets.redact(odd, model).columns == odd.columns
+
+
+# Pages
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>A long header of the site with a lot of words in it, so
+many that they alone would be a text.</p></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>%s
+<div class="sidebar"><p>Words of the sidebar that go on and on, until they are long enough for a surge of their own.</p></div>
+<div id="comments"><p>I have a lot to say about this article, and I say all of it here, in one comment.</p></div>
+<form><p>Subscribe to our newsletter and get a lot of letters that you may or may not read one day.</p></form><footer>&copy; us</footer></body></html>"""
+BODY = "<h1>A &amp; B</h1><p>The first paragraph, which is long enough to\n be the text of an <b>article</b>, one would hope at least.</p><p>So.</p><p>x &lt; y, caf&#233;&nbsp;!</p>"
+WANT = "A & B\nThe first paragraph, which is long enough to be the text of an article, one would hope at least.\nSo.\nx < y, café !"
+
+
+@pytest.mark.parametrize("body", [f"<article>{BODY}</article>", f"<main><div>{BODY}</div></main>", f'<div class="content">{BODY}</div>'])
+def test_main_text(body):
+    assert html.main_text(PAGE % body) == WANT
+
+
+def test_main_text_leaves_out_what_is_inside():
+    inside = BODY.replace("<p>So.", '<div class="ad">Buy this</div><aside>See also</aside><script>var t="</p>";</script><!-- <p>no</p> --><p>So.')
+    assert html.main_text(PAGE % f"<article>{inside}<h3>Comments (3)</h3><p>First!</p></article>") == WANT
+    assert html.main_text(PAGE % f"<article>{inside}</article>") == WANT
+
+
+def test_surge_and_dive():
+    menu = "<li><a href=x>A link of a menu that is rather long</a></li>"
+    text = "".join(f"<div>{t}</div>" for t in ["x" * 90, "short", "y" * 30])
+    assert html.main_text(menu * 4 + text + menu * 3 + "<div>end</div>" + menu * 3).split("\n") == ["x" * 90, "short", "y" * 30]
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "plain"), (4, "u", "<p>a<p"), (5, "u", "<" * 5000), (6, "u", "<p>" * 20_000 + "deep"), (7, "u", "a < b & c"), (7, "u", "a < b & c")]
+    got = html.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got if r.page_id != 5) == [(0, "plain", 5), (1, "", 0), (2, "", 0), (4, "a", 1), (6, "deep", 4), (7, "a < b & c", 9), (7, "a < b & c", 9)]
+
+
+# Repetition
+
+
+def brute_repetition(text, window=8):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = collections.Counter(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    marked, covered, longest = set(), set(), 0
+    for i in range(len(w)):
+        best = 0
+        for j in range(len(w)):
+            n = 0
+            while i != j and max(i, j) + n < len(w) and w[i + n] == w[j + n]:
+                n += 1
+            best = max(best, n)
+        longest = max(longest, best)
+        if best >= window:
+            covered.update(range(i, i + best))
+        if grams.get(tuple(w[i : i + window]), 0) > 1:
+            marked.update(range(i, i + window))
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            lines += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), lines, len(marked), len(covered), longest
+
+
+def test_repetition_against_brute_force(docs):
+    rng = random.Random(2)
+    texts = {i: " ".join(rng.choices("ab", k=rng.randrange(60))) for i in range(40)}
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts |= {100: passage, 101: f"{passage} # {passage}\n{passage}", 102: "x " * 50, 103: None, 104: "", 105: "a\na\n\n \na|b", 106: passage + " " + passage[:40]}
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs(*texts.items()).coalesce(1)).collect()}
+    for i, t in texts.items():
+        r, want = got[i], brute_repetition(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[:5], t
+        assert (round(r.repeat_fraction * max(1, r.n_words)), r.longest_repeat) == want[5:], t
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+    assert got[100].kept and not got[101].kept and not got[104].kept
+
+
+def test_repetition_of_odd_rows(odd, none):
+    assert repetition.repetition_rules(odd).count() == 9 and repetition.repetition_rules(none).count() == 0
+
+
+# Pseudonyms
+
+
+def test_feistel_is_a_permutation():
+    f = pseudonyms.Feistel(b"key")
+    for size in (1, 2, 10, 97, 1000):
+        out = [f.permute(x, size, b"t") for x in range(size)]
+        assert sorted(out) == list(range(size)) and [f.permute(y, size, b"t", back=True) for y in out] == list(range(size))
+    assert [f.permute(x, 1000, b"t") for x in range(9)] != [pseudonyms.Feistel(b"other").permute(x, 1000, b"t") for x in range(9)]
+
+
+VALUES = {
+    "email": ["jo.81@mail7.example.com", "é.X@host.org"], "card": ["4111111111111111", "4111-1111-1111-1111", "378282246310005"],
+    "phone": ["+1 (017) 555-7713", "(555) 123-4567", "+49 30 123 4567"], "ip": ["97.51.17.173"], "ssn": ["123-45-6789"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "date": ["2020-02-29", "3.4.2020", "12/31/1999"],
+}
+
+
+@pytest.mark.parametrize("kind", pseudonyms.KINDS)
+def test_values_keep_format_and_come_back(kind):
+    f = pseudonyms.Feistel(b"key")
+    for value in VALUES[kind]:
+        text, counts = pseudonyms.pseudonymise(f"a {value}, b {value}.", f)
+        new = text[2 : text.index(", b ")]
+        assert counts == {kind: 2} and new != value and text == f"a {new}, b {new}."
+        assert pseudonyms.pseudonymise(text, f, back=True)[0] == f"a {value}, b {value}."
+        if kind == "card":
+            assert pseudonyms._checksum_ok(pseudonyms._digits(new)) and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+        if kind == "date" and "-" in value:
+            datetime.date.fromisoformat(new)
+
+
+@pytest.mark.parametrize("text", ["4785380592391138", "300.1.1.1", "1.2.3.4.5", "2023-02-30", "DE88 3704 0044 0532 0130 00", "666-45-6789", "no@host", "12345"])
+def test_what_fails_its_check_stays(text):
+    assert pseudonyms.pseudonymise(f"x {text} y", pseudonyms.Feistel(b"key")) == (f"x {text} y", {})
+
+
+def test_pseudonyms_link_documents(docs, odd, none):
+    got = {r.doc_id: r for r in pseudonyms.pseudonyms(docs((1, "ip 97.51.17.173"), (2, "97.51.17.173!"), (3, None)), b"key").collect()}
+    assert got[1].text[3:] == got[2].text[:-1] and (got[1].n_ip, got[3].text, got[3].n_ip) == (1, None, 0)
+    assert pseudonyms.pseudonyms(odd, b"key").count() == 9 and pseudonyms.pseudonyms(none, b"key").count() == 0
+
+
+# Toxicity
+
+
+def toxic_rows():
+    rng = random.Random(4)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(60)]
+        bad = i % 4 == 0
+        for _ in range(3 if bad else 0):
+            words[rng.randrange(60)] = rng.choice(["worthless", "pathetic", "disgusting"])
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+def test_toxicity_held_out_and_misspelt(spark, docs):
+    rows = toxic_rows()
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows[:300]] + [(None, 1), (9999, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(*[r[:2] for r in rows]), labels, epochs=80)
+    scores = {r.doc_id: r for r in toxicity.toxicity_scores(docs(*[r[:2] for r in rows[300:]]), model).collect()}
+    assert all((scores[i].score > 0.5) == bool(b) for i, _, b in rows[300:])
+    margins = dict(zip(("worthles", "patthetic", "onre"), model.word_margins(["worthles", "patthetic", "onre"]), strict=True))
+    assert margins["worthles"] > 5 * abs(margins["onre"]) and margins["patthetic"] > 5 * abs(margins["onre"])
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    model = toxicity.fit(none, spark.createDataFrame([], "doc_id bigint, toxic int"))
+    rows = toxicity.toxicity_scores(odd, model).collect()
+    assert len(rows) == 9 and {(r.score, r.predicted) for r in rows} == {(0.5, 0)}
+    assert toxicity.without_toxic(odd, model).columns == odd.columns and toxicity.without_toxic(odd, model).count() == 9
+    assert toxicity.toxicity_scores(none, model).count() == 0
