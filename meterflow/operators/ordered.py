@@ -1,9 +1,9 @@
 """Ordered work inside series of any size.
 
 A plain window sorts a whole series in one task, which fails when one series
-holds a large share of all rows. Here the rows are stored and counted first. A table
-small enough for one task gets the plain window. Anything larger is range
-partitioned on key *and* order, so a long series is spread over many tasks, and each
+holds a large share of all rows. Here the rows of each series are counted first. Series
+that one task can hold get the plain window: one shuffle, nothing stored. Longer ones are stored and
+range partitioned on key *and* order, so that a series is spread over many tasks, and each
 row gets its place in the series from small per-partition counts.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from meterflow.session import small_side, written
+from meterflow.session import hint_if_small, small_side, written
 
 #: Rows one task may sort for a window; longer series are cut into blocks of this size.
 BLOCK_ROWS = 500_000
@@ -32,14 +32,42 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> D
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
-def _stored(df: DataFrame, block_rows: int) -> tuple[DataFrame, bool]:
-    """The rows with a number each, stored; and whether one task could hold them all.
+def _by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    block_rows: int,
+    usual: Callable[[DataFrame], DataFrame],
+    split: Callable[[DataFrame, int], DataFrame],
+) -> DataFrame:
+    """``usual`` for the series of at most ``block_rows`` rows, ``split`` for the rows of longer ones.
+
+    Both give the same rows and only differ in how the work is laid out. Counting combines in the
+    input tasks; the list of long series has less than rows / ``block_rows`` entries.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows)
+    large = written(counts, "large")
+    rows = large.agg(F.sum("__n")).first()[0]
+    if not rows:
+        return usual(df)
+    if not keys:
+        return split(df, rows)
+    names = hint_if_small(large.select(*keys))
+    rest, hot = (join_on(df, names, keys, how) for how in ("left_anti", "left_semi"))
+    return usual(rest).unionByName(split(hot, rows))
+
+
+def _tie(df: DataFrame) -> Column:
+    """Tells rows of equal order apart; rows that are equal in all columns are interchangeable."""
+    return F.xxhash64(*df.columns)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows with a number each, stored.
 
     The number tells equal rows apart, so that a mass of them can be split as well. Storing
     also spares the second run over the input that sampling for the ranges would need.
     """
-    rows = written(df.withColumn("__copy", F.monotonically_increasing_id()), "rows")
-    return rows, rows.count() <= block_rows
+    return written(df.withColumn("__tie", _tie(df)).withColumn("__copy", F.monotonically_increasing_id()), "rows")
 
 
 def _with_offsets(
@@ -52,7 +80,7 @@ def _with_offsets(
     executors are lost. The sums have one row per key and partition the key touches:
     partitions + keys rows in all.
     """
-    sort = [*keys, *order, "__copy"]
+    sort = [*keys, *order, "__tie", "__copy"]
     split = rows.repartitionByRange(partitions, *sort) if partitions else rows.repartitionByRange(*sort)
     ranged = written(
         split.sortWithinPartitions(*sort).select(
@@ -75,13 +103,16 @@ def _with_offsets(
     return join_on(ranged, small_side(offsets), [*keys, "__part"], "left")
 
 
-def _positions(
-    rows: DataFrame, small: bool, keys: Sequence[str], order: Sequence[str], partitions: int | None
+def _ranges(rows: int, block_rows: int, partitions: int | None) -> int:
+    """As many ranges as leave each about ``block_rows`` rows."""
+    return partitions or -(-rows // block_rows)
+
+
+def _placed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, block_rows: int, partitions: int | None
 ) -> tuple[DataFrame, Column, Column]:
-    if small:
-        series = Window.partitionBy(*keys)
-        return rows, F.row_number().over(series.orderBy(*order, "__copy")), F.count(F.lit(1)).over(series)
-    placed = _with_offsets(rows, keys, order, F.count(F.lit(1)), partitions)
+    """Stored rows, their place in the series and the rows of it."""
+    placed = _with_offsets(_stored(df), keys, order, F.count(F.lit(1)), _ranges(rows, block_rows, partitions))
     return placed, F.col("__before") + F.col("__row") - F.col("__first") + 1, F.col("__size")
 
 
@@ -95,9 +126,19 @@ def positions(
     partitions: int | None = None,
 ) -> DataFrame:
     """Add the 1-based place of each row in its series, and with ``size`` the rows of the series."""
-    placed, pos, total = _positions(*_stored(df, block_rows), keys, order, partitions)
-    added = [pos.cast("bigint").alias(name)] + ([total.alias(size)] if size else [])
-    return placed.select(*df.columns, *added)
+
+    def added(placed: DataFrame, pos: Column, total: Column) -> DataFrame:
+        return placed.select(
+            *df.columns, pos.cast("bigint").alias(name), *([total.cast("bigint").alias(size)] if size else [])
+        )
+
+    def usual(rest: DataFrame) -> DataFrame:
+        series = Window.partitionBy(*keys)
+        return added(rest, F.row_number().over(series.orderBy(*order, _tie(df))), F.count(F.lit(1)).over(series))
+
+    return _by_size(
+        df, keys, block_rows, usual, lambda hot, rows: added(*_placed(hot, keys, order, rows, block_rows, partitions))
+    )
 
 
 def running_counts(
@@ -111,15 +152,19 @@ def running_counts(
     partitions: int | None = None,
 ) -> DataFrame:
     """For rows that stand for ``count`` equal ones each: how many there are up to this row, and in all."""
-    rows, small = _stored(df, block_rows)
-    if small:
+
+    def usual(rest: DataFrame) -> DataFrame:
         series = Window.partitionBy(*keys)
-        upto = F.sum(count).over(series.orderBy(*order, "__copy").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select(*df.columns, upto.alias(name), F.sum(count).over(series).alias(size))
-    placed = _with_offsets(rows, keys, order, F.sum(count), partitions)
-    here = Window.partitionBy(*keys, "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("__before") + F.sum(count).over(here)
-    return placed.select(*df.columns, upto.alias(name), F.col("__size").alias(size))
+        upto = F.sum(count).over(series.orderBy(*order, _tie(df)).rowsBetween(Window.unboundedPreceding, 0))
+        return rest.select(*df.columns, upto.alias(name), F.sum(count).over(series).alias(size))
+
+    def split(hot: DataFrame, rows: int) -> DataFrame:
+        placed = _with_offsets(_stored(hot), keys, order, F.sum(count), _ranges(rows, block_rows, partitions))
+        here = Window.partitionBy(*keys, "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.col("__before") + F.sum(count).over(here)
+        return placed.select(*df.columns, upto.alias(name), F.col("__size").alias(size))
+
+    return _by_size(df, keys, block_rows, usual, split)
 
 
 def with_trailing(
@@ -136,24 +181,28 @@ def with_trailing(
     The last ``back`` rows of a block are repeated at the head of the next one and
     dropped again after the window, so block edges do not show in the result.
     """
-    rows, small = _stored(df, block_rows)
-    if small:
-        added = columns(Window.partitionBy(*keys).orderBy(*order, "__copy"))
-        return rows.select(*df.columns, *[col.alias(name) for name, col in added.items()])
-    placed, pos, _ = _positions(rows, small, keys, order, partitions)
-    size = max(block_rows, back + 1)
-    block = F.floor((F.col("__pos") - 1) / size)
-    in_tail = F.pmod(F.col("__pos") - 1, F.lit(size)) >= size - back
-    homes = F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = placed.select(*df.columns, pos.alias("__pos")).select(
-        "*", block.alias("__own"), F.explode(homes).alias("__block")
-    )
-    added = columns(Window.partitionBy(*keys, "__block").orderBy("__pos"))
-    return (
-        spread.select(*df.columns, "__own", "__block", *[col.alias(name) for name, col in added.items()])
-        .where(F.col("__own") == F.col("__block"))
-        .drop("__own", "__block")
-    )
+
+    def usual(rest: DataFrame) -> DataFrame:
+        added = columns(Window.partitionBy(*keys).orderBy(*order, _tie(df)))
+        return rest.select(*df.columns, *[col.alias(name) for name, col in added.items()])
+
+    def split(hot: DataFrame, rows: int) -> DataFrame:
+        placed, pos, _ = _placed(hot, keys, order, rows, block_rows, partitions)
+        size = max(block_rows, back + 1)
+        block = F.floor((F.col("__pos") - 1) / size)
+        in_tail = F.pmod(F.col("__pos") - 1, F.lit(size)) >= size - back
+        homes = F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))
+        spread = placed.select(*df.columns, pos.alias("__pos")).select(
+            "*", block.alias("__own"), F.explode(homes).alias("__block")
+        )
+        added = columns(Window.partitionBy(*keys, "__block").orderBy("__pos"))
+        return (
+            spread.select(*df.columns, "__own", "__block", *[col.alias(name) for name, col in added.items()])
+            .where(F.col("__own") == F.col("__block"))
+            .drop("__own", "__block")
+        )
+
+    return _by_size(df, keys, block_rows, usual, split)
 
 
 def moving_avg(
