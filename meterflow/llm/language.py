@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from meterflow.llm.texts import map_rows, slices
+from meterflow.session import small_side
 
-#: Labelled rows of each language a model is fitted on at most, and the longest text among them.
+#: Labelled rows of each language a model is fitted on, and the longest text among them.
 MAX_ROWS = 2_000
 MAX_CHARS = 20_000
 
 #: Words and n-grams of each length that a model keeps at most, the most frequent ones.
 MAX_UNITS = 20_000
 
+#: Parts that hashes are dealt into for the sample.
+_PARTS = 1_000_000
+
 #: Longest n-gram an unseen word is looked up by.
 LONGEST = 5
 
@@ -111,18 +115,19 @@ def fit(
 ) -> LanguageModel:
     """Count words and n-grams by language over a bounded sample of labelled rows.
 
-    The sample is the ``max_rows`` rows of each language with the smallest hash of id and text, of texts up to
-    ``max_chars`` long, so every language weighs about the same and the model's size does not
+    The sample has about ``max_rows`` rows of each language, those whose hash of id and text falls below a bound that follows from the
+    rows of the language, of texts up to ``max_chars`` long. So every language weighs about the same and the model's size does not
     grow with the corpus. Counting runs in Spark; only the ``max_units`` most frequent units of each length
-    come to the driver. Rows with null text or language are left out. Ties go to the unit or hash that sorts first.
+    come to the driver. Rows with null text or language are left out. Ties go to the unit that sorts first.
     """
     from pyspark.sql import Window
 
     rows = docs.select(F.col(lang).alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    # Tasks keep their own first rows of a language before anything is shuffled.
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows)
+    # A row is taken by its own hash and the number of rows of its language, so no text is shuffled or sorted.
+    numbers = small_side(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of"))
+    share = F.ceil(F.lit(_PARTS * max_rows) / F.col("n"))
+    rows = rows.join(numbers, rows["lang"] == numbers["of"]).where(F.pmod("h", F.lit(_PARTS)) < share)
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("w"))
     words = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
     marked = F.concat(F.lit(" "), "w", F.lit(" "))
