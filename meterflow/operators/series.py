@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.operators.ordered import join_on
@@ -21,21 +21,34 @@ def _stack(dfs: Sequence[DataFrame], on: Sequence[str]) -> tuple[DataFrame, list
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), values
 
 
+def _unique(counts: Sequence[Column], on: Sequence[str]) -> Column:
+    """True, and an error for the query where one series has a key twice: its rows would melt into one that never was."""
+    twice = reduce(lambda a, b: a | b, [c > 1 for c in counts])
+    return F.when(twice, F.raise_error(F.lit(f"a series has several rows of one {', '.join(on)}")).cast("boolean")).otherwise(
+        F.lit(True)
+    )
+
+
 def merge_series(dfs: Sequence[DataFrame], on: str | Sequence[str] = "ts") -> DataFrame:
-    """Full outer merge of any number of series that are unique on ``on``.
+    """Full outer merge of any number of series that are unique on ``on``; a repeated key is an error.
 
     One aggregation on the merge key in place of a chain of outer joins, each of which
     would shuffle the growing result again.
     """
     on = [on] if isinstance(on, str) else list(on)
     stacked, values = _stack(dfs, on)
-    return stacked.groupBy(*on).agg(*[F.max(c).alias(c) for c in values])
+    seen = [f"__seen{i}" for i in range(len(dfs))]
+    met = stacked.groupBy(*on).agg(
+        *[F.max(c).alias(c) for c in values],
+        *[F.count_if(F.col("__src") == i).alias(name) for i, name in enumerate(seen)],
+    )
+    return met.where(_unique([F.col(c) for c in seen], on)).select(*on, *values)
 
 
 def align_left(base: DataFrame, others: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
     """All of ``base``; the others' columns only where **every** other series has the key.
 
-    Equals a left join to the inner join of the others, for series unique on ``on``.
+    Equals a left join to the inner join of the others, for series unique on ``on``; a repeated key is an error.
     """
     on = [on] if isinstance(on, str) else list(on)
     stacked, values = _stack([base, *others], on)
@@ -46,7 +59,7 @@ def align_left(base: DataFrame, others: Sequence[DataFrame], on: str | Sequence[
     )
     complete = reduce(lambda a, b: a & b, [F.col(name) > 0 for name in seen[1:]], F.lit(True))
     own = set(base.columns)
-    return met.where(F.col(seen[0]) > 0).select(
+    return met.where(_unique([F.col(c) for c in seen], on) & (F.col(seen[0]) > 0)).select(
         *on, *[F.col(c) if c in own else F.when(complete, F.col(c)).alias(c) for c in values]
     )
 

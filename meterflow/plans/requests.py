@@ -140,7 +140,7 @@ def clima_events(
     now=None,
     columns: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Several types of one device side by side per time.
+    """Several types of one device side by side per time; without a device, those of every device, with its id.
 
     All types lie in one table, so one pass with a column per type replaces the outer merge.
     """
@@ -149,7 +149,7 @@ def clima_events(
     kind = F.col(c["type"])
     return (
         series.where(kind.isin(*datatypes))
-        .groupBy(F.col(c["ts"]).alias("ts"))
+        .groupBy(F.col(c["ts"]).alias("ts"), *([] if device is not None else [c["source"]]))
         .agg(*[F.max(F.when(kind == t, F.col(c["value"]))).alias(t) for t in datatypes])
     )
 

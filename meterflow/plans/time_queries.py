@@ -156,10 +156,10 @@ def clima_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "clima_events",
-    f"""SELECT ts, max(CASE WHEN event_type = 'click' THEN value END) AS click,
+    f"""SELECT user_id, ts, max(CASE WHEN event_type = 'click' THEN value END) AS click,
     max(CASE WHEN event_type = 'view' THEN value END) AS view FROM events
     WHERE event_type IN ('click', 'view')
-    AND ts >= {_utc("TIMESTAMP '2024-01-01'")} AND ts < {_utc("TIMESTAMP '2024-02-01'")} GROUP BY 1""",
+    AND ts >= {_utc("TIMESTAMP '2024-01-01'")} AND ts < {_utc("TIMESTAMP '2024-02-01'")} GROUP BY 1, 2""",
 )
 def clima_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"source": "user_id", "type": "event_type", "ts": "ts"}

@@ -93,26 +93,28 @@ def delta_stream(
 
     def store(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        low, high = batch.agg(*[f(gts).cast("timestamp_ntz") for f in (F.min, F.max)]).first()
-        if low is not None:
-            # Two times per batch reach the driver; they prune the stored days and row groups.
-            after, until = instant(batch, gts, low) - step_interval(step), instant(batch, gts, high)
-            seed = (
-                batch.sparkSession.read.schema(schema)
-                .parquet(path)
-                .where((F.col("day") >= F.to_date(after)) & (F.col("day") <= F.to_date(until)))
-                .where((F.col("batch") < number) & F.col(gts).between(after, until))
-                .select(*keys, gts, *counters)
-            )
-            delta = counter_delta(batch, keys, gts, step, cols, null_prev, seed)
-            (
-                delta.withColumn("day", F.to_date(gts))
-                .write.mode("overwrite")
-                .partitionBy("day")
-                .option("partitionOverwriteMode", "static")
-                .parquet(f"{path}/batch={number}")
-            )
-        batch.unpersist()
+        try:
+            low, high = batch.agg(*[f(gts).cast("timestamp_ntz") for f in (F.min, F.max)]).first()
+            if low is not None:
+                # Two times per batch reach the driver; they prune the stored days and row groups.
+                after, until = instant(batch, gts, low) - step_interval(step), instant(batch, gts, high)
+                seed = (
+                    batch.sparkSession.read.schema(schema)
+                    .parquet(path)
+                    .where((F.col("day") >= F.to_date(after)) & (F.col("day") <= F.to_date(until)))
+                    .where((F.col("batch") < number) & F.col(gts).between(after, until))
+                    .select(*keys, gts, *counters)
+                )
+                delta = counter_delta(batch, keys, gts, step, cols, null_prev, seed)
+                (
+                    delta.withColumn("day", F.to_date(gts))
+                    .write.mode("overwrite")
+                    .partitionBy("day")
+                    .option("partitionOverwriteMode", "static")
+                    .parquet(f"{path}/batch={number}")
+                )
+        finally:
+            batch.unpersist()
 
     return rolled.writeStream.outputMode("append").foreachBatch(store)
 
