@@ -31,10 +31,15 @@ SLOTS, CHUNK, ERRORS = 40, 4, 1
 #: 40 differ in one pair of 800,000; the indexes themselves miss one of 600,000, and both far fewer above 0.75.
 MAX_DISTANCE = 24
 
-#: Bytes of texts compared with one text in a task, rows held in memory and rows streamed in one task when signatures are compared.
-BLOCK_BYTES = 8 << 20
+#: Blocks the partners of one node are dealt over, and rows held in memory and streamed in one task when signatures are compared.
+BLOCKS = 64
+
 HELD_ROWS, STREAMED_ROWS = 2_000, 20_000
 
+#: Slots, of a byte each, of the longer signature that is made where a bucket holds several components, and in how many of them a
+#: pair may differ. At a similarity of 0.75 more than 324 of 1,024 differ in one pair of three millions.
+FINE_SLOTS, FINE_DISTANCE = 1_024, 324
+
 SCAN = StructType(
     [
         StructField("doc_id", LongType()),
@@ -43,14 +48,15 @@ SCAN = StructType(
         StructField("signature", BinaryType()),
     ]
 )
-TEXT = StructType([StructField("node", LongType()), StructField("set", BinaryType(), False)])
+SET = StructType([StructField("node", LongType()), StructField("set", BinaryType(), False)])
+FINE = StructType([StructField("node", LongType()), StructField("fine", BinaryType(), False)])
 PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 LINK = StructType([*PAIR.fields, StructField("shared", LongType(), False), StructField("union", LongType(), False)])
 
 _rng = np.random.default_rng(20_240_601)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TIMES = _rng.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_TIMES = _rng.integers(1, 1 << 62, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -74,8 +80,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], slots: int) -> list[bytes | None]:
-    """16 bits of the smallest hash of each set under ``slots`` hash functions; None for an empty set."""
+def signatures(sets: list[np.ndarray], slots: int, kind: str = "<u2") -> list[bytes | None]:
+    """Low bits of the smallest hash of each set under ``slots`` hash functions; None for an empty set."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     full = np.flatnonzero(sizes)
     out: list[bytes | None] = [None] * len(sets)
@@ -83,11 +89,12 @@ def signatures(sets: list[np.ndarray], slots: int) -> list[bytes | None]:
         return out
     values = np.concatenate([sets[i] for i in full])
     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    table = np.empty((len(full), slots), dtype="<u2")
+    table = np.empty((len(full), slots), dtype=kind)
+    low = np.uint64(np.iinfo(kind).max)
     with np.errstate(over="ignore"):
         for k in range(slots):
             lowest = np.minimum.reduceat((values ^ _PLUS[k]) * _TIMES[k], starts)
-            table[:, k] = (mix(lowest) & np.uint64(0xFFFF)).astype("<u2")
+            table[:, k] = (mix(lowest) & low).astype(kind)
     for row, i in enumerate(full.tolist()):
         out[i] = table[row].tobytes()
     return out
@@ -100,7 +107,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 def _scan(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist())
                 yield {
                     "doc_id": part.column("doc_id"),
@@ -112,13 +119,21 @@ def _scan(slots: int):
     return run
 
 
+def _indexes(slots: int, chunk: int, errors: int) -> list[tuple[int, ...]]:
+    """The slots each index looks at: a chunk without as many of its slots as may differ."""
+    return [
+        kept
+        for start in range(0, slots, chunk)
+        for kept in itertools.combinations(range(start, min(start + chunk, slots)), max(1, chunk - errors))
+    ]
+
+
 def _index_keys(slots: int, chunk: int, errors: int):
-    """A column with the key of a signature in each index: a chunk without some of its slots, and the index's number."""
-    keys, signature = [], F.col("signature")
-    for start in range(0, slots, chunk):
-        for kept in itertools.combinations(range(start, min(start + chunk, slots)), max(1, chunk - errors)):
-            parts = [F.substring(signature, 2 * s + 1, 2) for s in kept]
-            keys.append(F.xxhash64(F.lit(len(keys)), *parts))
+    """A column with the key of a signature in each index."""
+    keys = [
+        F.xxhash64(F.lit(i), *[F.substring("signature", 2 * s + 1, 2) for s in kept])
+        for i, kept in enumerate(_indexes(slots, chunk, errors))
+    ]
     return F.array(*keys)
 
 
@@ -138,7 +153,7 @@ def _close_pairs(slots: int, percent: int, max_distance: int):
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text"):
             sets = shingle_sets(part.column("text").to_pylist())
             want = part.column("want").to_pylist()
             ok = [len(s) > 0 and _digest(s) == w for s, w in zip(sets, want, strict=True)]
@@ -170,21 +185,29 @@ def _compare(percent: int):
     return run
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _stored_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The whole shingle sets of ``nodes``, made once from the texts and stored."""
+    wanted = nodes.join(classes.select("node", F.col("digest").alias("want")), "node")
+    texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["node"]).select("node", "want", "text")
+    return written(map_rows(texts, _sets_of, SET), "sets")
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for part in slices(batch, "set"):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("set").to_pylist()]
+            yield {"node": part.column("node"), "fine": pa.array(signatures(sets, FINE_SLOTS, "u1"), type=pa.binary())}
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets overlap by ``percent`` or more.
 
-    The sets of all nodes in question are made once and stored. The partners of a node are dealt over
-    blocks of bounded size; each block gets the node's own set first and its partners then pass by.
+    The partners of a node are dealt over blocks; each block gets the node's own set first and its partners then pass
+    by one at a time, so that a block takes the memory of two sets however many partners there are.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(classes.select("node", F.col("digest").alias("want"), "n_shingles"), "node")
-    texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["node"]).select("node", "want", "text")
-    # Rows that repeat an id with the same text give the same set.
-    sets = written(map_rows(texts, _sets_of, TEXT).groupBy("node").agg(F.first("set").alias("set")), "sets")
-    sizes = classes.select(F.col("node").alias("b"), "n_shingles")
-    sized = pairs.join(sizes, "b")
-    blocks = sized.groupBy("a").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES).alias("blocks"))
-    dealt = sized.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    # Rows that repeat an id with the same text give the same set; one of them is enough.
+    sets = sets.dropDuplicates(["node"])
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(BLOCKS)).alias("block"))
     partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", F.lit(1).alias("role"), "b", "set")
     own = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a")
     own = own.select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"), "set")
@@ -219,49 +242,54 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-def _within(slots: int, percent: int, max_distance: int):
-    """Close pairs of different components inside one bucket; the held rows come first, then all rows pass by."""
+def _within(slots: int, indexes: list[tuple[int, ...]], percent: int):
+    """Close pairs of different components inside one bucket; the held rows come first, then all rows pass by.
+
+    A pair that meets in several indexes is looked at in the first of them only, and one of two held rows once. The held row of a
+    pair comes first.
+    """
+    looked = np.array(indexes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held_of, held = None, []
-        table = ids = comps = sizes = None
+        held_of, held, table = None, [], None
+        ids = comps = sizes = fine = None
+        names = ("key", "held", "streamed", "place", "role", "node", "component", "n_shingles", "signature", "fine", "stray")
         for batch in batches:
             out: dict[str, list] = {"a": [], "b": []}
-            cols = [batch.column(c).to_pylist() for c in ("key", "held", "streamed", "role", "node", "component", "n_shingles", "signature")]
-            rows = list(zip(*cols, strict=True))
-            at = 0
-            while at < len(rows):
-                group, role = rows[at][:3], rows[at][3]
-                end = at
-                while end < len(rows) and rows[end][:3] == group and rows[end][3] == role:
-                    end += 1
-                part = rows[at:end]
-                at = end
-                if role == 0:
-                    held = part if held_of != group else held + part
-                    held_of, table = group, None
+            for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                group = row[:3]
+                if row[4] == 0:
+                    if held_of != group:
+                        held_of, held, table = group, [], None
+                    held.append(row)
                     continue
                 if held_of != group:
                     continue
                 if table is None:
-                    ids, comps, sizes = (np.array([r[k] for r in held], dtype=np.int64) for k in (4, 5, 6))
-                    table = np.frombuffer(b"".join(r[7] for r in held), dtype="<u2").reshape(-1, slots)
-                for r in part:
-                    near = (comps != r[5]) & (100 * np.minimum(sizes, r[6]) >= percent * np.maximum(sizes, r[6]))
-                    near[near] = (table[near] != np.frombuffer(r[7], dtype="<u2")).sum(axis=1) <= max_distance
-                    for other in ids[near].tolist():
-                        out["a"].append(min(other, r[4]))
-                        out["b"].append(max(other, r[4]))
+                    ids, comps, sizes = (np.array([r[k] for r in held], dtype=np.int64) for k in (5, 6, 7))
+                    table = np.frombuffer(b"".join(r[8] for r in held), dtype="<u2").reshape(-1, slots)
+                    fine = np.frombuffer(b"".join(r[9] for r in held), dtype="u1").reshape(-1, FINE_SLOTS)
+                near = (comps != row[6]) & (ids < row[5]) if row[10] else comps != row[6]
+                near &= 100 * np.minimum(sizes, row[7]) >= percent * np.maximum(sizes, row[7])
+                at = np.flatnonzero(near)
+                at = at[(fine[at] != np.frombuffer(row[9], dtype="u1")).sum(axis=1) <= FINE_DISTANCE]
+                if len(at):
+                    same = table[at] == np.frombuffer(row[8], dtype="<u2")
+                    at = at[same[:, looked].all(axis=2).argmax(axis=1) == row[3]]
+                out["a"] += ids[at].tolist()
+                out["b"] += [row[5]] * len(at)
             yield out
 
     return run
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, slots: int, percent: int, max_distance: int) -> DataFrame:
+def _rest(
+    buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, slots: int, indexes: list, percent: int
+) -> DataFrame:
     """Pairs of one bucket that the comparison with its first node hasn't settled: both other nodes, of different components."""
-    members = buckets.where((F.col("n") > 2) & (F.col("node") != F.col("hub"))).select("key", "node")
+    members = buckets.where((F.col("n") > 2) & (F.col("node") != F.col("hub"))).select("key", "place", "node")
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = written(members.select("key", "node", "component"), "members")
+    members = written(members.select("key", "place", "node", "component"), "members")
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("key").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.max(F.struct("n", "component"))["component"].alias("main")
@@ -272,17 +300,20 @@ def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, slots: int,
         F.ceil((F.col("n") - F.col("most")) / HELD_ROWS).cast("int").alias("h"),
         F.ceil(F.col("n") / STREAMED_ROWS).cast("int").alias("s"),
     )
-    rows = members.join(mixed, "key").join(classes.select("node", "n_shingles", "signature"), "node")
+    members = written(members.join(mixed, "key"), "mixed")
+    fine = written(map_rows(sets.join(members.select("node").distinct(), "node"), _fine, FINE), "fine")
+    rows = members.join(classes.select("node", "n_shingles", "signature"), "node").join(fine, "node")
+    rows = rows.withColumn("stray", F.col("component") != F.col("main"))
     number = F.xxhash64("node")
     mine = {"held": F.pmod(number, F.col("h")).cast("int"), "streamed": F.pmod(number, F.col("s")).cast("int")}
     upto = {k: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for k, c in (("held", "h"), ("streamed", "s"))}
-    held = rows.where(F.col("component") != F.col("main"))
+    held = rows.where("stray")
     held = held.withColumns({"held": mine["held"], "streamed": upto["streamed"], "role": F.lit(0)})
     streamed = rows.withColumns({"held": upto["held"], "streamed": mine["streamed"], "role": F.lit(1)})
-    columns = ["key", "held", "streamed", "role", "node", "component", "n_shingles", "signature"]
+    columns = ["key", "held", "streamed", "place", "role", "node", "component", "n_shingles", "signature", "fine", "stray"]
     both = held.select(columns).unionByName(streamed.select(columns))
     both = both.repartition("key", "held", "streamed").sortWithinPartitions("key", "held", "streamed", "role")
-    return map_rows(both, _within(slots, percent, max_distance), PAIR).distinct()
+    return map_rows(both, _within(slots, indexes, percent), PAIR)
 
 
 def near_duplicates(
@@ -300,7 +331,7 @@ def near_duplicates(
 
     Equal sets are one class, for which its smallest ``doc_id`` stands, so copies cost one row each. In each bucket of
     an index every class is compared with the smallest one; where a bucket holds several components after that,
-    its other classes are compared across components, in blocks. No pair of one component needs to be compared again, so
+    its other classes are compared across components, in blocks, by longer signatures first. No pair of one component needs to be compared again, so
     large groups cost about as many pairs as they have members.
 
     Returns a row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``. Null, empty and
@@ -315,7 +346,7 @@ def near_duplicates(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = written(classes, "classes")
-    keyed = classes.select("node", F.explode(_index_keys(slots, chunk, errors)).alias("key"))
+    keyed = classes.select("node", F.posexplode(_index_keys(slots, chunk, errors)).alias("place", "key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(keyed.join(hubs, "key"), "buckets")
     sized = classes.select("node", "n_shingles", "signature")
@@ -324,10 +355,11 @@ def near_duplicates(
     stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     stars = written(map_rows(stars.select("a", "b", "sig_a", "sig_b"), _close_pairs(slots, percent, max_distance), PAIR), "stars")
-    links = written(_confirm(docs, classes, stars, percent), "links")
+    sets = _stored_sets(docs, classes, buckets.select("node").distinct())
+    links = written(_confirm(sets, stars, percent), "links")
     labels = components(links)
-    rest = _rest(buckets, labels, classes, slots, percent, max_distance).join(stars, ["a", "b"], "left_anti")
-    more = written(_confirm(docs, classes, written(rest, "rest"), percent), "links")
+    rest = written(_rest(buckets, labels, classes, sets, slots, _indexes(slots, chunk, errors), percent), "rest")
+    more = written(_confirm(sets, rest, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     named = classes.select("digest", "node").join(labels, "node", "left")

@@ -63,7 +63,7 @@ def test_large_bucket_in_blocks(docs, monkeypatch):
     """Families that all share most of their text meet in large buckets, which are compared in blocks."""
     monkeypatch.setattr(neardup, "HELD_ROWS", 3)
     monkeypatch.setattr(neardup, "STREAMED_ROWS", 5)
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(neardup, "BLOCKS", 3)
     rng = random.Random(9)
     common = " ".join(f"c{i}" for i in range(60))
     texts = {}
