@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at once inside a task; one longer text is worked on alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import Counter
@@ -18,14 +19,26 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from meterflow.llm.texts import map_rows, mix, powers, slices
 
 #: Labelled rows a model is fitted on at most, and the longest text among them.
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 MAX_CHARS = 10_000
 
-#: Words whose margin a worker remembers.
-MEMO_WORDS = 400_000
+#: Words whose margin a worker remembers, and words that are looked up at once.
+MEMO_WORDS = 300_000
+WORD_BLOCK = 10_000
 
 WORD = re.compile(r"\w+")
 
+#: Words without a say that each text is taken to have besides its own, so that a few words alone decide little.
+NEUTRAL = 10.0
+
+#: Weight of a word by its number in a text: repetition adds, but ever less.
+_DAMPED = [1 + math.log(max(1, c)) for c in range(1000)]
+
+
+def damped(count: int) -> float:
+    return _DAMPED[count] if count < 1000 else 1 + math.log(count)
+
+
 SCORES = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType(), False)])
 
 
@@ -78,8 +91,12 @@ class SubwordModel:
         self.margins, self.bias, self.memo = state["margins"], state["bias"], {}
 
     def word_margins(self, words: list[str]) -> np.ndarray:
-        index, of = subwords(words, len(self.margins))
-        return np.bincount(of, self.margins[index], len(words)) / np.bincount(of, minlength=len(words))
+        out = []
+        for i in range(0, len(words), WORD_BLOCK):
+            part = words[i : i + WORD_BLOCK]
+            index, of = subwords(part, len(self.margins))
+            out.append(np.bincount(of, self.margins[index], len(part)) / np.bincount(of, minlength=len(part)))
+        return np.concatenate(out) if out else np.zeros(0)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of the toxic class; a text without words gets that of the bias alone."""
@@ -92,14 +109,30 @@ class SubwordModel:
             known = memo.__getitem__
         else:
             known = lambda w: memo[w] if w in memo else fresh[w]
-        sums = [sum(map(mul, map(known, b), b.values())) / max(1, b.total()) for b in bags]
+        sums = []
+        for b in bags:
+            weights = list(map(damped, b.values()))
+            sums.append(sum(map(mul, map(known, b), weights)) / (sum(weights) + NEUTRAL))
         z = np.array(sums, dtype=np.float64) + float(self.bias[1] - self.bias[0])
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _sums(of: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """Weighted sums of rows by their target, column by column."""
-    return np.stack([np.bincount(of, rows[:, d] * weights, n) for d in range(rows.shape[1])], axis=1)
+class _Edges:
+    """Weighted edges from rows to parts, sorted both ways, so that both directions are sums over stretches."""
+
+    def __init__(self, rows: np.ndarray, parts: np.ndarray, weights: np.ndarray):
+        self.there, self.back = (self._sorted(a, b, weights) for a, b in ((rows, parts), (parts, rows)))
+
+    @staticmethod
+    def _sorted(targets: np.ndarray, sources: np.ndarray, weights: np.ndarray):
+        order = np.argsort(targets, kind="stable")
+        starts = np.flatnonzero(np.diff(targets[order], prepend=-1))
+        return sources[order].astype(np.int32), starts, weights[order].astype(np.float32)[:, None]
+
+    @staticmethod
+    def sums(way, table: np.ndarray) -> np.ndarray:
+        sources, starts, weights = way
+        return np.add.reduceat(table[sources] * weights, starts, axis=0)
 
 
 def train(
@@ -107,16 +140,17 @@ def train(
     labels: list[int],
     buckets: int = 1 << 17,
     dim: int = 4,
-    epochs: int = 100,
+    epochs: int = 60,
     min_texts: int = 3,
     rate: float = 8.0,
     decay: float = 2e-5,
-    scale: float = 40.0,
+    scale: float = 60.0,
+    toxic_weight: float = 1.2,
     seed: int = 7,
 ) -> SubwordModel:
     """Fit embeddings and softmax together by gradient descent with momentum over all given texts.
 
-    Both classes weigh the same. Words of a single text tell nothing about others
+    All toxic texts together weigh ``toxic_weight`` times the others. Words of a single text tell nothing about others
     and are left to their shared n-grams. Without texts of both classes the model says 1/2 for any text.
     """
     rng = np.random.default_rng(seed)
@@ -136,34 +170,42 @@ def train(
     edge_text, edge_word, edge_share = array("l"), array("l"), array("d")
     for i, t in enumerate(texts):
         bag = Counter(WORD.findall(t.lower()))
-        for w in bag.keys() & vocabulary.keys():
+        total = sum(map(damped, bag.values())) + NEUTRAL
+        for w in sorted(bag.keys() & vocabulary.keys()):
             edge_text.append(i)
             edge_word.append(vocabulary[w])
-            edge_share.append(bag[w] / bag.total())
+            edge_share.append(damped(bag[w]) / total)
     if not edge_text:
         return SubwordModel(emb * 0, weights, bias, scale)
-    t_of, w_of, w_weight = np.array(edge_text), np.array(edge_word), np.array(edge_share)
+    with_words, t_of = np.unique(np.array(edge_text), return_inverse=True)
+    y = y[with_words]
+    if len(set(y.tolist())) < 2:
+        return SubwordModel(emb * 0, weights, bias, scale)
+    n_texts, n_words = len(y), len(vocabulary)
     s_of, v_of = subwords(list(vocabulary), buckets)
     used, s_of = np.unique(s_of, return_inverse=True)
-    n_texts, n_words, n_used = len(texts), len(vocabulary), len(used)
     s_weight = 1.0 / np.bincount(v_of, minlength=n_words)[v_of]
-    part = emb[used]
-    share = np.bincount(y, minlength=2)
-    per_row = 0.5 / share[y]
+    share = np.bincount(np.array(edge_word), np.array(edge_share), n_words)
+    use = np.bincount(s_of, share[v_of] * s_weight, len(used))
+    texts_words = _Edges(t_of, np.array(edge_word), np.array(edge_share))
+    words_subwords = _Edges(v_of, s_of, s_weight)
+    del edge_text, edge_word, edge_share
+    part = emb[used].astype(np.float32)
+    weights = weights.astype(np.float32)
+    per_row = np.array([1.0, toxic_weight])[y] / (1.0 + toxic_weight) / np.bincount(y, minlength=2)[y]
     v_part, v_weights, v_bias = np.zeros_like(part), np.zeros_like(weights), np.zeros_like(bias)
     # A bucket's step is divided by the square root of its use, so that rare and frequent subwords learn alike.
-    use = np.bincount(s_of, np.bincount(w_of, w_weight, n_words)[v_of] * s_weight, n_used)
-    step = (1.0 / np.sqrt(use / use.sum() * 1e3 + 1e-3))[:, None]
+    step = (rate * 0.1 / np.sqrt(use / use.sum() * 1e3 + 1e-3))[:, None].astype(np.float32)
     for _ in range(epochs):
-        words = _sums(v_of, part[s_of], s_weight, n_words)
-        docs = _sums(t_of, words[w_of], w_weight, n_texts)
+        words = _Edges.sums(words_subwords.there, part)
+        docs = _Edges.sums(texts_words.there, words)
         z = docs @ weights.T * scale + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        d = (p - np.eye(2)[y]) * per_row[:, None]
-        d_words = _sums(w_of, (d @ weights * scale)[t_of], w_weight, n_words)
-        d_part = _sums(s_of, d_words[v_of], s_weight, n_used)
-        v_part = 0.9 * v_part - rate * 0.1 * step * (d_part + decay * part)
+        d = ((p - np.eye(2)[y]) * per_row[:, None]).astype(np.float32)
+        d_words = _Edges.sums(texts_words.back, d @ weights * scale)
+        d_part = _Edges.sums(words_subwords.back, d_words)
+        v_part = 0.9 * v_part - step * (d_part + decay * part)
         v_weights = 0.9 * v_weights - 0.01 * (d.T @ docs * scale)
         v_bias = 0.9 * v_bias - 0.1 * d.sum(axis=0)
         part += v_part
