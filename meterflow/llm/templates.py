@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,15 @@ WINDOWS = StructType(
     ]
 )
 
+PLACES = StructType(
+    [
+        StructField("doc_id", LongType()),
+        StructField("item_id", LongType()),
+        StructField("place", IntegerType(), False),
+        StructField("changed", BooleanType(), False),
+    ]
+)
+
 # Classes of bytes: 0 separates, 1 letter (all of a multi-byte character counts as letters), 2 digit.
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -195,13 +205,47 @@ def _known(items: DataFrame, windows: int):
     return items.sparkSession.sparkContext.broadcast((hashes, table))
 
 
+def _agreeing(windows: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, list[int], list[int]]]:
+    """The windows of one passage whose placeholders agree with the rest of it, as place, values of the item, values of the document.
+
+    A value of the item stands for its most frequent counterpart, the smallest of equals; windows where it has another one don't
+    agree. Different values may share a counterpart, unless that is so in most of the windows with placeholders. Windows without
+    placeholders always agree.
+    """
+    counts: dict[int, Counter] = defaultdict(Counter)
+    for _, own, other in windows:
+        for a, b in zip(own, other, strict=True):
+            counts[a][b] += 1
+    main = {a: min(c, key=lambda b: (-c[b], b)) for a, c in counts.items()}
+    good = [w for w in windows if all(main[a] == b for a, b in zip(w[1], w[2], strict=True))]
+    stands = defaultdict(set)
+    for _, own, other in good:
+        for a, b in zip(own, other, strict=True):
+            stands[b].add(a)
+    shared = sum(any(len(stands[b]) > 1 for b in other) for _, _, other in good)
+    return good if 2 * shared <= sum(bool(own) for _, own, _ in good) else [w for w in good if not w[1]]
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in PLACES}
+        for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "windows")], strict=True):
+            windows = [(w["item_at"], w["item_slots"], w["slots"]) for w in row[2]]
+            changed = any(own != other for _, own, other in windows)
+            for place, _, _ in _agreeing(windows):
+                for name, value in zip(out, (*row[:2], place, changed), strict=True):
+                    out[name].append(value)
+        yield out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3) -> DataFrame:
     """Documents that hold benchmark items, also with other numbers, names and units.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; other columns are ignored. A window of eight template
-    words matches if all symbols are equal. Windows at one distance between item and document are one passage; it counts
-    if each value of the item's placeholders has a single counterpart there and no two values share one. An item is in a document if
-    its passages cover ``min_share`` of its windows or more.
+    words matches if all symbols are equal. Windows at one distance between item and document are one passage, in which windows
+    count that hold no placeholder or whose values have the same counterparts as in most of it. Where most of its windows with
+    placeholders hold a counterpart that different values share, only those without count. An item is in a document if ``min_share`` of
+    its windows or more count.
 
     Returns a row for each pair found: ``doc_id, item_id, n_windows, n_matched, share, reworded`` (whether some value
     differs). Windows of more placeholders than plain words are not used; items with no other windows, null and empty texts,
@@ -217,12 +261,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3)
     hits = seen.withColumnRenamed("id", "doc_id").join(right, ["hash", "size"])
     # Repeated windows of one item at one distance are one row: a group has no more rows than its item has windows.
     passages = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values"),
+        F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("windows")
     )
-    once = lambda side: F.size(F.array_distinct(F.col(f"values.{side}"))) == F.size("values")
-    changed = F.exists("values", lambda v: v["item_slots"] != v["slots"])
-    good = passages.where(once("item_slots") & once("slots")).select("doc_id", "item_id", F.explode("places").alias("place"), changed.alias("changed"))
+    good = map_rows(passages.select("doc_id", "item_id", "windows"), _places, PLACES)
     found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_matched"), F.max("changed").alias("reworded"))
     size_of = small_side(items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows")))
     share = F.col("n_matched") / F.col("n_windows")

@@ -143,6 +143,30 @@ def test_templates(spark, docs):
     assert not got[1, 1].reworded and got[3, 1].reworded and got[1, 1].share == 1
 
 
+HERD = (
+    "On the hill behind the village a shepherd keeps 3 cows and 5 goats in one old barn that nobody has painted for a very long time , and "
+    "every morning all of them walk down to the river to drink before the sun is high above the trees"
+)
+TWICE = "A farmer has 2 cows and 2 sheep in the large field behind his house , and a neighbour brings 9 more . How many animals are there now ?"
+
+
+def test_templates_judge_windows_not_passages(spark, docs):
+    texts = {
+        1: HERD.replace("3 cows and 5", "4 cows and 4"),  # two values share a counterpart
+        2: TWICE.replace("2 cows and 2", "3 cows and 5").replace("9", "8"),  # one value has two
+        3: "Nothing of the kind is said in this text .",
+    }
+    got = found(docs, spark, texts, [(1, HERD), (2, TWICE)])
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1].n_matched == 30 and got[1, 1].reworded and got[2, 2].reworded
+
+
+def test_values_may_share_a_counterpart():
+    windows = [(0, [1, 2], [1, 2]), (1, [3], [7]), (2, [4], [7]), (3, [5], [8]), (4, [], [])]
+    assert templates._agreeing(windows) == windows
+    assert templates._agreeing(windows[1:]) == windows[4:]  # now most of the windows with placeholders
+    assert templates._agreeing([(0, [2], [3]), (1, [2], [3]), (2, [2], [5])]) == [(0, [2], [3]), (1, [2], [3])]
+
+
 def test_templates_against_brute_force(spark, docs):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
