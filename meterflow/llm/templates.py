@@ -17,7 +17,7 @@ from meterflow.session import small_side, written
 #: Words of a window; an item with fewer is one window.
 WINDOW = 8
 
-#: Words of a window that have to be plain ones, as a share.
+#: Words of a window that have to be plain ones, as a share; windows of an item with fewer are compared by their literal words.
 PLAIN = 0.5
 
 #: Windows of the benchmark up to which documents are searched for them before the join.
@@ -39,6 +39,7 @@ WINDOWS = StructType(
         StructField("hash", LongType(), False),
         StructField("size", IntegerType(), False),
         StructField("at", IntegerType(), False),
+        StructField("literal", BooleanType(), False),
         StructField("slots", ArrayType(LongType(), False), False),
     ]
 )
@@ -48,6 +49,7 @@ PLACES = StructType(
         StructField("doc_id", LongType()),
         StructField("item_id", LongType()),
         StructField("place", IntegerType(), False),
+        StructField("literal", BooleanType(), False),
         StructField("changed", BooleanType(), False),
     ]
 )
@@ -138,17 +140,21 @@ def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 _PLACES = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _rolled(symbol: np.ndarray, size: int) -> np.ndarray:
+def _rolled(symbol: np.ndarray, size: int, literal: bool) -> np.ndarray:
     n = max(0, len(symbol) - size + 1)
-    out = np.full(n, size, dtype=np.uint64)
+    out = np.full(n, size + (WINDOW + 1) * literal, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             out += symbol[j : n + j] * _PLACES[j]
     return mix(out)
 
 
-def _windows(sizes: list[int], known, by_item: bool):
-    """Windows of ``sizes`` words of each text whose hash is in ``known`` (all of them if that is None)."""
+def _windows(sizes: list[tuple[int, bool]], known, by_item: bool):
+    """Windows of each text, for each number of words and whether they are literal, whose hash is in ``known`` (all if that is None).
+
+    Items have literal windows where there are too few plain words, documents everywhere, as the same words may be placeholders
+    or not by their spelling and what stands before them. A literal window has no placeholders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes, table = known.value if known is not None else (None, None)
@@ -159,10 +165,10 @@ def _windows(sizes: list[int], known, by_item: bool):
                 id_list = part.column("id").to_pylist() if ids is None else None
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 slots_before = np.concatenate([[0], np.cumsum(slot)])
-                for size in sizes:
+                for size, literal in sizes:
                     if len(symbol) < size:
                         continue
-                    h = _rolled(symbol, size)
+                    h = _rolled(value if literal else symbol, size, literal)
                     if table is not None:
                         at = np.flatnonzero(table[(h & np.uint64(len(table) - 1)).astype(np.int64)])
                         at = at[hashes[np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)] == h[at]]
@@ -174,11 +180,12 @@ def _windows(sizes: list[int], known, by_item: bool):
                         length = np.diff(first)[owner[at]]
                         at = at[(size == WINDOW) & (length >= size) | (size < WINDOW) & (length == size)]
                     held = slots_before[at + size] - slots_before[at]
-                    at = at[held <= (1 - PLAIN) * size]
+                    if by_item or not literal:
+                        at = at[(held > (1 - PLAIN) * size) == literal]
                     if not len(at):
                         continue
-                    ends = np.cumsum(slots_before[at + size] - slots_before[at])
-                    values = [value[a : a + size][slot[a : a + size]] for a in at[slots_before[at + size] > slots_before[at]]]
+                    held = np.zeros(len(at), np.int64) if literal else slots_before[at + size] - slots_before[at]
+                    values = [value[a : a + size][slot[a : a + size]] for a in at[held > 0]]
                     flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
                     owners = owner[at]
                     yield {
@@ -186,7 +193,8 @@ def _windows(sizes: list[int], known, by_item: bool):
                         "hash": h[at].view(np.int64),
                         "size": np.full(len(at), size, dtype=np.int32),
                         "at": (at - first[owners]).astype(np.int32),
-                        "slots": pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), flat),
+                        "literal": np.full(len(at), literal),
+                        "slots": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(held)]).astype(np.int32), flat),
                     }
 
     return run
@@ -205,35 +213,37 @@ def _known(items: DataFrame, windows: int):
     return items.sparkSession.sparkContext.broadcast((hashes, table))
 
 
-def _agreeing(windows: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, list[int], list[int]]]:
-    """The windows of one passage whose placeholders agree with the rest of it, as place, values of the item, values of the document.
+def _agreeing(windows: list[tuple]) -> list[tuple]:
+    """The windows of one passage whose placeholders agree with the rest of it.
+
+    They are given as place, values of the item, values of the document, and whatever follows.
 
     A value of the item stands for its most frequent counterpart, the smallest of equals; windows where it has another one don't
     agree. Different values may share a counterpart, unless that is so in most of the windows with placeholders. Windows without
     placeholders always agree.
     """
     counts: dict[int, Counter] = defaultdict(Counter)
-    for _, own, other in windows:
+    for _, own, other, *_ in windows:
         for a, b in zip(own, other, strict=True):
             counts[a][b] += 1
     main = {a: min(c, key=lambda b: (-c[b], b)) for a, c in counts.items()}
     good = [w for w in windows if all(main[a] == b for a, b in zip(w[1], w[2], strict=True))]
     stands = defaultdict(set)
-    for _, own, other in good:
+    for _, own, other, *_ in good:
         for a, b in zip(own, other, strict=True):
             stands[b].add(a)
-    shared = sum(any(len(stands[b]) > 1 for b in other) for _, _, other in good)
-    return good if 2 * shared <= sum(bool(own) for _, own, _ in good) else [w for w in good if not w[1]]
+    shared = sum(any(len(stands[b]) > 1 for b in other) for _, _, other, *_ in good)
+    return good if 2 * shared <= sum(bool(own) for _, own, *_ in good) else [w for w in good if not w[1]]
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in PLACES}
         for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "windows")], strict=True):
-            windows = [(w["item_at"], w["item_slots"], w["slots"]) for w in row[2]]
-            changed = any(own != other for _, own, other in windows)
-            for place, _, _ in _agreeing(windows):
-                for name, value in zip(out, (*row[:2], place, changed), strict=True):
+            windows = [(w["item_at"], w["item_slots"], w["slots"], w["literal"]) for w in row[2]]
+            changed = any(own != other for _, own, other, _ in windows)
+            for place, _, _, literal in _agreeing(windows):
+                for name, value in zip(out, (*row[:2], place, literal, changed), strict=True):
                     out[name].append(value)
         yield out
 
@@ -248,26 +258,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3)
     its windows or more count.
 
     Returns a row for each pair found: ``doc_id, item_id, n_windows, n_matched, share, reworded`` (whether some value
-    differs). Windows of more placeholders than plain words are not used; items with no other windows, null and empty texts,
-    and rows with null ids match nothing. Items or documents that repeat an id are taken as one. Empty tables give no rows.
+    differs). Windows of more placeholders than plain words match by their literal words, so only exact copies of them are found; ``share``
+    is that of all windows or that of the others, whichever is greater. Null and empty texts, and rows with null ids match nothing. Items or documents that repeat an id are taken as one. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text").where(F.col("id").isNotNull())
-    items = written(map_rows(items, _windows(list(range(1, WINDOW + 1)), None, True), WINDOWS), "items")
-    sizes, windows = items.agg(F.collect_set("size"), F.count(F.lit(1))).first()
+    items = written(map_rows(items, _windows([(n, k) for n in range(1, WINDOW + 1) for k in (False, True)], None, True), WINDOWS), "items")
+    sizes, windows = items.agg(F.collect_set(F.struct("size", "literal")), F.count(F.lit(1))).first()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where(F.col("id").isNotNull())
     # Few windows of documents are left if the benchmark's are known before; else all of them meet in the join.
-    seen = map_rows(texts, _windows(sorted(sizes), _known(items, windows), False), WINDOWS)
-    right = small_side(items.select("hash", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots")))
-    hits = seen.withColumnRenamed("id", "doc_id").join(right, ["hash", "size"])
+    seen = map_rows(texts, _windows(sorted(map(tuple, sizes)), _known(items, windows), False), WINDOWS)
+    right = small_side(items.select("hash", "size", "literal", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots")))
+    hits = seen.withColumnRenamed("id", "doc_id").join(right, ["hash", "size", "literal"])
     # Repeated windows of one item at one distance are one row: a group has no more rows than its item has windows.
     passages = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
-        F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("windows")
+        F.collect_set(F.struct("item_at", "item_slots", "slots", "literal")).alias("windows")
     )
     good = map_rows(passages.select("doc_id", "item_id", "windows"), _places, PLACES)
-    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_matched"), F.max("changed").alias("reworded"))
-    size_of = small_side(items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("n_windows")))
-    share = F.col("n_matched") / F.col("n_windows")
-    found = found.join(size_of, "item_id").withColumn("share", share).where(F.col("share") >= min_share)
+    places = lambda c: (F.countDistinct(c), F.countDistinct(F.when(~F.col("literal"), F.col(c))))
+    matched, matched_templates = places("place")
+    found = good.groupBy("doc_id", "item_id").agg(
+        matched.alias("n_matched"), matched_templates.alias("matched_templates"), F.max("changed").alias("reworded")
+    )
+    all_, templates = places("at")
+    size_of = items.groupBy(F.col("id").alias("item_id")).agg(all_.alias("n_windows"), templates.alias("n_templates"))
+    # Literal windows can't be found with other values, so they don't lower the share of the others.
+    share = F.greatest(
+        F.col("n_matched") / F.col("n_windows"), F.when(F.col("n_templates") > 0, F.col("matched_templates") / F.col("n_templates"))
+    )
+    found = found.join(small_side(size_of), "item_id").withColumn("share", share).where(F.col("share") >= min_share)
     return found.select("doc_id", "item_id", "n_windows", "n_matched", "share", F.col("reworded").cast(BooleanType()).alias("reworded"))
 
 

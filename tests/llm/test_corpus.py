@@ -167,6 +167,22 @@ def test_values_may_share_a_counterpart():
     assert templates._agreeing([(0, [2], [3]), (1, [2], [3]), (2, [2], [5])]) == [(0, [2], [3]), (1, [2], [3])]
 
 
+def test_windows_of_few_plain_words_match_literally(spark, docs):
+    mixed = "Add the numbers of this list to each other and then say : 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"
+    items = [(1, "Compute 3 + 4 * 5"), (2, "Ask Anna Bob Carla Dora Emil Fritz Greta Hans Ida Jon"), (3, mixed)]
+    texts = {
+        1: "Now compute 3 + 4 * 5 again",
+        2: "We ask anna, bob, carla, dora, emil, fritz, greta, hans, ida, jon",
+        3: "It reads : " + mixed,
+        4: "Now compute 3 + 4 * 6 again",
+        5: "x " + mixed.split(":")[0] + ": 8 1",  # other numbers: all templates, few of all windows
+        6: "so 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20",
+    }
+    got = found(docs, spark, texts, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 3), (6, 3)} and got[3, 3].n_windows == got[3, 3].n_matched == 23
+    assert not got[3, 3].reworded
+
+
 def test_templates_against_brute_force(spark, docs):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
