@@ -135,11 +135,16 @@ def _mod97(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
-def _iban(text: str, turn: Turn) -> str | None:
+def _iban_ok(text: str) -> bool:
     plain = text.replace(" ", "")
-    country, check, body = plain[:2], plain[2:4], plain[4:]
-    if not 11 <= len(body) <= 30 or _mod97(country, check, body) != 1:
+    return 15 <= len(plain) <= 34 and _mod97(plain[:2], plain[2:4], plain[4:]) == 1
+
+
+def _iban(text: str, turn: Turn) -> str | None:
+    if not _iban_ok(text):
         return None
+    plain = text.replace(" ", "")
+    country, body = plain[:2], plain[4:]
     new = _classes(body, turn, b"iban" + country.encode())
     plain = country + f"{98 - _mod97(country, '00', new):02d}" + new
     rest = iter(plain)
@@ -219,6 +224,38 @@ _NUMBERS = re.compile(
     r")(?![0-9A-Za-z])"
 )
 _IBANS = re.compile(r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])")
+#: Characters of an IBAN by country (fixed values).
+_IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (
+        part.split(":")
+        for part in (
+            "15:NO|16:BE|18:DK FI FK FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|"
+            "23:AE GI IL IQ OM SO TL|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MC MR SM|"
+            "28:AL AZ BY CY DO GT HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU"
+        ).split("|")
+    )
+    for country in countries.split()
+}
+
+
+def _iban_ends(text: str) -> list[int]:
+    """Ends of groups at which an IBAN may stop: the one that gives its country's length first, then the longest first."""
+    ends = [i for i in range(len(text), 0, -1) if text[i - 1] != " " and (i == len(text) or text[i] == " ")]
+    length = _IBAN_LENGTHS.get(text[:2])
+    return sorted(ends, key=lambda i: len(text[:i].replace(" ", "")) != length)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of IBANs with a right check number. A match may go on into words behind it, or take in the start of another IBAN."""
+    m = _IBANS.search(text)
+    while m:
+        end = next((i for i in _iban_ends(m[0]) if _iban_ok(m[0][:i])), 0)
+        if end:
+            yield m.start(), m.start() + end
+        m = _IBANS.search(text, m.start() + (end or 1))
+
+
 _EMAILS = re.compile(r"(?P<email>[\w.%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})")
 _TURN = {"email": _email, "card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "iban": _iban, "date": _date}
 
@@ -228,10 +265,10 @@ def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tupl
     counts: Counter = Counter()
     if not text:
         return text, counts
-    found = [m for m in _NUMBERS.finditer(text)]
-    found += _IBANS.finditer(text)
+    found = [(m.start(), m.end(), next(k for k, v in m.groupdict().items() if v and k in _TURN)) for m in _NUMBERS.finditer(text)]
+    found += [(start, end, "iban") for start, end in _ibans(text)]
     if "@" in text:
-        found += _EMAILS.finditer(text)
+        found += [(m.start(), m.end(), "email") for m in _EMAILS.finditer(text)]
     if not found:
         return text, counts
 
@@ -239,10 +276,10 @@ def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tupl
         return feistel.permute(x, size, tweak, back)
 
     spans = []
-    for m in found:
-        new = _TURN[kind := next(k for k, v in m.groupdict().items() if v and k in _TURN)](m[0], turn)
+    for start, end, kind in found:
+        new = _TURN[kind](text[start:end], turn)
         if new is not None:
-            spans.append((m.start(), -m.end(), kind, new))
+            spans.append((start, -end, kind, new))
     out, at = [], 0
     for start, end, kind, new in sorted(spans):
         if start < at:  # inside a value that began before

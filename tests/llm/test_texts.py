@@ -3,6 +3,7 @@
 import collections
 import datetime
 import hashlib
+import itertools
 import random
 import re
 
@@ -239,6 +240,27 @@ def test_what_fails_its_check_stays(text):
     assert pseudonyms.pseudonymise(f"x {text} y", pseudonyms.Feistel(b"key")) == (f"x {text} y", {})
 
 
+def iban(country, body):
+    return country + f"{98 - pseudonyms._mod97(country, '00', body):02d}" + body
+
+
+@pytest.mark.parametrize("country, body", [
+    ("AT", "1904300234573201"), ("BE", "539007547034"), ("ES", "21000418450200051332"), ("SE", "50000000058398257466"),
+    ("PL", "109010140000071219812874"), ("DE", "370400440532013000"), ("NL", "ABNA0417164300"), ("XX", "123456789012"),
+])
+def test_ibans_with_words_behind(country, body):
+    f = pseudonyms.Feistel(b"key")
+    plain = iban(country, body)
+    spaced = " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+    alone = {v: pseudonyms.pseudonymise(f"x {v}.", f)[0][2:-1] for v in (plain, spaced)}
+    assert alone[plain] != plain and alone[spaced].replace(" ", "") == alone[plain]
+    other = "DE89 3704 0044 0532 0130 00"
+    for value, behind in itertools.product(alone, ("BIC", "OK", "EUR", "BIC ABCD", other)):
+        text, counts = pseudonyms.pseudonymise(f"IBAN {value} {behind}", f)
+        assert text.startswith(f"IBAN {alone[value]} ") and counts == {"iban": 1 + (behind == other)}
+        assert pseudonyms.pseudonymise(text, f, back=True)[0] == f"IBAN {value} {behind}"
+
+
 def test_pseudonyms_link_documents(docs, odd, none):
     got = {r.doc_id: r for r in pseudonyms.pseudonyms(docs((1, "ip 97.51.17.173"), (2, "97.51.17.173!"), (3, None)), b"key").collect()}
     assert got[1].text[3:] == got[2].text[:-1] and (got[1].n_ip, got[3].text, got[3].n_ip) == (1, None, 0)
