@@ -194,10 +194,11 @@ def with_spans(docs: DataFrame, model: MarkovModel) -> DataFrame:
     base = F.concat(_found(text, ASSIGN, 0, _long_value), _found(text, ACCESS, 1), _found(text, HEX, 2))
     out = docs.withColumn("_base", F.sort_array(base))
     judged = _found(text, CANDIDATE, 3, _random_looking(model))
-    # A judged string that touches a fixed span is part of what is known already.
-    new = F.filter(
-        judged, lambda j: ~F.exists("_base", lambda b: (b["start"] < j["end"]) & (j["start"] < b["end"]))
+    # A judged string is known already only where fixed spans, which come by their start, leave no character of it.
+    reach = lambda j: F.aggregate(
+        "_base", j["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
     )
+    new = F.filter(judged, lambda j: reach(j) < j["end"])
     return out.withColumn("_spans", F.sort_array(F.concat("_base", new)))
 
 

@@ -111,6 +111,20 @@ def test_markov_adds_spans(spark, docs):
     assert (clean[1].text, clean[2].text) == ("clean", None)
 
 
+def test_fixed_spans_hide_no_rest_of_a_secret(spark, docs):
+    model = secrets.train(sample(spark))
+    key = "qZ7rT2xKp9LmW4vBn8sYd3FgHj6cQ5tR1zXk8Vb2"
+    access, run = "AKIA" + "Z7Q2K9X4M1P8W3T6", "0123456789abcdef01234567"
+    whole = {1: f"{access}/{key}", 2: f"{key}-{run}", 3: f"{run}_{key}"}
+    texts = {k: f"see {v} here" for k, v in whole.items()} | {4: f"see token={key} here", 5: f"see {run} here"}
+    rows = {r.doc_id: r for r in secrets.secret_spans(docs(*texts.items()), model).collect()}
+    assert [rows[k].n_markov for k in texts] == [1, 1, 1, 0, 0]
+    assert all(f"markov:4:{4 + len(v)}" in rows[k].spans for k, v in whole.items())
+    for k, t in texts.items():
+        assert rows[k].base_sha256 == hashlib.sha256(joined(base_spans(t)).encode()).hexdigest()
+    assert {r.text for r in secrets.redact(docs(*texts.items()), model).collect()} == {"see [SECRET] here"}
+
+
 def test_secrets_use_no_python(spark, docs):
     plan = secrets.redact(docs((1, "x")), secrets.train(sample(spark)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
