@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -64,6 +65,17 @@ _POINT = np.zeros(256, dtype=bool)
 _POINT[list(b".,")] = True
 
 
+# Letters whose lower case has another length in UTF-8; there are none beyond the first plane.
+_ODD = re.compile("([" + "".join(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if len(c.lower().encode()) != len(c.encode())) + "])")
+
+
+def _spelling(text: str) -> bytes:
+    """The bytes of a text, as long as those of its lower case; of odd letters a byte that is no text, and the rest of their lower case."""
+    parts = _ODD.split(text)
+    parts[1::2] = [c.lower() for c in parts[1::2]]
+    return b"".join(b"\xff" + x.encode()[1:] if i % 2 else x.encode() for i, x in enumerate(parts))
+
+
 def _hash_runs(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -93,12 +105,8 @@ def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """
     raw, low = [], []
     for t in texts:
-        a = (t or "").encode()
-        b = (t or "").lower().encode()
-        if len(a) != len(b):  # some letters have another length in lower case; such texts have no names
-            a = b
-        raw.append(a)
-        low.append(b)
+        raw.append(_spelling(t or ""))
+        low.append((t or "").lower().encode())
     ends = np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64))
     data, lower = (np.frombuffer(b"\n".join([*x, b""]), dtype=np.uint8) for x in (raw, low))
     if not len(data):

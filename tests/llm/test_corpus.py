@@ -217,6 +217,17 @@ def test_template_symbols():
     assert first.tolist() == [0, 10, 10, 12] and slot.sum() == 7 and kinds[11] == "name"
 
 
+def test_names_beside_letters_of_another_length():
+    odd = "ẞ and Kelvin \u212a \u023a \u023e"
+    text = f"we met Anna in İzmir , {odd} , and İZMİR with Bob ."
+    value, symbol, slot, first = templates.template([text, text.lower(), "we met Anna"])
+    n = first[1]
+    assert first.tolist() == [0, n, 2 * n, 2 * n + 3] and (value[:n] == value[n : 2 * n]).all()
+    names = [w for w, k in zip(re.findall(r"[^\s,.]+", text), symbol[:n], strict=True) if k == templates.NAME]
+    assert {"Anna", "İzmir", "Bob", "Kelvin"} <= set(names) and not {"we", "met", "and", "İZMİR"} & set(names)
+    assert not slot[n : 2 * n].any() and symbol[:3].tolist() == symbol[2 * n :].tolist()
+
+
 def test_templates_of_odd_rows(spark, odd, none, docs):
     bench = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "one"), (3, "one")], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in templates.contaminated(odd, bench).collect()} == {(4, 3)}
