@@ -11,6 +11,7 @@ import datetime
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -81,13 +82,13 @@ def _checksum_ok(digits: str) -> bool:
 
 
 def _refill(shape: str, digits: str) -> str:
-    """``shape`` with its digits replaced in order."""
+    """``shape`` with its digits replaced in order, by digits of the same script."""
     rest = iter(digits)
-    return "".join(next(rest) if "0" <= c <= "9" else c for c in shape)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(rest))) if c.isdecimal() else c for c in shape)
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 Turn = Callable[[int, int, bytes], int]
@@ -214,9 +215,19 @@ def _email(text: str, turn: Turn) -> str | None:
     return _classes(name, turn, b"email" + host.lower().encode()) + at + host
 
 
+# Values that a phone number before them doesn't take in.
+_OTHERS = (
+    r"(?:\d{3}-\d{2}-\d{4}|\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
+    r"|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?![ -]?\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?![ -]?\d)|\d{13,19})(?![0-9A-Za-z])"
+)
+_GAP = rf"(?:[.-]| (?!{_OTHERS}))?"
+_NEXT_DIGIT = rf"\)?{_GAP}\(?\d"
 _NUMBERS = re.compile(
     r"(?<![0-9A-Za-z])(?<!\d\.)(?:"
-    r"(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
+    # French and Spanish numbers have nine digits, others 7 to 14 in any groups.
+    rf"(?P<phone>\+3[34](?:[ .-]?\(0\))?(?:{_NEXT_DIGIT}){{9}}(?![0-9A-Za-z])"
+    rf"|\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?![0-9A-Za-z])|\+\d{{1,3}}(?:{_NEXT_DIGIT}){{7,14}}"
+    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
     r"|(?P<ssn>\d{3}(?P<s1>[- ])\d{2}(?P=s1)\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?!\.\d))"
     r"|(?P<date>\d{4}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{1,2}|\d{1,2}(?P<s3>[-/.])\d{1,2}(?P=s3)\d{4})"
@@ -305,9 +316,10 @@ def _replace(key: bytes):
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``; other columns are ignored) with personal values replaced.
 
-    Values are e-mail addresses (the part before the sign), card numbers with a right check digit, phone
-    numbers, IPv4 addresses, social security numbers, IBANs with a right check number, and dates that exist. Numbers that fail their
-    check stay. Of values that overlap the first, then the longest counts. ``key`` has up to 64 bytes and is no part of the result.
+    Values are e-mail addresses (the part before the sign), card numbers with a right check digit, phone numbers (after a plus
+    sign and the country 7 to 14 digits in any groups), IPv4 addresses, social security numbers, IBANs with a right check number,
+    and dates that exist. Numbers that fail their check stay. Of values that overlap the first, then the longest counts. ``key`` has
+    up to 64 bytes and is no part of the result.
 
     Returns ``doc_id, text`` and a count for each kind. Null texts stay null, empty ones empty; repeated rows get equal results,
     an empty table none.

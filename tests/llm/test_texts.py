@@ -254,6 +254,31 @@ def test_what_fails_its_check_stays(text):
     assert pseudonyms.pseudonymise(f"x {text} y", pseudonyms.Feistel(b"key")) == (f"x {text} y", {})
 
 
+@pytest.mark.parametrize("value", [
+    "+33 6 12 34 56 78", "+34 612 34 56 78", "+33.6.12.34.56.78", "+33 (0)6 12 34 56 78", "+41 44 668 18 00", "+55 11 91234 5678", "+33612345678",
+    "+91 98765 43210", "+49 30 123 4567", "+1 (017) 555-7713", "+1 555-123-4567",
+])
+def test_international_phone_numbers_in_any_groups(value):
+    f = pseudonyms.Feistel(b"key")
+    alone = pseudonyms.pseudonymise(f"x {value}.", f)[0][2:-1]
+    assert alone != value and re.sub(r"\d", "9", alone) == re.sub(r"\d", "9", value)
+    for behind in ("2020-02-29", "4111 1111 1111 1111", "97.51.17.173", "123-45-6789"):
+        text, counts = pseudonyms.pseudonymise(f"{value} {behind}", f)
+        assert text.startswith(alone) and counts["phone"] == 1 and counts.total() == 2
+        assert pseudonyms.pseudonymise(text, f, back=True)[0] == f"{value} {behind}"
+
+
+def test_digits_of_other_scripts():
+    f = pseudonyms.Feistel(b"key")
+    want, _ = pseudonyms.pseudonymise("4111111111111111", f)
+    for zero in ("\u0660", "\uff10"):
+        other = lambda t: "".join(chr(ord(zero) + int(c)) for c in t)  # noqa: B023, E731
+        text, counts = pseudonyms.pseudonymise(f"a {other('4111111111111111')} b", f)
+        assert text == f"a {other(want)} b" and counts == {"card": 1}
+        assert pseudonyms.pseudonymise(other("4785380592391138"), f)[1] == {}
+    assert pseudonyms.pseudonymise("+" + "1 " * 5000 + "x", f)[0].endswith("x")
+
+
 def iban(country, body):
     return country + f"{98 - pseudonyms._mod97(country, '00', body):02d}" + body
 
