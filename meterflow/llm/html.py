@@ -30,9 +30,10 @@ PAGES = StructType(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)",
     re.S,
 )
+_SPECIAL = re.compile("[<>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 #: Elements whose content is no text of the page.
@@ -98,6 +99,38 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Place of the sign that ends a tag, or -1. Quotes are read as strings where the tag then ends, else as single characters.
+
+    Quotes in ``failed`` lead to no end; each is tried once for a page, so that broken tags take time in proportion to it.
+    """
+    todo = [at]
+    while todo:
+        m = _SPECIAL.search(page, todo.pop())
+        if m is None or m[0] == "<" or m.start() in failed:
+            continue
+        if m[0] == ">":
+            return m.start()
+        failed.add(m.start())
+        todo.append(m.end())
+        close = page.find(m[0], m.end())
+        if close >= 0:
+            todo.append(close + 1)
+    return -1
+
+
+def _token(page: str, at: int, failed: set[int]) -> tuple[re.Match, int, str] | None:
+    """The next comment or tag, its end and, of a tag, what stands behind its name."""
+    while m := _TOKEN.search(page, at):
+        if m[2] is None:
+            return m, m.end(), ""
+        end = _tag_end(page, m.end(), failed)
+        if end >= 0:
+            return m, end + 1, page[m.end() : end]
+        at = m.start() + 1
+    return None
+
+
 def lines_of(page: str) -> tuple[list[Line], bool]:
     """Lines of a page in order, and whether an element marks its article.
 
@@ -107,6 +140,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
     lines: list[Line] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
     line, links, at, marked, heading = Line(False, False), 0, 0, False, False
+    failed: set[int] = set()
 
     def begin() -> None:
         nonlocal line
@@ -121,16 +155,17 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
                 line.linked += len(text)
 
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = _token(page, at, failed)
+        if found is None:
             break
+        m, end, rest = found
         add(page[at : m.start()])
-        at = m.end()
+        at = end
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        tag, closing, rest = m[2].lower(), bool(m[1]), m[3]
+        tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW:
             if not closing and not rest.endswith("/"):
                 end = _RAW_END[tag].search(page, at)
@@ -163,7 +198,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             heading = True
     # A "<" that begins no tag is text; a tag that is cut off at the end of the page is not.
     tail = page[at:]
-    cut = re.search(r"<[/!?A-Za-z][^>]*\Z", tail)
+    cut = re.compile(r"<[/!?A-Za-z]").search(tail, tail.rfind(">") + 1)
     add(tail[: cut.start()] if cut else tail)
     begin()
     return lines, marked

@@ -166,6 +166,25 @@ def test_surge_and_dive():
     assert html.main_text(menu * 4 + text + menu * 3 + "<div>end</div>" + menu * 3).split("\n") == ["x" * 90, "short", "y" * 30]
 
 
+def test_tags_with_many_quotes():
+    pattern = re.compile(
+        r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+        r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>",
+        re.S,
+    )
+    rng = random.Random(3)
+    for _ in range(20_000):
+        page = "".join(rng.choices(["<b", "<", ">", '"', "'", "x", " ", "</i", "<!--", "-->"], k=rng.randrange(14)))
+        got, at, failed = [], 0, set()
+        while found := html._token(page, at, failed):
+            m, at, rest = found
+            got.append((m.start(), at, m[2], rest))
+        assert got == [(m.start(), m.end(), m[2], m[3] or "") for m in pattern.finditer(page)], page
+    text = "Some words of the article that are long enough to be kept as its main text, and a few more of them for the surge."
+    for broken in ("<b " + "a='1' " * 50_000, "<a x=\"1\" " * 20_000 + "'"):
+        assert html.main_text(f"<p>{text}</p><p>{broken}<p>{text}</p>").count(text) == 2
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain"), (4, "u", "<p>a<p"), (5, "u", "<" * 5000), (6, "u", "<p>" * 20_000 + "deep"), (7, "u", "a < b & c"), (7, "u", "a < b & c")]
     got = html.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))).collect()
