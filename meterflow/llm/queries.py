@@ -116,3 +116,26 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = spark.conf.get("spark.meterflow.pseudonymKey", "set spark.meterflow.pseudonymKey")
     return pseudonyms(_table(spark, sf_dir, "documents"), key.encode()[:64])
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document; every tenth has a repeated tail."""
+    from meterflow.llm.runs import periodic_runs
+
+    docs = _table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = periodic_runs(docs, F.when(h % 10 == 0, F.floor(h / 10)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]))
+    # The longest; of equal ones the first, then the one of the shortest period.
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(1000 * -best.n) div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
