@@ -139,3 +139,37 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to five words of each language, over all documents."""
+    from meterflow.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), 100, 2000)
+
+
+ORACLES["op12_collocations"] = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS gram
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, gram, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, gram, f AS a, string_split(gram, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100),
+inner_grams AS (SELECT lang, j, a, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS gram
+          FROM c, (SELECT unnest([2, 3, 4]) AS j) WHERE j < k),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_grams i WHERE i.lang = c.lang AND i.gram = c.gram AND 100 * i.a >= 100 * c.a)),
+cut AS (SELECT lang, gram, a, x, array_to_string(ws[1:x], ' ') AS b, array_to_string(ws[x + 1:], ' ') AS e
+        FROM kept, (SELECT unnest([1, 2, 3, 4]) AS x) WHERE x < k),
+s AS (SELECT cut.lang, cut.gram, a, x, l.f AS l, r.f AS r, n,
+             (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.gram = b JOIN f r ON r.lang = cut.lang AND r.gram = e JOIN total ON total.lang = cut.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, x) AS o FROM s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM best WHERE o = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, gram AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
