@@ -23,7 +23,7 @@ PAIR_BITS = 1 << 26
 _LEFT, _RIGHT = 1_000_003, 8_191
 
 #: Bytes of text whose words are numbered and counted together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 #: Parts in which the candidates of one language are ranked before the last ranking.
 RANK_PARTS = 64
