@@ -97,7 +97,7 @@ def _pair_table(pairs: DataFrame, bits: int) -> Broadcast:
 
 
 def _edges(table: Broadcast, bits: int, longest: int):
-    """Edges of ``longest`` words, and of each piece that ends the shorter grams that have no word after them."""
+    """Edges of ``longest`` words, and of each piece its last words, one fewer or as many as it has, which no word follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pairs = np.frombuffer(table.value, dtype=np.uint8)
@@ -113,6 +113,7 @@ def _edges(table: Broadcast, bits: int, longest: int):
             # A piece is cut where a pair is certainly too rare: no gram across it can be a candidate.
             piece = np.cumsum(np.concatenate([[True], ~joined]))
             at, name = np.arange(n), codes
+            starts = np.concatenate([[True], piece[1:] != piece[:-1]])
             for k in range(2, longest + 1):
                 inside = at + k - 1 < n
                 at, name = at[inside], name[inside]
@@ -121,30 +122,35 @@ def _edges(table: Broadcast, bits: int, longest: int):
                 if not len(at):
                     break
                 _, name, _ = _named(name * len(words.distinct) + codes[at + k - 1])
-                ends = np.ones(len(at), dtype=bool)
-                if k < longest:
-                    ends = (at + k >= n) | (piece[np.minimum(at + k, n - 1)] != piece[at])
-                first, _, count = _named(name[ends])
-                if len(first):
-                    yield _rows(lang, _grams(words, at[ends][first], k), count) | {"words": np.full(len(first), k)}
+                if k == longest:
+                    given = np.ones(len(at), dtype=bool)
+                else:
+                    given = (at + k >= n) | (piece[np.minimum(at + k, n - 1)] != piece[at])
+                    if k < longest - 1:
+                        given &= starts[at]
+                first, _, count = _named(name[given])
+                if k > 2 and len(first):
+                    yield _rows(lang, _grams(words, at[given][first], k), count) | {"words": np.full(len(first), k)}
 
     return run
 
 
-def _flow(docs: DataFrame, pairs: DataFrame, bits: int, longest: int) -> list[DataFrame]:
-    """Counts of all grams of 2 to ``longest`` words that have no rare pair.
+def _flow(docs: DataFrame, pairs: DataFrame, bits: int, longest: int) -> dict[int, DataFrame]:
+    """Counts of all grams of 3 to ``longest`` words that have no rare pair, by their length.
 
     Only edges are counted. What flows through a node is the sum of the edges that leave it and of the pieces
-    that end in it; the nodes of one length are in turn the edges between shorter ones.
+    that end in it; the nodes of one length are in turn the edges between shorter ones, and what ends in a
+    shorter node is a suffix of what ends in a longer one.
     """
     key = ["lang", "words", "gram"]
     found = map_rows(docs, _edges(_pair_table(pairs, bits), bits, longest), EDGES)
-    table_ = written(found.groupBy(*key).agg(F.sum("n").alias("n")), "edges")
-    counts = [table_.where(F.col("words") == longest).drop("words")]
-    for k in range(longest - 1, 1, -1):
-        leaving = counts[-1].select("lang", F.substring_index("gram", " ", k).alias("gram"), "n")
-        ending = table_.where(F.col("words") == k).drop("words")
-        counts.append(written(leaving.unionByName(ending).groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"nodes-{k}"))
+    table = written(found.groupBy(*key).agg(F.sum("n").alias("n")), "edges")
+    counts = {longest: table.where(F.col("words") == longest).drop("words")}
+    ends = table.where(F.col("words") < longest)
+    for k in range(longest - 1, 2, -1):
+        leaving = counts[k + 1].select("lang", F.substring_index("gram", " ", k).alias("gram"), "n")
+        ending = ends.where(F.col("words") >= k).select("lang", F.substring_index("gram", " ", -k).alias("gram"), "n")
+        counts[k] = written(leaving.unionByName(ending).groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"nodes-{k}")
     return counts
 
 
@@ -172,8 +178,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     shorter first part of equal ones. A candidate inside a longer one of the same count is dropped. Returns ``lang,
     rank, phrase, a, l, r, n, score``; equal scores are ranked by a, then by the bytes of the phrase.
 
-    Pairs of words are counted first, exactly. Phrases with a pair below ``least`` can't be candidates, so pieces are
-    cut there before edges are made; a table of ``pair_bits`` bits (a power of two) may let rare pairs through, which
+    Words and pairs of words are counted first. Phrases with a pair below ``least`` can't be candidates, so pieces are
+    cut there before edges of ``longest`` words are made, from which all lengths between follow; a table of ``pair_bits`` bits (a power of two) may let rare pairs through, which
     only costs time.
 
     Null texts are empty, null languages ``und``. Repeated rows count each time. Without a candidate, as in an empty
@@ -187,11 +193,10 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     totals = counts.where(F.col("gram") == "").select("lang", F.col("n").alias("total"))
     words = counts.where((F.col("gram") != "") & ~spaced)
 
-    flow = _flow(rows, counts.where(spaced), pair_bits, longest)
-    frequent = None
-    for k, level in zip(range(longest, 1, -1), flow, strict=True):
-        level = level.where(enough).withColumn("words", F.lit(k))
-        frequent = level if frequent is None else frequent.unionByName(level)
+    frequent = counts.where(spaced).withColumn("words", F.lit(2))
+    if longest > 2:
+        for k, level in _flow(rows, counts.where(spaced), pair_bits, longest).items():
+            frequent = frequent.unionByName(level.where(enough).withColumn("words", F.lit(k)))
     frequent = written(frequent, "frequent")
 
     parts = frequent.select("lang", "gram", "n").unionByName(words)
