@@ -173,3 +173,14 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, gram AS phrase, CAST(a AS BIGINT) AS
        CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked WHERE rank <= 2000
 """
+
+
+@_query
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from the folds that are not held out; a null id is not."""
+    from meterflow.llm.maxent import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(7) == 2, F.lit(False))
+    scores = score(docs, train(docs.where(~held_out)))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
