@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meterflow import schemas
 from meterflow.functions.timing import day_key, from_ns, instant, step_interval
@@ -18,9 +19,11 @@ from meterflow.operators.filters import bounded, closed_only
 from meterflow.operators.keyed import first_per_key, insert_replace, last_per_key, rows_to_insert, upsert_dim
 from meterflow.operators.readings import device_rollup, pivot_readings
 from meterflow.operators.series import last_seen, newer_than
-from meterflow.session import written
+from meterflow.session import hint_if_small, written
 from meterflow.sources.files import read_counter_csv, read_meter_xml
+from meterflow.sources.stored import Load, StoredTable
 from meterflow.sources.tables import append, overwrite, power_stats_rows, water_stats_rows
+from meterflow.streaming.stored import delta_into
 
 STEP = "1 minute"
 
@@ -155,6 +158,42 @@ def load_water(spark: SparkSession, reading_table: str, stats_table: str, device
     append(water_stats_rows(used), stats_table)
 
 
+def load_device_stats(
+    readings: DataFrame, path: str, ts: str, step: str, power: str, energy: str, now, load: Load, device: str = "id"
+) -> StoredTable:
+    """Closed buckets of any number of meters to their statistics below ``path``, a row for each meter and bucket.
+
+    A marks table beside the statistics holds the last stored bucket of every meter with its counter. A load reads
+    only readings from the earliest mark on (by day where the readings have a ``day``) and of each meter those after
+    its own mark; older ones only of meters that turn up for the first time. It reads nothing of the statistics. A load that is repeated changes nothing, and a load that was
+    cut off between the statistics and the marks is taken up there.
+    """
+    spark = readings.sparkSession
+    of = {f.name: f.dataType.simpleString() for f in readings.schema}
+    base = f"`{device}` {of[device]}, gts {of[ts]}, cnt bigint, peak {of[power]}, cumul {of[energy]}"
+    stats = StoredTable(spark, f"{path}/stats", StructType.fromDDL(f"{base}, delta {of[energy]}, prev_gts {of[ts]}, day date"), ["day"])
+    last = StoredTable(spark, f"{path}/marks", StructType.fromDDL(f"`{device}` {of[device]}, cumul {of[energy]}, gts {of[ts]}"))
+    if last.holds(load):
+        return stats
+    marks = last.read()
+    fresh = closed_only(readings.where(F.col(device).isNotNull()), ts, step, now)
+    earliest = marks.agg(F.min("gts").cast("timestamp_ntz")).first()[0]
+    if earliest is not None:
+        at = instant(readings, ts, earliest)
+        known = hint_if_small(marks.select(device, F.col("gts").alias("__mark")))
+        late = F.col(ts) >= at
+        recent = fresh.where(late & (F.col("day") >= F.to_date(at)) if "day" in fresh.columns else late)
+        recent = recent.join(known, device, "left").where(F.col("__mark").isNull() | (F.col(ts) >= F.col("__mark")))
+        # A meter that turns up without a mark takes its older readings as well; only then are any of them read.
+        new = written(recent.where(F.col("__mark").isNull()).select(device).distinct(), "new-meters")
+        fresh = recent.drop("__mark")
+        if not new.isEmpty():
+            fresh = fresh.unionByName(closed_only(readings, ts, step, now).where(~late).join(hint_if_small(new), device, "left_semi"))
+    rolled = counter_rollup(fresh, [device], ts, step, {"peak": power}, {"cumul": energy})
+    delta_into(written(rolled, "device-buckets"), [device], "gts", step, {"delta": "cumul"}, stats, last, load)
+    return stats
+
+
 def load_climate(events: DataFrame, table: str) -> None:
     """Climate events: the first of each key is stored, stored ones stay."""
     spark = events.sparkSession
