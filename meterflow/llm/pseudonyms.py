@@ -7,7 +7,6 @@ values keep different pseudonyms, and who has the key can turn them back.
 
 from __future__ import annotations
 
-import datetime
 import hashlib
 import math
 import re
@@ -43,7 +42,8 @@ class Feistel:
     """
 
     def __init__(self, key: bytes):
-        self.key = key
+        # Of any length; all of it counts.
+        self.key = hashlib.blake2b(key, digest_size=64).digest()
 
     def _hash(self, tweak: bytes, i: int, x: int, n: int) -> int:
         data = b"%d|%d|%d|" % (i, n, x) + tweak
@@ -103,14 +103,30 @@ def _card(text: str, turn: Turn) -> str | None:
     return _refill(text, next(body + c for c in "0123456789" if _checksum_ok(body + c)))
 
 
+#: Country codes of one and of two digits (fixed values); all others have three.
+_COUNTRY_CODES = set(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
 def _phone(text: str, turn: Turn) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)
-    start = head.end() if head else 0
+    """The digits behind the country code are permuted, whatever the groups they are written in.
+
+    Numbers without a plus sign are those of North America, country 1. A trunk zero in brackets is no part of a number.
+    """
+    digits = _digits(text)
+    country = next((digits[:k] for k in (1, 2) if digits[:k] in _COUNTRY_CODES), digits[:3]) if text[0] == "+" else "1"
+    fixed = len(country) if text[0] == "+" else 0
+    # Where the country code ends in the text, and a trunk zero behind it.
+    places = [i for i, c in enumerate(text) if c.isdecimal()]
+    start = places[fixed - 1] + 1 if fixed else 0
+    trunk = re.match(r"[ .-]?\(0\)", text[start:])
+    start += trunk.end() if trunk else 0
     digits = _digits(text[start:])
     n = len(digits)
-    if not 7 <= n <= 14:
+    if not 4 <= n <= 14 or fixed and fixed + n < 8:
         return None
-    return text[:start] + _refill(text[start:], f"{turn(int(digits), 10**n, b'phone' + text[:start].encode() + b'%d' % n):0{n}d}")
+    return text[:start] + _refill(text[start:], f"{turn(int(digits), 10**n, b'phone+%s %d' % (country.encode(), n)):0{n}d}")
 
 
 def _ip(text: str, turn: Turn) -> str | None:
@@ -152,31 +168,44 @@ def _iban(text: str, turn: Turn) -> str | None:
     return "".join(c if c == " " else next(rest) for c in text)
 
 
-_FIRST, _LAST = datetime.date(1, 1, 1).toordinal(), datetime.date(9999, 12, 31).toordinal()
+def _is_date(year: int, one: int, two: int) -> bool:
+    """Whether the fields are month and day in either order."""
+    for month, day in ((one, two), (two, one)):
+        if 1 <= month <= 12 and 1 <= day <= _days(year, month):
+            return True
+    return False
+
+
+def _days(year: int, month: int) -> int:
+    return 29 if month == 2 and year % 4 == 0 and (year % 100 != 0 or year % 400 == 0) else (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[month - 1]
 
 
 def _date(text: str, turn: Turn) -> str | None:
-    """Dates as year-month-day, day.month.year and month/day/year; the two fields are swapped where only that is a date."""
+    """Dates with the year first or last and month and day in either order, permuted among all dates of the same written form.
+
+    A form is the sign between the fields, the place of the year and the width of the two other fields. Numbers
+    that are no date of the form are permuted again, so dates never meet and each is turned back by its own form.
+    """
     sign = next(c for c in text if not c.isdigit())
-    parts = text.split(sign)
-    places = {"-": (0, 1, 2), ".": (2, 1, 0), "/": (2, 0, 1)}[sign]
-    if len(parts[0]) == 4:
-        places = (0, 1, 2)
-    if len(parts[places[0]]) != 4:
+    fields = text.split(sign)
+    at = 0 if len(fields[0]) == 4 else 2
+    year, one, two = int(fields[at]), *(int(f) for f in fields[1 - at // 2 : 3 - at // 2])
+    widths = [len(f) for f in fields[1 - at // 2 : 3 - at // 2]]
+    if len(fields[at]) != 4 or not 1 <= year <= 9999 or not _is_date(year, one, two):
         return None
-    for y, m, d in (places, (places[0], places[2], places[1])):
-        try:
-            day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d]))
-        except ValueError:
-            continue
-        size = _LAST - _FIRST + 1
-        tweak = b"date" + b"%d%d%d" % (y, m, d)
-        new = datetime.date.fromordinal(_FIRST + turn(day.toordinal() - _FIRST, size, tweak))
-        padded = len(parts[m]) == 2 and len(parts[d]) == 2
-        out = list(parts)
-        out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:02d}" if padded else str(new.month), f"{new.day:02d}" if padded else str(new.day)
-        return sign.join(out)
-    return None
+    # One digit stands for 1 to 9, two for 01 to 31.
+    spans = [9 if w == 1 else 31 for w in widths]
+    size = 9999 * spans[0] * spans[1]
+    x = ((year - 1) * spans[0] + one - 1) * spans[1] + two - 1
+    tweak = b"date%s%d%d%d" % (sign.encode(), at, *widths)
+    while True:
+        x = turn(x, size, tweak)
+        rest, two = divmod(x, spans[1])
+        year, one = divmod(rest, spans[0])
+        if _is_date(year + 1, one + 1, two + 1):
+            break
+    others = [f"{v + 1:0{w}d}" for v, w in zip((one, two), widths, strict=True)]
+    return sign.join([f"{year + 1:04d}", *others] if at == 0 else [*others, f"{year + 1:04d}"])
 
 
 #: Characters that are permuted among themselves: small and capital letters, digits, and letters with marks of both sizes.
@@ -318,11 +347,11 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
 
     Values are e-mail addresses (the part before the sign), card numbers with a right check digit, phone numbers (after a plus
     sign and the country 7 to 14 digits in any groups), IPv4 addresses, social security numbers, IBANs with a right check number,
-    and dates that exist. Numbers that fail their check stay. Of values that overlap the first, then the longest counts. ``key`` has
-    up to 64 bytes and is no part of the result.
+    and dates that exist. Numbers that fail their check stay. Of values that overlap the first, then the longest counts; there are no
+    other ties. ``key`` has any length, all of which counts, and is no part of the result.
 
     Returns ``doc_id, text`` and a count for each kind. Null texts stay null, empty ones empty; repeated rows get equal results,
-    an empty table none.
+    an empty table none. Texts are searched whole, however long.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_rows(rows, _replace(key), PSEUDONYMS)

@@ -111,11 +111,19 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with personal values replaced by pseudonyms under the key of the session."""
+    """Every document with personal values replaced by pseudonyms under the key of the session.
+
+    Without ``spark.meterflow.pseudonymSecret`` the session gets a random key, which nobody has afterwards. The name of
+    the setting is of those that Spark hides in its logs.
+    """
+    import secrets
+
     from meterflow.llm.pseudonyms import pseudonyms
 
-    key = spark.conf.get("spark.meterflow.pseudonymKey", "set spark.meterflow.pseudonymKey")
-    return pseudonyms(_table(spark, sf_dir, "documents"), key.encode()[:64])
+    name = "spark.meterflow.pseudonymSecret"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return pseudonyms(_table(spark, sf_dir, "documents"), spark.conf.get(name).encode())
 
 
 @_query
