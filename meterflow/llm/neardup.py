@@ -48,7 +48,7 @@ SCAN = StructType(
         StructField("signature", BinaryType()),
     ]
 )
-SET = StructType([StructField("node", LongType()), StructField("set", BinaryType(), False)])
+SET = StructType([StructField("node", LongType()), StructField("digest", BinaryType()), StructField("set", BinaryType(), False)])
 FINE = StructType([StructField("node", LongType()), StructField("fine", BinaryType(), False)])
 PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 LINK = StructType([*PAIR.fields, StructField("shared", LongType(), False), StructField("union", LongType(), False)])
@@ -159,27 +159,31 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             ok = [len(s) > 0 and _digest(s) == w for s, w in zip(sets, want, strict=True)]
             yield {
                 "node": part.column("node").filter(pa.array(ok)),
+                "digest": part.column("want").filter(pa.array(ok)),
                 "set": pa.array([s.tobytes() for s, k in zip(sets, ok, strict=True) if k], type=pa.binary()),
             }
 
 
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held, held_set = None, np.zeros(0, np.uint64)
+        held, sets = None, []
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in LINK}
             columns = [batch.column(c).to_pylist() for c in ("a", "block", "role", "b", "set")]
             for a, block, role, b, raw in zip(*columns, strict=True):
                 own = np.frombuffer(raw, dtype=np.uint64)
                 if role == 0:
-                    held, held_set = (a, block), own
+                    # One set, or several where different texts have this id.
+                    sets = [*(sets if held == (a, block) else []), own]
+                    held = (a, block)
                 elif held == (a, block):
-                    at = np.minimum(np.searchsorted(held_set, own), len(held_set) - 1)
-                    shared = int((held_set[at] == own).sum())
-                    union = len(own) + len(held_set) - shared
-                    if 100 * shared >= percent * union:
-                        for name, value in (("a", a), ("b", b), ("shared", shared), ("union", union)):
-                            out[name].append(value)
+                    for held_set in sets:
+                        at = np.minimum(np.searchsorted(held_set, own), len(held_set) - 1)
+                        shared = int((held_set[at] == own).sum())
+                        union = len(own) + len(held_set) - shared
+                        if 100 * shared >= percent * union:
+                            for name, value in (("a", a), ("b", b), ("shared", shared), ("union", union)):
+                                out[name].append(value)
             yield out
 
     return run
@@ -205,8 +209,8 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     The partners of a node are dealt over blocks; each block gets the node's own set first and its partners then pass
     by one at a time, so that a block takes the memory of two sets however many partners there are.
     """
-    # Rows that repeat an id with the same text give the same set; one of them is enough.
-    sets = sets.dropDuplicates(["node"])
+    # Rows that repeat an id with the same text give the same set; one of them is enough. Other texts of an id count as well.
+    sets = sets.dropDuplicates(["node", "digest"]).drop("digest")
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(BLOCKS)).alias("block"))
     partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", F.lit(1).alias("role"), "b", "set")
     own = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a")
@@ -336,7 +340,7 @@ def near_duplicates(
 
     Returns a row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``. Null, empty and
     blank texts have no shingle, are linked with nothing and are kept. So are rows with a null id, whose
-    ``component_id`` is null. Each row is judged by its own text; classes whose smallest id is the same are one. Exact repetitions of a row get equal
+    ``component_id`` is null. Rows that share an id are one node, linked by any of their texts. Exact repetitions of a row get equal
     results. An empty table gives an empty one. Very long texts are worked on alone, in memory in proportion to the text.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

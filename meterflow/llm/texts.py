@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -104,25 +105,13 @@ _LOWER[65:91] += 32
 def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and for each text the number of its first word (one more at the end).
 
-    Words are runs of bytes other than space and 0x09 to 0x0D. The hash of a word is
-    the polynomial of its bytes, taken from running sums over the whole batch.
+    Words are runs of bytes other than space and 0x09 to 0x0D. Distinct words are told apart by their bytes and hashed
+    once by XXH3, which unlike a polynomial of the bytes has no words that are known to meet.
     """
-    raw = [(t or "").encode() for t in texts]
-    ends = np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64)) if raw else np.zeros(0, np.int64)
-    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
-    if lower:
-        data = _LOWER[data]
-    space = SPACES[data]
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
-    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:], dtype=np.uint64)
-        hashes = mix((total[stops] - total[starts]) * down[starts])
-    return hashes, np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
+    words = split_words([t.encode() if t else None for t in texts], lower)
+    known = map(xxhash.xxh3_64_intdigest, words.distinct.to_pylist())
+    hashes = np.fromiter(known, dtype=np.uint64, count=len(words.distinct))
+    return hashes[words.codes], words.first.astype(np.int64)
 
 
 #: White space other than a single space or line feed, the sign that stands for a space in pieces, and their neighbours.
