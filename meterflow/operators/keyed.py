@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from meterflow.functions.timing import now_or
 from meterflow.operators.ordered import join_on
-from meterflow.session import hint_if_small, small_side, written
+from meterflow.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, hint_if_small, written
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -26,15 +27,46 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return _one_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
+#: Types whose smallest and largest value prune files and row groups.
+_ORDERED = (NumericType, DateType, TimestampType, TimestampNTZType, StringType)
+
+
+def _span(delivery: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The keys of a stored delivery, with a broadcast hint if few, and a filter for what they can meet.
+
+    One small job measures both. Columns with a null among the keys give no filter, as nulls are equal here.
+    """
+    kinds = {f.name: f.dataType for f in delivery.schema}
+    ranged = [k for k in keys if isinstance(kinds[k], _ORDERED)]
+    # Texts of times keep the exact value whatever zone the driver is in.
+    edge = lambda f, k: f(k).cast("string") if isinstance(kinds[k], (DateType, TimestampType, TimestampNTZType)) else f(k)
+    width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 8 for k in keys), F.lit(0))
+    found = delivery.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(width), F.lit(0)).alias("size"),
+        *[edge(f, k).alias(f"{name}_{i}") for i, k in enumerate(ranged) for name, f in (("lo", F.min), ("hi", F.max))],
+        *[F.count_if(F.col(k).isNull()).alias(f"nulls_{i}") for i, k in enumerate(ranged)],
+    ).first()
+    within = F.lit(True)
+    for i, k in enumerate(ranged):
+        if found["rows"] and not found[f"nulls_{i}"]:
+            lo, hi = (F.lit(found[f"{e}_{i}"]).cast(kinds[k]) for e in ("lo", "hi"))
+            within = within & F.col(k).between(lo, hi)
+    few = found["rows"] <= BROADCAST_MAX_ROWS and found["size"] <= BROADCAST_MAX_BYTES
+    columns = delivery.select(*keys)
+    return F.broadcast(columns) if few else columns, within
+
+
 def rows_to_insert(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows of ``new`` an insert-ignore would add; append these to the stored table.
 
-    The delivery is deduplicated once and stored. Its keys find those the target has, so a target
-    much larger than the delivery is read where it lies.
+    The delivery is deduplicated once and stored. Its smallest and largest keys go into the scan of the target, and its keys
+    find those the target has, so a target much larger than the delivery is read where it lies and only as far as needed.
     """
     fresh = written(first_per_key(new, keys, order), "delivery")
-    present = join_on(target.select(*keys), hint_if_small(fresh.select(*keys)), keys, "left_semi")
-    return join_on(fresh, small_side(present.distinct()), keys, "left_anti")
+    wanted, within = _span(fresh, keys)
+    present = join_on(target.select(*keys).where(within), wanted, keys, "left_semi")
+    return join_on(fresh, present, keys, "left_anti")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -41,7 +41,7 @@ _MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def parse_step(step: str) -> tuple[int, str]:
-    """``'H'``, ``'15min'``, ``'30S'``, ``'3 hours'``, ``'2D'``, ``'W'`` -> (count, unit). Whole days of hours become days."""
+    """``'H'``, ``'15min'``, ``'30S'``, ``'3 hours'``, ``'2D'``, ``'36H'``, ``'W'`` -> (count, unit). Whole days of hours become days."""
     match = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+)\s*", step)
     if not match:
         raise ValueError(f"unknown step {step!r}")
@@ -51,9 +51,7 @@ def parse_step(step: str) -> tuple[int, str]:
         raise ValueError(f"unknown step {step!r}")
     if unit not in _CALENDAR and step_micros(f"{count} {unit}") >= _DAY_MICROS:
         days, rest = divmod(step_micros(f"{count} {unit}"), _DAY_MICROS)
-        if rest:
-            raise ValueError(f"{step!r}: a step over a day has to be whole days")
-        return days, "day"
+        return (count, unit) if rest else (days, "day")
     return count, unit
 
 
@@ -63,11 +61,22 @@ def _even(step: tuple[int, str]) -> bool:
     return unit not in _CALENDAR and 3_600_000_000 % step_micros(f"{count} {unit}") == 0
 
 
+def _long(step: tuple[int, str]) -> bool:
+    """Whether a step of hours, minutes or seconds is longer than a day and no whole number of days."""
+    count, unit = step
+    return unit not in _CALENDAR and step_micros(f"{count} {unit}") > _DAY_MICROS
+
+
+def _anchored(step: tuple[int, str]) -> bool:
+    """Whether buckets count from the first of the series and not from the clock."""
+    return step[0] > 1 and step[1] in _CALENDAR or _long(step)
+
+
 def _start(ts: Column, step: tuple[int, str], tz: str, first: Column | None = None) -> Column:
     """Start of the local bucket: a UTC instant for steps that divide an hour, else a wall clock of ``tz``.
 
     Other sub-day steps count from local midnight. Several days, weeks, months or years at once count
-    from ``first``, the first bucket of one unit of the series.
+    from ``first``, the first bucket of one unit of the series, and steps such as 36 hours from its first midnight.
     """
     count, unit = step
     if unit in _CALENDAR:
@@ -80,6 +89,9 @@ def _start(ts: Column, step: tuple[int, str], tz: str, first: Column | None = No
     span = F.lit(step_micros(f"{count} {unit}"))
     if _even(step):
         return F.timestamp_micros(micros - F.pmod(local, span)).cast("timestamp_ntz")
+    if _long(step):
+        origin = F.unix_micros(first.cast("timestamp"))
+        return F.timestamp_micros(local - F.pmod(local - origin, span)).cast("timestamp_ntz")
     of_day = F.pmod(local, F.lit(_DAY_MICROS))
     return F.timestamp_micros(local - F.pmod(of_day, span)).cast("timestamp_ntz")
 
@@ -111,7 +123,7 @@ def _label(start: Column, step: tuple[int, str], tz: str, label: str) -> Column:
     edge = start if label == "left" else start + _span(step)
     if _even(step):
         return edge
-    if unit not in _CALENDAR and label == "right":
+    if unit not in _CALENDAR and not _long(step) and label == "right":
         # The last bucket of a day ends with the day.
         edge = F.least(edge, F.date_trunc("day", start).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
     return to_utc(edge if unit not in _CALENDAR or unit == "day" else edge - F.expr("INTERVAL 1 DAY"), tz)
@@ -136,7 +148,7 @@ def _spine(bounds: DataFrame, keys: Sequence[str], step: tuple[int, str], tz: st
     before they are cut finer, so a long range is not built in one task.
     """
     fine = _span(step)
-    if step[1] in _CALENDAR:
+    if step[1] in _CALENDAR or _long(step):
         return bounds.select(*keys, F.explode(F.sequence("__lo", "__hi", fine)).alias("__b"))
     day = F.expr("INTERVAL 1 DAY")
     if _even(step):
@@ -236,7 +248,7 @@ def resample(
 
     ``step`` is any number of seconds, minutes, hours, days, weeks, months, quarters or years. Sub-day steps that
     don't divide an hour begin anew at each local midnight; several days or more at once count from the
-    first unit of the series. The range of a series runs from its first to its last bucket. Empty buckets count 0
+    first unit of the series, other steps over a day from its first local midnight by the local clock. The range of a series runs from its first to its last bucket. Empty buckets count 0
     and are null for every other aggregate. Labels are UTC instants in column ``ts``.
     """
     if how not in HOW or label not in ("left", "right"):
@@ -246,8 +258,8 @@ def resample(
     cols = [c for c in df.columns if c != ts and c not in keys] if cols is None else list(cols)
     group = [*keys, "__b"]
     first = None
-    if parsed[0] > 1 and parsed[1] in _CALENDAR:
-        one = F.min(_start(F.col(ts), (1, parsed[1]), tz)).alias("__first")
+    if _anchored(parsed):
+        one = F.min(_start(F.col(ts), (1, "day" if _long(parsed) else parsed[1]), tz)).alias("__first")
         if keys:
             df = join_on(df, small_side(df.groupBy(*keys).agg(one)), keys, "left")
             first = F.col("__first")

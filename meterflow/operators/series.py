@@ -64,6 +64,32 @@ def align_left(base: DataFrame, others: Sequence[DataFrame], on: str | Sequence[
     )
 
 
+def _side_by_side(df: DataFrame, on: Sequence[str], by: str, names: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row for each key with the values of every series under ``<name>_<value>``, and how many rows each series has."""
+    taken = [F.max(F.when(F.col(by) == n, F.col(v))).alias(f"{n}_{v}") for n in names for v in values]
+    seen = [F.count_if(F.col(by) == n).alias(f"__seen{i}") for i, n in enumerate(names)]
+    met = df.where(F.col(by).isin(list(names))).groupBy(*on).agg(*taken, *seen)
+    return met.where(_unique([F.col(f"__seen{i}") for i in range(len(names))], on))
+
+
+def merge_series_of(df: DataFrame, on: str | Sequence[str], by: str, names: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``merge_series`` for series that are rows of one table, told apart by column ``by``.
+
+    The table is read once and each row is kept or dropped by one condition for each series, in place of one scan for each.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    return _side_by_side(df, on, by, names, values).select(*on, *[f"{n}_{v}" for n in names for v in values])
+
+
+def align_left_of(df: DataFrame, on: str | Sequence[str], by: str, base: str, others: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``align_left`` for series that are rows of one table; the table is read once."""
+    on = [on] if isinstance(on, str) else list(on)
+    met = _side_by_side(df, on, by, [base, *others], values).where(F.col("__seen0") > 0)
+    complete = reduce(lambda a, b: a & b, [F.col(f"__seen{i}") > 0 for i in range(1, len(others) + 1)], F.lit(True))
+    own = [F.col(f"{base}_{v}") for v in values]
+    return met.select(*on, *own, *[F.when(complete, F.col(f"{n}_{v}")).alias(f"{n}_{v}") for n in others for v in values])
+
+
 def newer_than(df: DataFrame, marks: DataFrame, key: str, ts: str, mark: str = "mark") -> DataFrame:
     """Rows newer than the last stored time of their device; unknown devices pass whole.
 

@@ -16,7 +16,7 @@ from meterflow.operators.counters import (
 )
 from meterflow.operators.filters import closed_only
 from meterflow.operators.readings import device_rollup
-from meterflow.operators.series import align_left, high_water, merge_series
+from meterflow.operators.series import align_left_of, high_water, merge_series, merge_series_of
 from meterflow.operators.shape import flag_nodata, last_per_day, unpivot_totals
 from meterflow.plans import requests
 from meterflow.plans.registry import COUNTERS_SQL, EVENT_TYPES, counters, ntz, query, table
@@ -200,11 +200,6 @@ def unpivot_totals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpivot_totals(wide, EVENT_TYPES)
 
 
-def _one_type(df: DataFrame, name: str) -> DataFrame:
-    hours = _hourly(df.where(F.col("series") == name), [])
-    return hours.select("gts", F.col("peak").alias(f"{name}_peak"), F.col("cumul").alias(f"{name}_cumul"))
-
-
 def _type_sql(name: str) -> str:
     return (
         f"{name} AS (SELECT gts, peak AS {name}_peak, cumul AS {name}_cumul FROM b WHERE series = '{name}')"
@@ -218,8 +213,22 @@ def _type_sql(name: str) -> str:
     FULL JOIN signup USING (gts) FULL JOIN view USING (gts)""",
 )
 def merge_series_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counters(spark, sf_dir)
-    return merge_series([_one_type(rows, t) for t in EVENT_TYPES], "gts")
+    return merge_series_of(_hourly(counters(spark, sf_dir), ["series"]), "gts", "series", EVENT_TYPES, ["peak", "cumul"])
+
+
+@query(
+    "merge_two_tables",
+    """WITH o AS (SELECT date_trunc('day', o_orderdate) AS day, count(*) AS orders FROM orders GROUP BY 1),
+    s AS (SELECT date_trunc('day', l_shipdate) AS day, count(*) AS shipped, CAST(sum(l_quantity) AS BIGINT) AS pieces FROM lineitem GROUP BY 1)
+    SELECT CAST(day AS TIMESTAMP) AS day, orders, shipped, pieces FROM o FULL JOIN s USING (day)""",
+)
+def merge_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of two tables side by side: what is ordered and what is shipped on each day."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz").alias("day")
+    ordered = table(spark, sf_dir, "orders").groupBy(day("o_orderdate")).agg(F.count("*").alias("orders"))
+    pieces = F.sum("l_quantity").cast("bigint").alias("pieces")
+    shipped = table(spark, sf_dir, "lineitem").groupBy(day("l_shipdate")).agg(F.count("*").alias("shipped"), pieces)
+    return merge_series([ordered, shipped], "day")
 
 
 @query(
@@ -228,8 +237,8 @@ def merge_series_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM click LEFT JOIN (error JOIN purchase USING (gts)) USING (gts)""",
 )
 def align_left_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counters(spark, sf_dir)
-    return align_left(_one_type(rows, "click"), [_one_type(rows, "error"), _one_type(rows, "purchase")], "gts")
+    hours = _hourly(counters(spark, sf_dir), ["series"])
+    return align_left_of(hours, "gts", "series", "click", ["error", "purchase"], ["peak", "cumul"])
 
 
 _WATER_SQL = f"""{_HOURS_SQL}, {", ".join(_type_sql(t) for t in EVENT_TYPES[:3])},

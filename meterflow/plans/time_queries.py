@@ -276,6 +276,27 @@ def resample_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_meter(spark, sf_dir), "ts", "2D", "max", tz=_ZONE, cols=["curr"], keys=["series"])
 
 
+def _over_a_day(hours: int, how: str) -> str:
+    """Buckets of so many hours of the local clock from the first local midnight of each series."""
+    return f"""WITH {COUNTERS_SQL}, d AS (SELECT *, {_LOCAL} AS u FROM m),
+    f AS (SELECT series, CAST(min(date_trunc('day', u)) AS TIMESTAMP) AS lo FROM d GROUP BY 1),
+    g AS (SELECT series, lo + CAST(date_diff('second', lo, date_trunc('second', u)) // ({hours} * 3600) * {hours} AS INTEGER) * INTERVAL 1 HOUR AS b,
+    {how} AS curr FROM d JOIN f USING (series) GROUP BY 1, 2), {_spine_sql(f"{hours} HOUR")}
+    SELECT series, {_utc("b")} AS ts, curr FROM r LEFT JOIN g USING (series, b)"""
+
+
+@query("resample_36h", _over_a_day(36, "max(curr)"))
+def resample_36h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day and a half at once, from the first local midnight of each series."""
+    return resample(_meter(spark, sf_dir), "ts", "36H", "max", tz=_ZONE, cols=["curr"], keys=["series"])
+
+
+@query("resample_6000min", _over_a_day(100, "CAST(sum(curr) AS BIGINT)"))
+def resample_6000min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps given in minutes that are longer than a day: 6,000 minutes are 100 hours."""
+    return resample(_meter(spark, sf_dir), "ts", "6000min", "sum", tz=_ZONE, cols=["curr"], keys=["series"])
+
+
 def _orders_by(unit: str, months: int) -> str:
     return f"""WITH g AS (SELECT o_orderpriority, date_trunc('{unit}', o_orderdate) AS b, count(*) AS n FROM orders GROUP BY 1, 2),
     r AS (SELECT o_orderpriority, CAST(unnest(generate_series(min(b), max(b), INTERVAL {months} MONTH)) AS TIMESTAMP) AS b

@@ -249,3 +249,17 @@ def test_pivot_readings(spark):
     # Both access numbers of the time share all measures.
     assert first.power == second.power == 300 and second.heatingEnergy == 1200
     assert got["other", 7].power == 4000
+
+
+def test_series_of_one_table_are_read_once(spark, rows):
+    from meterflow.operators.series import align_left, align_left_of, merge_series, merge_series_of
+
+    data = [(t, s, v) for s, v in (("a", 1), ("b", 20), ("c", None)) for t in range(6) if (t + len(s) * 7 + (v or 3)) % 3]
+    df = spark.createDataFrame([*data, (9, "c", 5), (10, None, 5), (11, "other", 5)], "t int, s string, v int")
+    apart = [df.where(F.col("s") == n).select("t", F.col("v").alias(f"{n}_v")) for n in "abc"]
+    fused = merge_series_of(df, "t", "s", ["a", "b", "c"], ["v"])
+    assert rows(fused) == rows(merge_series(apart, "t"))
+    assert rows(align_left_of(df, "t", "s", "a", ["b", "c"], ["v"])) == rows(align_left(apart[0], apart[1:], "t"))
+    assert fused._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    with pytest.raises(Exception, match="several rows"):
+        merge_series_of(df.unionByName(df), "t", "s", ["a", "b"], ["v"]).collect()

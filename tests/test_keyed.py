@@ -121,3 +121,22 @@ def test_broadcast_only_below_the_bound(spark):
     assert "strategy=broadcast" in plan(small_side(df))
     assert "strategy=broadcast" not in plan(small_side(df, max_rows=99))
     assert "strategy=broadcast" not in plan(small_side(df, max_bytes=10))
+
+
+def test_keys_of_the_delivery_prune_the_target(spark, rows, tmp_path):
+    """The scan of the target gets the range of the keys; nulls, times and texts as keys keep every match."""
+    from meterflow.operators.keyed import rows_to_insert
+
+    target = spark.sql(
+        "SELECT id, IF(id % 10 = 0, NULL, id) AS n, CONCAT('k', id) AS name, TIMESTAMP'2024-01-01 00:00:00' + id * INTERVAL '1' MINUTE AS at FROM range(1000)"
+    )
+    target.write.parquet(f"{tmp_path}/t")
+    target = spark.read.parquet(f"{tmp_path}/t")
+    new = target.where("id BETWEEN 95 AND 105").unionByName(spark.sql("SELECT 5000L, 5000L, 'k5000', TIMESTAMP'2024-01-01 01:40:30'").toDF(*target.columns))
+    for keys in (["id"], ["n"], ["name", "id"], ["at"], ["n", "at"]):
+        found = rows_to_insert(target, new, keys, ["id"])
+        want = [r for r in rows(new) if r[0] == 5000]
+        assert rows(found) == want, keys
+    plan = rows_to_insert(target, new, ["at", "id"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 95)" in plan and "<= 5000)" in plan and ">= 2024-01-01 01:35:00)" in plan
+    assert rows_to_insert(target, new.limit(0), ["id"], ["id"]).count() == 0

@@ -88,8 +88,8 @@ def test_projection(spark):
 def test_steps():
     assert parse_step("H") == (1, "hour") and parse_step("15min") == (15, "minute") and parse_step("W") == (1, "week")
     assert parse_step("30S") == (30, "second") and parse_step("180min") == (180, "minute") and parse_step("48H") == (2, "day")
-    assert parse_step("2W") == (2, "week") and parse_step("3 months") == (3, "month")
-    for bad in ("36H", "0D", "fortnight", ""):
+    assert parse_step("36H") == (36, "hour") and parse_step("2W") == (2, "week") and parse_step("3 months") == (3, "month")
+    for bad in ("0H", "0D", "fortnight", ""):
         with pytest.raises(ValueError):
             parse_step(bad)
 
@@ -252,3 +252,27 @@ def test_day_segments(spark, rows):
     random.Random(2).shuffle(data)
     got = rows(day_segments(frame(spark, data), "ts", HELSINKI, ["ts"], partitions=4, block_rows=5), "day", "pos", "v")
     assert got == [("2024-01-01", h + 1, h) for h in range(22)] + [("2024-01-02", 1, 22), ("2024-01-02", 2, 23)]
+
+
+@pytest.mark.parametrize("step, hours", [("36H", 36), ("30H", 30), ("2000min", 2000 / 60), ("90000S", 25)])
+def test_steps_over_a_day_that_are_no_whole_days(spark, rows, step, hours):
+    """Buckets count from the first local midnight by the local clock, as in plain Python."""
+    import datetime
+    import zoneinfo
+
+    from meterflow.operators.resample import resample
+
+    zone = zoneinfo.ZoneInfo("Europe/Helsinki")
+    start = datetime.datetime(2024, 3, 28, 22, 30)
+    data = [(start + datetime.timedelta(hours=5 * i + (40 if i > 20 else 0)), i) for i in range(50)]
+    df = spark.createDataFrame([(t.isoformat(sep=" "), v) for t, v in data], "t string, v long").select(F.col("t").cast("timestamp_ntz").alias("ts"), "v")
+    local = lambda t: t.replace(tzinfo=datetime.timezone.utc).astimezone(zone).replace(tzinfo=None)
+    first = local(start).replace(hour=0, minute=0)
+    span = datetime.timedelta(hours=hours)
+    sums = {}
+    for t, v in data:
+        sums[(local(t) - first) // span] = sums.get((local(t) - first) // span, 0) + v
+    utc = lambda k: str((first + k * span).replace(tzinfo=zone).astimezone(datetime.timezone.utc).replace(tzinfo=None))
+    for label, shift in (("left", 0), ("right", 1)):
+        want = [(utc(k + shift), sums.get(k)) for k in range(max(sums) + 1)]
+        assert rows(resample(df, "ts", step, "sum", label, "Europe/Helsinki")) == sorted(want)
