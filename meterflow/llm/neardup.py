@@ -48,7 +48,7 @@ SCAN = StructType(
         StructField("signature", BinaryType()),
     ]
 )
-SET = StructType([StructField("node", LongType()), StructField("digest", BinaryType()), StructField("set", BinaryType(), False)])
+SET = StructType([StructField("node", LongType()), StructField("set", BinaryType(), False)])
 FINE = StructType([StructField("node", LongType()), StructField("fine", BinaryType(), False)])
 PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 LINK = StructType([*PAIR.fields, StructField("shared", LongType(), False), StructField("union", LongType(), False)])
@@ -159,7 +159,6 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             ok = [len(s) > 0 and _digest(s) == w for s, w in zip(sets, want, strict=True)]
             yield {
                 "node": part.column("node").filter(pa.array(ok)),
-                "digest": part.column("want").filter(pa.array(ok)),
                 "set": pa.array([s.tobytes() for s, k in zip(sets, ok, strict=True) if k], type=pa.binary()),
             }
 
@@ -193,6 +192,8 @@ def _stored_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataF
     """The whole shingle sets of ``nodes``, made once from the texts and stored."""
     wanted = nodes.join(classes.select("node", F.col("digest").alias("want")), "node")
     texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["node"]).select("node", "want", "text")
+    # Rows that repeat an id with the same text give the same set; they lie together after the join.
+    texts = texts.dropDuplicates()
     return written(map_rows(texts, _sets_of, SET), "sets")
 
 
@@ -209,8 +210,6 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     The partners of a node are dealt over blocks; each block gets the node's own set first and its partners then pass
     by one at a time, so that a block takes the memory of two sets however many partners there are.
     """
-    # Rows that repeat an id with the same text give the same set; one of them is enough. Other texts of an id count as well.
-    sets = sets.dropDuplicates(["node", "digest"]).drop("digest")
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(BLOCKS)).alias("block"))
     partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", F.lit(1).alias("role"), "b", "set")
     own = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a")
