@@ -188,18 +188,18 @@ def _text(spans: Column) -> Column:
     return F.array_join(shown, ",")
 
 
-def with_spans(docs: DataFrame, model: MarkovModel) -> DataFrame:
-    """``docs`` with ``_base`` (spans of the fixed patterns) and ``_spans`` (those and the models'), by start and then kind."""
+def with_spans(docs: DataFrame, model: MarkovModel, base_name: str = "_base", name: str = "_spans") -> DataFrame:
+    """``docs`` with ``base_name`` (spans of the fixed patterns) and ``name`` (those and the models'), by start and then kind."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(_found(text, ASSIGN, 0, _long_value), _found(text, ACCESS, 1), _found(text, HEX, 2))
-    out = docs.withColumn("_base", F.sort_array(base))
+    out = docs.withColumn(base_name, F.sort_array(base))
     judged = _found(text, CANDIDATE, 3, _random_looking(model))
     # A judged string is known already only where fixed spans, which come by their start, leave no character of it.
     reach = lambda j: F.aggregate(
-        "_base", j["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
+        base_name, j["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
     )
     new = F.filter(judged, lambda j: reach(j) < j["end"])
-    return out.withColumn("_spans", F.sort_array(F.concat("_base", new)))
+    return out.withColumn(name, F.sort_array(F.concat(base_name, new)))
 
 
 def secret_spans(docs: DataFrame, model: MarkovModel) -> DataFrame:
@@ -222,17 +222,27 @@ def secret_spans(docs: DataFrame, model: MarkovModel) -> DataFrame:
     )
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as none of ``columns`` has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def redact(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of overlapping spans of its text replaced by ``mark``; all other rows and columns as they are.
 
-    A column ``n_chars`` of the input is set to the new length where the text has changed. Null texts stay null.
+    A column ``n_chars`` of the input is set to the new length where the text has changed. Null texts stay null. Columns of any
+    name keep their values. Long texts are taken whole, their spans with them in one row.
     """
     columns = docs.columns
-    rows = with_spans(docs, model)
+    base, spans = (free_name(columns, name) for name in ("_base", "_spans"))
+    rows = with_spans(docs, model, base, spans)
     text = F.col("text")
     none = F.array().cast("array<string>")
     walked = F.aggregate(
-        F.col("_spans"),
+        F.col(spans),
         F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
         lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
             F.struct(
@@ -245,7 +255,7 @@ def redact(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]") -> DataF
         ),
     )
     clean = F.concat(F.array_join(walked["out"], ""), F.substr(text, (walked["at"] + 1).cast("int")))
-    changed = F.size("_spans") > 0
+    changed = F.size(spans) > 0
     rows = rows.withColumn("text", F.when(changed, clean).otherwise(text))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
