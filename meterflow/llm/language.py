@@ -16,9 +16,11 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from meterflow.llm.texts import map_rows, slices
 from meterflow.session import small_side
 
-#: Labelled rows of each language a model is fitted on, and the longest text among them.
+#: Labelled rows of each language a model is fitted on.
 MAX_ROWS = 2_000
-MAX_CHARS = 20_000
+
+#: Characters that words of a long text are counted by at once.
+_PIECE = 20_000
 
 #: Words and n-grams of each length that a model keeps at most, the most frequent ones.
 MAX_UNITS = 20_000
@@ -32,7 +34,7 @@ LONGEST = 5
 #: Words whose scores a worker remembers.
 MEMO_WORDS = 300_000
 
-#: Runs of letters.
+#: Runs of letters, and of the few other signs (fractions, raised digits) that a word is parted by later.
 WORD = r"[^\W\d_]+"
 
 #: Label of texts without a letter.
@@ -82,7 +84,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the posterior, where each text counts as its words' mean times the root of their number."""
-        words = Counter(_WORD.findall((text or "").lower()))
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         memo, rows = self.memo, []
@@ -105,30 +107,41 @@ class LanguageModel:
 _WORD = re.compile(WORD)
 
 
+def words_of(text: str | None) -> Counter:
+    """Runs of letters of a text in lower case, with their numbers; numerals such as one half or a circled one are no letters."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    for mixed in [w for w in words if not w.isalpha()]:
+        times = words.pop(mixed)
+        for part in "".join(c if c.isalpha() else " " for c in mixed).split():
+            words[part] += times
+    return words
+
+
 def fit(
     docs: DataFrame,
     lang: str = "lang",
     max_rows: int = MAX_ROWS,
-    max_chars: int = MAX_CHARS,
     max_units: int = MAX_UNITS,
     longest: int = LONGEST,
 ) -> LanguageModel:
     """Count words and n-grams by language over a bounded sample of labelled rows.
 
     The sample has about ``max_rows`` rows of each language, those whose hash of id and text falls below a bound that follows from the
-    rows of the language, of texts up to ``max_chars`` long. So every language weighs about the same and the model's size does not
-    grow with the corpus. Counting runs in Spark; only the ``max_units`` most frequent units of each length
+    rows of the language. Their texts count in full, long ones piece by piece, each of which ends where a word does. So every
+    language weighs about the same and the model's size does not grow with the corpus. Counting runs in Spark; only the ``max_units`` most frequent units of each length
     come to the driver. Rows with null text or language are left out. Ties go to the unit that sorts first.
     """
     from pyspark.sql import Window
 
     rows = docs.select(F.col(lang).alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # A row is taken by its own hash and the number of rows of its language, so no text is shuffled or sorted.
     numbers = small_side(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of"))
     share = F.ceil(F.lit(_PARTS * max_rows) / F.col("n"))
     rows = rows.join(numbers, rows["lang"] == numbers["of"]).where(F.pmod("h", F.lit(_PARTS)) < share)
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("w"))
+    piece = F.lit(rf"(?s)(.{{1,{_PIECE}}}\p{{L}}*)")
+    pieces = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), piece)).alias("piece"))
+    words = pieces.select("lang", F.explode(F.regexp_extract_all("piece", F.lit(r"(\p{L}+)"))).alias("w"))
     words = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
     marked = F.concat(F.lit(" "), "w", F.lit(" "))
     lengths = F.sequence(F.lit(1), F.lit(longest))
@@ -181,7 +194,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as are all texts under a
     model that has seen no language. Letters of no known word or n-gram leave the languages equal; the first in
-    order is named then. Repeated rows get equal results, an empty table none, other columns are ignored.
+    order is named then, as of any languages of equal score. Texts of any length are read whole; a worker holds the distinct words of
+    one. Repeated rows get equal results, an empty table none, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
