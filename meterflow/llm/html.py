@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +39,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*
 
 #: Elements whose content is no text of the page.
 _RAW = frozenset("script style noscript template textarea select svg math iframe object title".split())
+_FOREIGN = frozenset(["svg", "math"])
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 
 #: Elements that end a line.
@@ -77,8 +79,8 @@ class Line:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or reader comments."""
+def _outside(tag: str, attributes: str, in_article: bool, by_name: bool) -> bool:
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or reader comments; ``by_name``: also by its class or id."""
     if tag in _OUTSIDE or tag == "header" and not in_article:
         return True
     if tag in ("html", "body", "article", "main"):
@@ -86,7 +88,7 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if not _SIGNS.isdisjoint(re.findall(r"[a-z]+", value)):
+            if by_name and not _SIGNS.isdisjoint(re.findall(r"[a-z]+", value)):
                 return True
         elif name == "role":
             if value.strip() in _ROLES:
@@ -131,17 +133,21 @@ def _token(page: str, at: int, failed: set[int]) -> tuple[re.Match, int, str] |
     return None
 
 
-def lines_of(page: str) -> tuple[list[Line], bool]:
-    """Lines of a page in order, and whether an element marks its article.
+def lines_of(page: str, by_name: bool = True) -> tuple[list[Line], bool]:
+    """Lines of a page in order, and whether an element marks its article. Without ``by_name`` class names and ids say nothing.
 
     Comments, scripts, styles and the like are left out. Each block element begins
     a line; line breaks and table cells are white space inside one.
     """
     lines: list[Line] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    open_: Counter[str] = Counter()
     line, links, at, marked, heading = Line(False, False), 0, 0, False, False
     failed: set[int] = set()
 
+    def outside(tag: str, attributes: str, in_article: bool) -> bool:
+        return _outside(tag, attributes, in_article, by_name)
+
     def begin() -> None:
         nonlocal line
         if line.parts:
@@ -167,7 +173,8 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW:
-            if not closing and not rest.endswith("/"):
+            # Only foreign elements may close themselves; the slash may also be the end of an address without quotes.
+            if not closing and not (tag in _FOREIGN and rest.endswith("/")):
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -187,12 +194,16 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             if not closing:
                 inside = stack[-1][2] or tag in ("article", "main")
                 marked = marked or inside
-                stack.append((tag, stack[-1][1] or _outside(tag, rest, inside), inside))
-            elif any(tag == s[0] for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+                stack.append((tag, stack[-1][1] or outside(tag, rest, inside), inside))
+                open_[tag] += 1
+            elif open_[tag]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
         begin()
-        if not closing and tag not in _HOLDERS and _outside(tag, rest, stack[-1][2]):
+        if not closing and tag not in _HOLDERS and outside(tag, rest, stack[-1][2]):
             line.outside = True
         if not closing and tag[0] == "h" and tag[1:].isdigit():
             heading = True
@@ -211,8 +222,17 @@ def main_text(page: str | None, window: int = LINES, surge: int = SURGE) -> str:
     page with an ``article`` or ``main`` element those outside it, weigh nothing. A text begins at a line with
     weight where the weights of ``window`` lines together reach ``surge`` (the largest such sum, if none does; anything
     at all within a marked article) and ends where they dive to nothing. All such texts are kept, without the lines that stand outside.
+    Class names and ids count as signs of what is outside, unless nothing else is left: then a surge decides without them.
     """
-    lines, marked = lines_of(page or "")
+    got = _texts(*lines_of(page or ""), window, surge, False)
+    if not got and page:
+        # Names of classes have left nothing: where text surges all the same, they don't mean what they say.
+        got = _texts(*lines_of(page, by_name=False), window, surge, True)
+    return got
+
+
+def _texts(lines: list[Line], marked: bool, window: int, surge: int, strict: bool) -> str:
+    """Texts between surges and dives; ``strict``: none of an unmarked page whose sums don't reach ``surge``."""
     texts = [x.text() for x in lines]
     weights = np.zeros(len(lines) + window, dtype=np.int64)
     usable = []
@@ -225,7 +245,7 @@ def main_text(page: str | None, window: int = LINES, surge: int = SURGE) -> str:
     if not weights.any():
         return ""
     sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :]
-    least = 1 if marked else min(surge, int(sums.max()))
+    least = 1 if marked else surge if strict else min(surge, int(sums.max()))
     out, i = [], 0
     while i < len(lines):
         if weights[i] and sums[i] >= least:
@@ -257,7 +277,8 @@ def main_texts(pages: DataFrame, window: int = LINES, surge: int = SURGE) -> Dat
     """``page_id, url, text, n_chars`` for every row of ``pages`` (``page_id``, ``url``, ``html``; other columns are ignored).
 
     Null and empty pages, and pages without an article, give the empty text. Broken markup is read as far as it goes: tags that
-    close nothing are ignored, elements left open end with what holds them. Repeated rows give equal texts, an empty table none.
+    close nothing are ignored, elements left open end with what holds them. A page of any length is read whole, in time in proportion
+    to it. Texts of equal weight are all kept, as are all that surge. Repeated rows give equal texts, an empty table none.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return map_rows(rows, _extract(window, surge), PAGES)
