@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from meterflow.llm.texts import map_rows, pieces
-from meterflow.session import scratch_path
+from meterflow.session import hint_if_small, scratch_path, written
 
 #: Counts of pieces a worker remembers; beyond it new pieces are encoded each time.
 MEMO_PIECES = 400_000
@@ -111,7 +111,8 @@ def token_counts(
     characters may change the count.
 
     Returns ``doc_id, n_bytes, n_tokens, over_limit`` for each row, repeated rows
-    and null ids included; an empty table gives an empty one. A run that dies while
+    and null ids included; an empty table gives an empty one, and other columns of any name are ignored. Texts of any length are
+    encoded whole, one at a time. Texts whose digest is stored are neither encoded nor shuffled; with nothing new, none is. A run that dies while
     appending leaves no rows, and a run that repeats appended rows does no harm, as the
     cache is read with one row for each key.
     """
@@ -132,12 +133,14 @@ def token_counts(
 
     # One text for each digest: the smallest id stands for it, so that no text is aggregated.
     chosen = keyed.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
-    misses = chosen.join(stored(), "digest", "left_anti").withColumnRenamed("digest", "miss")
-    rows = keyed.withColumn("key", F.coalesce("doc_id", F.lit(0))).join(
-        misses.withColumnRenamed("doc_id", "key").hint("shuffle_hash"), "key"
-    )
-    todo = rows.where(F.col("digest") == F.col("miss")).select("digest", "text")
-    map_rows(todo, _encode(tokenizer, version, by_piece), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses = written(chosen.join(stored(), "digest", "left_anti").select(F.col("doc_id").alias("key"), F.col("digest").alias("miss")), "misses")
+    if not misses.isEmpty():
+        # Few misses go to the texts, which then stay where they are; many meet them in a shuffle.
+        side = hint_if_small(misses)
+        side = side.hint("shuffle_hash") if side is misses else side
+        rows = keyed.withColumn("key", F.coalesce("doc_id", F.lit(0))).join(side, "key")
+        todo = rows.where(F.col("digest") == F.col("miss")).select("digest", "text")
+        map_rows(todo, _encode(tokenizer, version, by_piece), CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     sizes = docs.select("doc_id", text.alias("text")).select(
         "doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast(LongType()).alias("n_bytes")
