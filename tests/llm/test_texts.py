@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,28 @@ def test_language_backs_off_to_shorter_pieces():
     assert model.word("zx").tolist() == [-9, -3] and model.word("zz").tolist() == [0, 0]
 
 
+def test_numerals_are_no_letters():
+    assert language.words_of("½ ² ① Ⅷ ⅔x²y 12 _") == {"x": 1, "y": 1}
+    model = language.LanguageModel(["a", "b"], [{"x": np.array([0.0, 1.0])}, {}])
+    assert model.predict("½ ² ①") == ("und", 0.0) and model.predict("x²")[0] == "b"
+
+
+def test_language_of_long_texts_only_is_learnt(docs):
+    german = " ".join(["der hund und die katze gehen über das weite feld zum alten haus"] * 500)
+    english = "the dog and the cat go over the wide field to the old house"
+    model = language.fit(docs(*[(i, german, "de") for i in range(3)], *[(9 + i, english, "en") for i in range(20)]))
+    assert model.languages == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs((1, "die katze und der hund"), (2, english)), model).collect()}
+    assert got == {1: "de", 2: "en"}
+
+
+def test_language_counts_words_that_lie_across_pieces(docs):
+    letters = "x" * 30_000
+    text = " ".join(f"w{'abcdefghij'[i % 10]}" for i in range(30_000)) + f" {letters} end"
+    model = language.fit(docs((1, text, "de")), longest=1, max_units=100)
+    assert set(model.tables[0]) == {f"w{c}" for c in "abcdefghij"} | {letters, "end"}
+
+
 def test_language_of_odd_rows(odd, none, docs):
     model = language.fit(docs(*language_rows()[:30]))
     assert language.predict(odd, model).count() == 9 and language.predict(none, model).count() == 0
@@ -136,6 +159,10 @@ def test_secrets_of_odd_rows(spark, odd, none):
     assert len(rows) == 9 and {r.spans for r in rows} == {""}
     assert secrets.secret_spans(none, secrets.train(secrets.labelled_strings(none))).count() == 0
     assert secrets.redact(odd, model).columns == odd.columns
+    clashing = odd.withColumn("text", F.lit("see token=abcdef99 here"))
+    kept = secrets.redact(clashing, model).select(*[c for c in odd.columns if c not in ("text", "n_chars")])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, clashing.select(*kept.columns).collect()))
+    assert {(r._base, r._spans, r.text) for r in secrets.redact(clashing, model).collect()} == {("x", "x", "see [SECRET] here")}
 
 
 # Pages
@@ -191,6 +218,26 @@ def test_odd_pages(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got if r.page_id != 5) == [(0, "plain", 5), (1, "", 0), (2, "", 0), (4, "a", 1), (6, "deep", 4), (7, "a < b & c", 9), (7, "a < b & c", 9)]
 
 
+def test_scripts_end_only_at_their_end():
+    article = "<article><p>Text of it.</p></article>"
+    assert html.main_text(f"<body><script src=//cdn.x/a/>var code = 1;</script>{article}") == "Text of it."
+    assert html.main_text(f"<body><p>Before <svg/>and after it.</p>{article}".replace("<p>B", "<main><p>B")).startswith("Before and")
+
+
+def test_class_names_alone_do_not_empty_a_page():
+    text = "A long text of an article, with enough words in it to be one, whatever the names of its classes say."
+    assert html.main_text(f'<article class="widget"><div id="legal"><p>{text}</p></div></article>') == text
+    assert html.main_text(f'<body><nav>One Two</nav><div class="notice-board-story"><p>{text}</p></div></body>') == text
+    assert html.main_text('<body><div class="sidebar"><p>Short.</p></div></body>') == ""
+    assert html.main_text(f'<article><p>Own.</p><div class="sidebar"><p>{text}</p></div></article>') == "Own."
+
+
+def test_many_open_elements_take_linear_time():
+    started = time.monotonic()
+    assert html.main_text("<article>" + "<div></section>" * 100_000 + "deep") == "deep"
+    assert time.monotonic() - started < 5
+
+
 # Repetition
 
 
@@ -232,6 +279,55 @@ def test_repetition_against_brute_force(docs):
     assert got[100].kept and not got[101].kept and not got[104].kept
 
 
+def brute_maximal(w, shortest):
+    """Repeated word sequences that can be extended neither way, and the words that their occurrences cover."""
+    places = collections.defaultdict(list)
+    for i in range(len(w)):
+        for j in range(i + shortest, len(w) + 1):
+            places[tuple(w[i:j])].append(i)
+    found, covered = 0, set()
+    for gram, at in places.items():
+        if len(at) < 2:
+            continue
+        before = {w[i - 1] if i else (i,) for i in at}
+        after = {w[i + len(gram)] if i + len(gram) < len(w) else (i,) for i in at}
+        if len(before) > 1 and len(after) > 1:
+            found += 1
+            covered.update(*(range(i, i + len(gram)) for i in at))
+    return found, len(covered)
+
+
+def test_maximal_repeats_against_brute_force():
+    rng = random.Random(7)
+    texts = [rng.choices("abc"[: rng.randrange(1, 4)], k=rng.randrange(40)) for _ in range(120)]
+    texts += [list("abcabcabc"), list("xabcdyabcdz"), ["a"] * 30, [], list("ab") * 12 + list("ba") * 12]
+    values, first = word_hashes([" ".join(t) for t in texts], lower=False)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    for shortest in (1, 2, 4):
+        got = repetition.repeats(values, owner, len(texts), 8, shortest)
+        assert list(zip(got.n_maximal.tolist(), got.covered.tolist(), strict=True)) == [brute_maximal(t, shortest) for t in texts]
+
+
+def test_repetition_fails_texts_that_the_base_rule_keeps(docs):
+    rng = random.Random(3)
+    spam = " ".join(f"buy cheap pills online now {rng.random()} {rng.random()}" for _ in range(40))
+    plain = " ".join(f"word{rng.randrange(400)}" for _ in range(400))
+    long = [f"w{i}" for i in range(120)]
+    filler = " ".join(f"f{i}" for i in range(900))
+    rows = {1: spam, 2: plain, 3: " ".join([*long, filler, *long]), 4: " ".join([*long[:90], filler, *long[:90]])}
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs(*rows.items())).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: True, 3: False, 4: True}
+    assert got[1].n_repeat_words == 0 and got[1].covered_fraction > 0.7
+
+
+def test_repetition_of_one_word_takes_linear_time():
+    n = 300_000
+    values, owner = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
+    got = repetition.repeats(values, owner, 1, 8)
+    assert (got.covered[0], got.longest[0], got.n_maximal[0]) == (n, n - 1, n - 4)
+
+
 def test_repetition_of_odd_rows(odd, none):
     assert repetition.repetition_rules(odd).count() == 9 and repetition.repetition_rules(none).count() == 0
 
