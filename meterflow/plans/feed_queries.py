@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.operators.readings import device_stats
+from meterflow.plans.requests import export_range
 from meterflow.plans.registry import COUNTERS_SQL, counters, ntz, query, table
 from meterflow.schemas import METER_FEED
 from meterflow.session import scratch_path, small_side
@@ -74,13 +75,8 @@ def counter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("id", *columns).select("id", "circuit9_cumul", "circuit16_cumul", "circuit9_curr", "circuit16_curr")
 
 
-@query(
-    "csv_roundtrip",
-    f"""WITH {COUNTERS_SQL} SELECT epoch_us(ts) * 1000 AS "eventNanoTs", ts, cumul AS circuit9_cumul,
-    CASE WHEN series != 'error' THEN curr END AS circuit9_curr, user_id AS circuit10_cumul FROM m""",
-)
-def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export of the counter table and its read on the other side; quoted text and nulls included."""
+def _counter_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter table with the columns of a feed; what the given tables lack is null."""
     rows = counters(spark, sf_dir)
     given = {
         "circuit9_cumul": F.col("cumul"),
@@ -88,15 +84,40 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "circuit9_curr": F.when(F.col("series") != "error", F.col("curr")),
     }
     cells = [f"circuit{n}_{part}" for part in ("cumul", "curr") for n in range(9, 17)]
-    feed = rows.select(
+    return rows.select(
         F.col("cumul").alias("id"), "ts", *[given.get(c, F.lit(None).cast("bigint")).alias(c) for c in cells]
     )
+
+
+@query(
+    "csv_roundtrip",
+    f"""WITH {COUNTERS_SQL} SELECT epoch_us(ts) * 1000 AS "eventNanoTs", ts, cumul AS circuit9_cumul,
+    CASE WHEN series != 'error' THEN curr END AS circuit9_curr, user_id AS circuit10_cumul FROM m""",
+)
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export of the counter table and its read on the other side; quoted text and nulls included."""
+    feed = _counter_feed(spark, sf_dir)
     path = scratch_path(spark, "power-feed")
     write_csv(feed, path, ts_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
     back = read_counter_csv(spark, path)
     return back.select("eventNanoTs", ntz("ts"), "circuit9_cumul", "circuit9_curr", "circuit10_cumul")
 
 
+@query(
+    "export_range",
+    f"""WITH {COUNTERS_SQL} SELECT epoch_us(ts) * 1000 AS "eventNanoTs", ts, cumul AS circuit9_cumul,
+    CASE WHEN series != 'error' THEN curr END AS circuit9_curr, user_id AS circuit10_cumul FROM m
+    WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:30:00' AND TIMESTAMP '2024-01-14 18:00:00'""",
+)
+def export_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows between two times, exported and read on the other side."""
+    path = scratch_path(spark, "range-export")
+    bounds = ("2024-01-10 06:30:00", "2024-01-14 18:00:00")
+    export_range(_counter_feed(spark, sf_dir), path, *bounds, ts_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    back = read_counter_csv(spark, path)
+    return back.select("eventNanoTs", ntz("ts"), "circuit9_cumul", "circuit9_curr", "circuit10_cumul")
+
+
 @query(
     "meter_csv",
     """SELECT epoch_us(l_shipdate) * 1000 AS "recordNanoTs", l_orderkey AS "accessNumber", CAST(l_suppkey AS VARCHAR) AS id,

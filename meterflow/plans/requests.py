@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.functions.numbers import row_max, row_sum
-from meterflow.operators.filters import for_series, local_range, project
+from meterflow.operators.filters import bounded, for_series, local_range, project
 from meterflow.operators.resample import daily_stats, resample
 from meterflow.operators.series import merge_series, resolve_series
 from meterflow.operators.shape import last_per_day
 from meterflow.schemas import CIRCUITS
+from meterflow.sources.tables import ISO_FORMAT, write_csv
 
 #: The series of each named bundle, in result order.
 #: indirect0: floor heat, ventilation, bathroom floor heat, hot water.
@@ -157,3 +158,15 @@ def clima_events(
 def daily_last(counters: DataFrame, id_col: str, cols: Sequence[str], ts: str = "ts") -> DataFrame:
     """Last stored counters of every UTC day."""
     return last_per_day(counters, id_col, ts).select(ts, *cols)
+
+
+def raw_range(stored: DataFrame, mints=None, maxts=None, ts: str = "ts") -> DataFrame:
+    """Stored rows as they are: between both times, after ``mints`` or before ``maxts`` alone; a request without a bound gets none."""
+    if mints is None and maxts is None:
+        return stored.limit(0)
+    return bounded(stored, ts, mints, maxts)
+
+
+def export_range(stored: DataFrame, path: str, mints=None, maxts=None, ts: str = "ts", ts_format: str = ISO_FORMAT) -> None:
+    """``raw_range`` as CSV files for another server, written by the tasks that read the rows; a header alone if there are none."""
+    write_csv(raw_range(stored, mints, maxts, ts), path, ts_format=ts_format)

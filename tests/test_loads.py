@@ -112,6 +112,18 @@ def test_climate_is_loaded_once(spark, rows):
     assert [(r[0], int(r[1]), int(r[2])) for r in rows(side)] == [("2024-01-01 10:00:00", 1, 57)]
 
 
+def test_range_export(spark, rows, tmp_path):
+    df = spark.sql("SELECT id, timestamp_seconds(1704067200 + id * 60) AS ts, IF(id = 2, NULL, 'a \"b\", c') AS note FROM range(6)")
+    minute = "2024-01-01 00:0{}:00".format
+    ids = lambda *bounds: [r[0] for r in rows(requests.raw_range(df, *bounds).select("id"))]
+    assert ids(minute(1), minute(3)) == [1, 2, 3] and ids(minute(3)) == [4, 5] and ids(None, minute(2)) == [0, 1] and ids() == []
+    requests.export_range(df, f"{tmp_path}/some", minute(1), minute(2))
+    back = spark.read.csv(f"{tmp_path}/some", header=True, quote='"', escape='"')
+    assert back.columns == ["id", "ts", "note"] and [(r.id, r.note) for r in back.orderBy("id").collect()] == [("1", 'a "b", c'), ("2", None)]
+    requests.export_range(df, f"{tmp_path}/none")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/none").collect()] == ['"id","ts","note"']
+
+
 def test_combined(spark, rows):
     el = spark.createDataFrame([(1, 10, 1, 2, 3, 4, 5), (2, 20, 2, None, None, None, 6)], "m int, x int, c3_use int, c6_use int, c7_use int, c8_use int, c4_use int")
     wat = spark.createDataFrame([(2, 7, 8, 9), (3, 1, 1, 1)], "m int, c1_delta int, c2_delta int, c3_delta int")
