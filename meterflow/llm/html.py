@@ -16,10 +16,16 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from meterflow.llm.texts import map_rows, slices
 
-#: Lines of a window, and characters of a window that a text has to surge to where no element marks the article.
+#: Lines of a window, and weight of a window that a text has to surge to.
 LINES = 3
 SURGE = 80
 
+#: Part of the greatest text's weight that other texts of a page have to reach.
+SHARE = 1 / 4
+
+#: What a character weighs in an article element, and in a block whose class or id names what isn't the article.
+IN_ARTICLE, NAMED = 8, 1 / 16
+
 PAGES = StructType(
     [
         StructField("page_id", LongType()),
@@ -70,8 +76,10 @@ _TALK = re.compile(r"(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|kom
 class Line:
     """One block of text: its parts, how much of it is link text, and where it stands."""
 
-    outside: bool
+    sign: int
     inside: bool
+    holder: int
+    heading: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -79,26 +87,31 @@ class Line:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _outside(tag: str, attributes: str, in_article: bool, by_name: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or reader comments; ``by_name``: also by its class or id."""
+#: Signs that a line isn't of the article: none, a class or id that says so, an element or role that does.
+_NONE, _BY_NAME, _BY_ELEMENT = 0, 1, 2
+
+
+def _sign(tag: str, attributes: str, in_article: bool) -> int:
+    """What marks an element as a menu, header, footer, sidebar, notice, advert, form or reader comments."""
     if tag in _OUTSIDE or tag == "header" and not in_article:
-        return True
+        return _BY_ELEMENT
+    sign = _NONE
     if tag in ("html", "body", "article", "main"):
-        return False
+        return sign
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if by_name and not _SIGNS.isdisjoint(re.findall(r"[a-z]+", value)):
-                return True
+            if not _SIGNS.isdisjoint(re.findall(r"[a-z]+", value)):
+                sign = _BY_NAME
         elif name == "role":
             if value.strip() in _ROLES:
-                return True
+                return _BY_ELEMENT
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return _BY_ELEMENT
         elif name == "hidden" or value == "true":
-            return True
-    return False
+            return _BY_ELEMENT
+    return sign
 
 
 def _tag_end(page: str, at: int, failed: set[int]) -> int:
@@ -133,26 +146,27 @@ def _token(page: str, at: int, failed: set[int]) -> tuple[re.Match, int, str] |
     return None
 
 
-def lines_of(page: str, by_name: bool = True) -> tuple[list[Line], bool]:
-    """Lines of a page in order, and whether an element marks its article. Without ``by_name`` class names and ids say nothing.
+def lines_of(page: str, signs: bool = True) -> tuple[list[Line], list[int]]:
+    """Lines of a page in order, and for each element that holds others the one around it. Without ``signs`` elements and names say nothing.
 
     Comments, scripts, styles and the like are left out. Each block element begins
     a line; line breaks and table cells are white space inside one.
     """
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    around = [0]
+    stack: list[tuple[str, int, bool, int]] = [("", _NONE, False, 0)]
     open_: Counter[str] = Counter()
-    line, links, at, marked, heading = Line(False, False), 0, 0, False, False
+    line, links, at, heading = Line(_NONE, False, 0), 0, 0, False
     failed: set[int] = set()
 
-    def outside(tag: str, attributes: str, in_article: bool) -> bool:
-        return _outside(tag, attributes, in_article, by_name)
+    def sign(tag: str, attributes: str, in_article: bool) -> int:
+        return _sign(tag, attributes, in_article) if signs else _NONE
 
     def begin() -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
-        line = Line(stack[-1][1], stack[-1][2])
+        line = Line(*stack[-1][1:])
 
     def add(text: str) -> None:
         if text:
@@ -186,15 +200,15 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[Line], bool]:
             continue
         if closing and heading and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = False
-            if _TALK.fullmatch(line.text()):
+            if signs and _TALK.fullmatch(line.text()):
                 # From here to the end of what holds it are readers' comments.
-                line.outside = True
-                stack[-1] = (stack[-1][0], True, stack[-1][2])
+                line.sign = _BY_ELEMENT
+                stack[-1] = (stack[-1][0], _BY_ELEMENT, *stack[-1][2:])
         if tag in _HOLDERS:
             if not closing:
-                inside = stack[-1][2] or tag in ("article", "main")
-                marked = marked or inside
-                stack.append((tag, stack[-1][1] or outside(tag, rest, inside), inside))
+                inside = stack[-1][2] or signs and tag in ("article", "main")
+                around.append(stack[-1][3])
+                stack.append((tag, max(stack[-1][1], sign(tag, rest, inside)), inside, len(around) - 1))
                 open_[tag] += 1
             elif open_[tag]:
                 while True:
@@ -203,59 +217,96 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[Line], bool]:
                     if gone == tag:
                         break
         begin()
-        if not closing and tag not in _HOLDERS and outside(tag, rest, stack[-1][2]):
-            line.outside = True
+        if not closing and tag not in _HOLDERS:
+            line.sign = max(line.sign, sign(tag, rest, line.inside))
         if not closing and tag[0] == "h" and tag[1:].isdigit():
-            heading = True
+            heading = line.heading = True
     # A "<" that begins no tag is text; a tag that is cut off at the end of the page is not.
     tail = page[at:]
     cut = re.compile(r"<[/!?A-Za-z]").search(tail, tail.rfind(">") + 1)
     add(tail[: cut.start()] if cut else tail)
     begin()
-    return lines, marked
+    return lines, around
+
 
+def _areas(lines: list[Line], around: list[int]) -> list[int]:
+    """For each line the part of the page it stands in: a child of the lowest element that holds all lines, 0 for lines between those.
 
-def main_text(page: str | None, window: int = LINES, surge: int = SURGE) -> str:
+    An element that holds one line alone is no part, but a paragraph.
+    """
+    held = np.bincount([x.holder for x in lines], minlength=len(around)).tolist()
+    for i in range(len(around) - 1, 0, -1):
+        held[around[i]] += held[i]
+    root = max(i for i, n in enumerate(held) if n == len(lines))
+    area = [0] * len(around)
+    for i in range(root + 1, len(around)):
+        if around[i] == root:
+            area[i] = i if held[i] > 1 else 0
+        else:
+            area[i] = area[around[i]]
+    return [area[x.holder] for x in lines]
+
+
+def main_text(page: str | None, window: int = LINES, surge: int = SURGE, share: float = SHARE, signs: bool = True) -> str:
     """The article of a page, one line for each block.
 
-    A line's weight is its length without link text; lines outside the article, and in a
-    page with an ``article`` or ``main`` element those outside it, weigh nothing. A text begins at a line with
-    weight where the weights of ``window`` lines together reach ``surge`` (the largest such sum, if none does; anything
-    at all within a marked article) and ends where they dive to nothing. All such texts are kept, without the lines that stand outside.
-    Class names and ids count as signs of what is outside, unless nothing else is left: then a surge decides without them.
+    A line weighs its length without link text. A text begins where the weights of ``window`` lines together reach ``surge`` (the largest
+    such sum, if none does) and ends where they dive to nothing. Parts of the page, the children of the lowest element that holds all of
+    it, stand ``window`` empty lines apart, but for a heading before its part. Of these texts those are kept that weigh at least ``share`` of the greatest.
+
+    Elements and class names only change weights: in an ``article`` or ``main`` element a line weighs eight times its whole length, and a
+    surge at least, and all its lines stand together; in a block whose class or id names a menu, an advert or the like it weighs a sixteenth, and such
+    blocks are texts of their own, which have to reach ``surge`` by their lengths too. Elements and roles that can't hold the article, hidden ones and what stands
+    below a heading of comments weigh nothing. ``signs=False`` leaves all of this out.
     """
-    got = _texts(*lines_of(page or ""), window, surge, False)
-    if not got and page:
-        # Names of classes have left nothing: where text surges all the same, they don't mean what they say.
-        got = _texts(*lines_of(page, by_name=False), window, surge, True)
-    return got
-
-
-def _texts(lines: list[Line], marked: bool, window: int, surge: int, strict: bool) -> str:
-    """Texts between surges and dives; ``strict``: none of an unmarked page whose sums don't reach ``surge``."""
-    texts = [x.text() for x in lines]
-    weights = np.zeros(len(lines) + window, dtype=np.int64)
-    usable = []
-    for i, (x, t) in enumerate(zip(lines, texts, strict=True)):
-        ok = bool(t) and not x.outside and (x.inside or not marked)
-        usable.append(ok)
-        if ok:
-            # In a marked article links are part of the text; elsewhere lists of links are menus.
-            weights[i] = len(t) if x.inside else max(0, len(t) - x.linked)
-    if not weights.any():
+    lines, around = lines_of(page or "", signs)
+    got = [(x, t) for x in lines if (t := x.text()) and x.sign < _BY_ELEMENT]
+    if not got:
         return ""
-    sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :]
-    least = 1 if marked else surge if strict else min(surge, int(sums.max()))
-    out, i = [], 0
-    while i < len(lines):
-        if weights[i] and sums[i] >= least:
-            while i < len(lines) and sums[i]:
-                if usable[i]:
-                    out.append(texts[i])
-                i += 1
-        else:
-            i += 1
-    return "\n".join(out)
+    areas = _areas([x for x, _ in got], around)
+    texts: list[tuple[float, list[int]]] = []
+    plain = [i for i, (x, _) in enumerate(got) if not x.sign]
+    named = [i for i, (x, _) in enumerate(got) if x.sign]
+    weights = [float(max(surge, IN_ARTICLE * len(got[i][1])) if got[i][0].inside else _own(*got[i])) for i in plain]
+    texts += _texts(got, areas, plain, weights, window, surge, False)
+    texts += _texts(got, areas, named, [_own(*got[i]) * NAMED for i in named], window, surge * NAMED, True)
+    least = share * max((w for w, _ in texts), default=0.0)
+    return "\n".join(got[i][1] for i in sorted(i for w, rows in texts if w >= least for i in rows))
+
+
+def _own(line: Line, text: str) -> int:
+    """Length of a line without link text."""
+    return max(0, len(text) - line.linked)
+
+
+def _texts(
+    got: list[tuple[Line, str]], areas: list[int], rows: list[int], weights: list[float], window: int, surge: float, strict: bool
+) -> list[tuple[float, list[int]]]:
+    """Weight and lines of each text between a surge and a dive among some lines; ``strict``: none where no sum reaches ``surge``."""
+    at, place = 0, []
+    for k, i in enumerate(rows):
+        if k:
+            before, line = got[rows[k - 1]][0], got[i][0]
+            together = before.inside and line.inside or areas[rows[k - 1]] == areas[i] or before.heading
+            at += 1 if together else window + 1
+        place.append(at)
+    laid = np.zeros(at + window)
+    laid[place] = weights
+    sums = np.convolve(laid, np.ones(window))[window - 1 :]
+    if not rows or not sums.max() or strict and sums.max() < surge:
+        return []
+    least = min(surge, sums.max())
+    texts, open_ = [], False
+    for k, i in enumerate(rows):
+        if open_ and not sums[(place[k - 1] + 1) : place[k] + 1].all():
+            open_ = False
+        if not open_ and weights[k] and sums[place[k]] >= least:
+            texts.append([0.0, []])
+            open_ = True
+        if open_:
+            texts[-1][0] += weights[k]
+            texts[-1][1].append(i)
+    return [(w, kept) for w, kept in texts]
 
 
 def _extract(window: int, surge: int):
@@ -276,9 +327,9 @@ def _extract(window: int, surge: int):
 def main_texts(pages: DataFrame, window: int = LINES, surge: int = SURGE) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (``page_id``, ``url``, ``html``; other columns are ignored).
 
-    Null and empty pages, and pages without an article, give the empty text. Broken markup is read as far as it goes: tags that
-    close nothing are ignored, elements left open end with what holds them. A page of any length is read whole, in time in proportion
-    to it. Texts of equal weight are all kept, as are all that surge. Repeated rows give equal texts, an empty table none.
+    Null and empty pages, and pages whose text is all of menus, footers and the like, give the empty text. Broken markup is read as far as
+    it goes: tags that close nothing are ignored, elements left open end with what holds them. A page of any length is read whole, in time
+    in proportion to it. Texts of equal weight are all kept. Repeated rows give equal texts, an empty table none.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return map_rows(rows, _extract(window, surge), PAGES)

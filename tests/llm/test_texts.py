@@ -4,10 +4,12 @@ import collections
 import datetime
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from meterflow.llm import html, language, pseudonyms, repetition, secrets, toxicity
 from meterflow.llm.texts import word_hashes
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_word_hashes():
     texts = ["a b  A\n", "", None, " x\x0by", "a"]
@@ -232,6 +236,52 @@ def test_class_names_alone_do_not_empty_a_page():
     assert html.main_text(f'<article><p>Own.</p><div class="sidebar"><p>{text}</p></div></article>') == "Own."
 
 
+def test_distribution_alone_finds_the_text():
+    pages = duckdb.sql(f"select html from '{SF_DIR}/pages.parquet'").fetchall()
+    same = sum(html.main_text(p, signs=False) == html.main_text(p) for (p,) in pages)
+    assert same >= 0.9 * len(pages)
+    # Without signs, and with a window that never dives or a surge nothing reaches, more than the article stays or less.
+    assert sum(html.main_text(p, signs=False, share=0, surge=1) == html.main_text(p) for (p,) in pages) < 0.2 * len(pages)
+
+
+def test_weights_decide_against_elements_and_names():
+    text = "A long text with enough words in it to be one, whatever the names of its classes say. "
+    small = "<article><p>Tiny.</p></article>"
+    assert html.main_text(f"<body>{small}<div><p>{text * 9}</p><p>{text}</p></div></body>") == "\n".join([(text * 9).strip(), text.strip()])
+    assert html.main_text(f'<body><div><p>{text}</p><p>x</p></div><div class="widget"><p>{text * 40}</p></div></body>').endswith((text * 40).strip())
+    assert html.main_text(f"<body><div><p>{text * 9}</p><p>x</p></div><div><p>{text}</p><p>y</p></div></body>").split("\n")[1:] == ["x"]
+    assert html.main_text(f"<body><h1>Title</h1><div><p>{text}</p><p>x</p></div><footer>{text * 9}</footer></body>") == f"Title\n{text.strip()}\nx"
+    assert html.main_text(f"<body><footer>{text}</footer></body>") == ""
+
+
+def brute_main_text(parts, window, surge, share):
+    """Texts of unmarked parts, each a list of lines: laid out with empty lines between, summed window by window."""
+    laid = []
+    for part in parts:
+        laid += [(t, len(t)) for t in part] + [(None, 0)] * window
+    sums = [sum(w for _, w in laid[i : i + window]) for i in range(len(laid))]
+    least, texts, now = min(surge, max(sums)), [], None
+    for i, (t, w) in enumerate(laid):
+        if not sums[i]:
+            now = None
+        elif now is None and w and sums[i] >= least:
+            now = []
+            texts.append(now)
+        if now is not None and t is not None:
+            now.append(t)
+    top = max(sum(map(len, x)) for x in texts)
+    return "\n".join(t for x in texts if sum(map(len, x)) >= share * top for t in x)
+
+
+def test_surges_and_dives_as_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(400):
+        parts = [["x" * rng.choice([1, 5, 20, 60, 200]) for _ in range(rng.randrange(2, 7))] for _ in range(rng.randrange(2, 5))]
+        page = "".join("<div>" + "".join(f"<p>{t}</p>" for t in part) + "</div>" for part in parts)
+        for window, surge, share in ((3, 80, 0.25), (1, 50, 0.5), (5, 300, 0.1)):
+            assert html.main_text(page, window, surge, share) == brute_main_text(parts, window, surge, share)
+
+
 def test_many_open_elements_take_linear_time():
     started = time.monotonic()
     assert html.main_text("<article>" + "<div></section>" * 100_000 + "deep") == "deep"
