@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
@@ -18,9 +18,13 @@ from meterflow.session import small_side, written
 #: Words of a window; an item with fewer is one window.
 WINDOW = 8
 
-#: Words of a window that have to be plain ones, as a share; windows of an item with fewer are compared by their literal words.
+#: Words of a window that have to be plain ones, as a share; windows of an item with fewer are compared by their literal words, and
+#: by their template once they are as much longer as it takes to hold as many plain words.
 PLAIN = 0.5
 
+#: Size that stands for such longer windows.
+WIDE = 0
+
 #: Windows of the benchmark up to which documents are searched for them before the join.
 MAX_KNOWN = 2_000_000
 
@@ -51,6 +55,7 @@ PLACES = StructType(
         StructField("item_id", LongType()),
         StructField("place", IntegerType(), False),
         StructField("literal", BooleanType(), False),
+        StructField("wide", BooleanType(), False),
         StructField("changed", BooleanType(), False),
     ]
 )
@@ -157,10 +162,30 @@ def _rolled(symbol: np.ndarray, size: int, literal: bool) -> np.ndarray:
     return mix(out)
 
 
+def _wide(symbol: np.ndarray, slot: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of the stretches of one text from a plain word to the next but so many, where these are longer than a window.
+
+    A word lies in no more of them than a window needs plain words, so they take time and memory in proportion to the text.
+    """
+    plain = np.flatnonzero(~slot)
+    needed = int(np.ceil(PLAIN * WINDOW))
+    begin, end = plain[: max(0, len(plain) - needed + 1)], plain[needed - 1 :] + 1
+    ok = (owner[begin] == owner[end - 1]) & (end - begin > WINDOW)
+    begin, end = begin[ok], end[ok]
+    if not len(begin):
+        return begin, end, np.zeros(0, dtype=np.uint64)
+    length = end - begin
+    starts = np.cumsum(length) - length
+    place = np.arange(length.sum()) - np.repeat(starts, length)
+    with np.errstate(over="ignore"):
+        words = mix(symbol[np.repeat(begin, length) + place] + mix(place.astype(np.uint64) + np.uint64(1)))
+        return begin, end, mix(np.add.reduceat(words, starts) + length.astype(np.uint64))
+
+
 def _windows(sizes: list[tuple[int, bool]], known, by_item: bool):
     """Windows of each text, for each number of words and whether they are literal, whose hash is in ``known`` (all if that is None).
 
-    Items have literal windows where there are too few plain words, documents everywhere, as the same words may be placeholders
+    Items have literal windows where there are too few plain words, and wide ones from a plain word on; documents have literal windows everywhere, as the same words may be placeholders
     or not by their spelling and what stands before them. A literal window has no placeholders.
     """
 
@@ -174,31 +199,34 @@ def _windows(sizes: list[tuple[int, bool]], known, by_item: bool):
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 slots_before = np.concatenate([[0], np.cumsum(slot)])
                 for size, literal in sizes:
-                    if len(symbol) < size:
-                        continue
-                    h = _rolled(value if literal else symbol, size, literal)
-                    if table is not None:
-                        at = np.flatnonzero(table[(h & np.uint64(len(table) - 1)).astype(np.int64)])
-                        at = at[hashes[np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)] == h[at]]
+                    if size == WIDE:
+                        at, end, h = _wide(symbol, slot, owner)
                     else:
+                        h = _rolled(value if literal else symbol, size, literal)
                         at = np.arange(len(h))
-                    at = at[owner[at] == owner[at + size - 1]]
-                    if by_item:
-                        # An item has windows of the full size, or one of its own size if it is shorter.
-                        length = np.diff(first)[owner[at]]
-                        at = at[(size == WINDOW) & (length >= size) | (size < WINDOW) & (length == size)]
-                    held = slots_before[at + size] - slots_before[at]
-                    if by_item or not literal:
-                        at = at[(held > (1 - PLAIN) * size) == literal]
+                        end = at + size
+                    if table is not None:
+                        ok = np.flatnonzero(table[(h & np.uint64(len(table) - 1)).astype(np.int64)])
+                        ok = ok[hashes[np.minimum(np.searchsorted(hashes, h[ok]), len(hashes) - 1)] == h[ok]]
+                        at, end, h = at[ok], end[ok], h[ok]
+                    if size != WIDE:
+                        ok = owner[at] == owner[end - 1]
+                        if by_item:
+                            # An item has windows of the full size, or one of its own size if it is shorter.
+                            length = np.diff(first)[owner[at]]
+                            ok &= (size == WINDOW) & (length >= size) | (size < WINDOW) & (length == size)
+                        if by_item or not literal:
+                            ok &= (slots_before[end] - slots_before[at] > (1 - PLAIN) * size) == literal
+                        at, end, h = at[ok], end[ok], h[ok]
                     if not len(at):
                         continue
-                    held = np.zeros(len(at), np.int64) if literal else slots_before[at + size] - slots_before[at]
-                    values = [value[a : a + size][slot[a : a + size]] for a in at[held > 0]]
+                    held = np.zeros(len(at), np.int64) if literal else slots_before[end] - slots_before[at]
+                    values = [value[a:b][slot[a:b]] for a, b in zip(at[held > 0], end[held > 0], strict=True)]
                     flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
                     owners = owner[at]
                     yield {
                         "id": ids[owners] if ids is not None else [id_list[i] for i in owners.tolist()],
-                        "hash": h[at].view(np.int64),
+                        "hash": h.view(np.int64),
                         "size": np.full(len(at), size, dtype=np.int32),
                         "at": (at - first[owners]).astype(np.int32),
                         "literal": np.full(len(at), literal),
@@ -247,11 +275,11 @@ def _agreeing(windows: list[tuple]) -> list[tuple]:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in PLACES}
-        for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "windows")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "windows", "wide")], strict=True):
             windows = [(w["item_at"], w["item_slots"], w["slots"], w["literal"]) for w in row[2]]
             changed = any(own != other for _, own, other, _ in windows)
             for place, _, _, literal in _agreeing(windows):
-                for name, value in zip(out, (*row[:2], place, literal, changed), strict=True):
+                for name, value in zip(out, (*row[:2], place, literal, row[3], changed), strict=True):
                     out[name].append(value)
         yield out
 
@@ -266,11 +294,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3)
     its windows or more count.
 
     Returns a row for each pair found: ``doc_id, item_id, n_windows, n_matched, share, reworded`` (whether some value
-    differs). Windows of more placeholders than plain words match by their literal words, so only exact copies of them are found; ``share``
-    is that of all windows or that of the others, whichever is greater. Null and empty texts, and rows with null ids match nothing. Items or documents that repeat an id are taken as one. Empty tables give no rows.
+    differs). Windows of more placeholders than plain words match by their literal words, and those that begin at a plain word also
+    by their template up to the fourth plain word, judged as passages of their own. ``share`` is that of all windows, that of the templates or that of
+    the templates of eight words, whichever is greatest; so an item of fewer than four plain words is found by exact copies only. Null and empty texts, and rows with null ids match nothing. Items or documents that repeat an id are taken as one. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text").where(F.col("id").isNotNull())
-    items = written(map_rows(items, _windows([(n, k) for n in range(1, WINDOW + 1) for k in (False, True)], None, True), WINDOWS), "items")
+    items = written(map_rows(items, _windows([(n, k) for n in range(1, WINDOW + 1) for k in (False, True)] + [(WIDE, False)], None, True), WINDOWS), "items")
     sizes, windows = items.agg(F.collect_set(F.struct("size", "literal")), F.count(F.lit(1))).first()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where(F.col("id").isNotNull())
     # Few windows of documents are left if the benchmark's are known before; else all of them meet in the join.
@@ -278,23 +307,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3)
     right = small_side(items.select("hash", "size", "literal", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots")))
     hits = seen.withColumnRenamed("id", "doc_id").join(right, ["hash", "size", "literal"])
     # Repeated windows of one item at one distance are one row: a group has no more rows than its item has windows.
-    passages = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
+    wide = (F.col("size") == WIDE).alias("wide")
+    passages = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), wide).agg(
         F.collect_set(F.struct("item_at", "item_slots", "slots", "literal")).alias("windows")
     )
-    good = map_rows(passages.select("doc_id", "item_id", "windows"), _places, PLACES)
-    places = lambda c: (F.countDistinct(c), F.countDistinct(F.when(~F.col("literal"), F.col(c))))
-    matched, matched_templates = places("place")
-    found = good.groupBy("doc_id", "item_id").agg(
-        matched.alias("n_matched"), matched_templates.alias("matched_templates"), F.max("changed").alias("reworded")
-    )
-    all_, templates = places("at")
-    size_of = items.groupBy(F.col("id").alias("item_id")).agg(all_.alias("n_windows"), templates.alias("n_templates"))
-    # Literal windows can't be found with other values, so they don't lower the share of the others.
-    share = F.greatest(
-        F.col("n_matched") / F.col("n_windows"), F.when(F.col("n_templates") > 0, F.col("matched_templates") / F.col("n_templates"))
-    )
+    good = map_rows(passages.select("doc_id", "item_id", "windows", "wide"), _places, PLACES)
+
+    def places(c: str, wide: Column) -> list[Column]:
+        """Numbers of all windows, of templates, and of those of eight words."""
+        return [F.countDistinct(c), F.countDistinct(F.when(~F.col("literal"), F.col(c))), F.countDistinct(F.when(~F.col("literal") & ~wide, F.col(c)))]
+
+    def named(counts: list[Column], prefix: str) -> list[Column]:
+        return [c.alias(f"{prefix}_{n}") for c, n in zip(counts, ("windows", "templates", "short"), strict=True)]
+
+    found = good.groupBy("doc_id", "item_id").agg(*named(places("place", F.col("wide")), "matched"), F.max("changed").alias("reworded"))
+    size_of = items.groupBy(F.col("id").alias("item_id")).agg(*named(places("at", F.col("size") == WIDE), "n"))
+    # Literal windows can't be found with other values, so they don't lower the share of the others, nor do long templates that of short ones.
+    of = [F.when(F.col(f"n_{n}") > 0, F.col(f"matched_{n}") / F.col(f"n_{n}")) for n in ("windows", "templates", "short")]
+    share = F.greatest(*of)
     found = found.join(small_side(size_of), "item_id").withColumn("share", share).where(F.col("share") >= min_share)
-    return found.select("doc_id", "item_id", "n_windows", "n_matched", "share", F.col("reworded").cast(BooleanType()).alias("reworded"))
+    return found.select("doc_id", "item_id", "n_windows", F.col("matched_windows").alias("n_matched"), "share", F.col("reworded").cast(BooleanType()).alias("reworded"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3) -> DataFrame:

@@ -183,6 +183,40 @@ def test_windows_of_few_plain_words_match_literally(spark, docs):
     assert not got[3, 3].reworded
 
 
+def test_windows_of_mostly_numbers_match_with_other_numbers(spark, docs):
+    item = "Compute 13 + 24 * 55 - 7 / 9 , then add 15 and 18 ."
+    long = "Take the row " + " ".join(map(str, range(100, 3100))) + " and then stop here ."
+    texts = {
+        1: "so Compute 13 + 24 * 55 - 7 / 9 , then add 15 and 18 . yes",
+        2: "so compute 17 + 20 * 51 - 8 / 3 , then add 11 and 19 . yes",
+        3: "so compute 17 + 20 * 51 - 8 / 3 , then sum 11 and 19 . yes",  # another word
+        4: "so compute 17 + 20 * 51 - 8 / 3 / 2 , then add 11 and 19 . yes",  # one number more
+        5: "so compute 17 + 17 * 17 - 17 / 17 , then add 17 and 17 . yes",  # one counterpart of all
+        6: "take the row " + " ".join(map(str, range(5000, 8000))) + " and then stop here .",
+    }
+    got = found(docs, spark, texts, [(1, item), (2, long)])
+    assert set(got) == {(1, 1), (2, 1), (6, 2)} and got[2, 1].reworded and got[6, 2].reworded and not got[1, 1].reworded
+
+
+def test_wide_windows_against_brute_force():
+    rng = random.Random(4)
+    seen: dict = {}
+    for _ in range(300):
+        texts = [" ".join(rng.choices(["xx", "yy", "7", "12"], [3, 2, 8, 8], k=rng.randrange(40))) for _ in range(rng.randrange(1, 4))]
+        _, symbol, slot, first = templates.template(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        begin, end, h = templates._wide(symbol, slot, owner)
+        want = []
+        for t, text in enumerate(texts):
+            words = text.split()
+            plain = [i for i, w in enumerate(words) if w.isalpha()]
+            want += [(first[t] + i, first[t] + j + 1) for i, j in zip(plain, plain[3:]) if j + 1 - i > 8]
+        assert list(zip(begin, end, strict=True)) == want
+        for b, e, x in zip(begin, end, h, strict=True):
+            assert seen.setdefault(int(x), tuple(symbol[b:e])) == tuple(symbol[b:e])
+    assert len(set(seen.values())) == len(seen) > 300
+
+
 def test_templates_against_brute_force(spark, docs):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
