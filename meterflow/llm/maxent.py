@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -32,6 +34,12 @@ STEP_TOKENS = 8192
 #: Rounds of training; each document is in one of them.
 ROUNDS = 2
 RATE = 0.05
+#: Bytes of text that are split into words and scored at once.
+PART_BYTES = 2 << 20
+#: Logits whose exponentials can be summed as they are.
+SAFE = 60.0
+#: Heights of blocks of gradients: 1, 2, 3, 4, 6, 8, 12 and so on.
+_HEIGHTS = np.array(sorted({h << k for k in range(30) for h in (1, 2, 3)}))
 
 _COUNTS = StructType([StructField("word", StringType(), False), StructField("n", LongType(), False)])
 _UPDATES = StructType(
@@ -66,6 +74,14 @@ class Vocabulary:
     size: int  #: words of the model
     bias: np.ndarray  #: log shares of the classes, then of the words of each class
 
+    @cached_property
+    def words(self) -> pa.Array:
+        return pa.array(list(self.places), type=pa.binary())
+
+    def find(self, words: pa.Array, first: int) -> np.ndarray:
+        """Places of words given as bytes, -1 for those that aren't among the first ``first`` words."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words[:first]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
 @dataclass
 class LanguageModel:
@@ -121,10 +137,9 @@ def vocabulary(counts: DataFrame, tokens: int) -> Vocabulary:
     return Vocabulary({w: i for i, (w, _) in enumerate(rows)}, n, size, bias.astype(np.float32))
 
 
-def _tokens(words, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all tokens, an end after each text (-1: not known), the text of each token, and known places of distinct words."""
-    found = map(known.places.get, words.distinct.to_pylist(), iter(lambda: -1, 0))
-    of_distinct = np.fromiter(found, dtype=np.int64, count=len(words.distinct))
+def _tokens(words, known: Vocabulary, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all tokens, an end after each text (-1: not among the first words), the text of each token, and places of distinct words."""
+    of_distinct = known.find(words.distinct, first)
     n_texts = len(words.first) - 1
     place = np.insert(of_distinct[words.codes], words.first[1:], known.places.get(b"", -1))
     return place, np.repeat(np.arange(n_texts), np.diff(words.first) + 1), of_distinct
@@ -154,29 +169,64 @@ def _hashed(keys: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(40)).astype(np.int64) & (ROWS - 1)
 
 
-def _shares(rows: np.ndarray, bias: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Log-softmax of each token over the outputs of one factor; ``rows`` holds its feature rows."""
-    logits = weights[rows[:, 0]]
+def _softmax(
+    rows: np.ndarray, bias: np.ndarray, of_bias: np.ndarray, weights: np.ndarray, target: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's softmax over the outputs of one factor: ``rows`` holds its feature rows, ``of_bias`` the line of
+    ``bias`` that counts for it, ``target`` the output that came.
+
+    Returns exponentials of the logits, their sums by token and the logits of the targets; a line of zeros follows the
+    exponentials. Logits are shifted by their maxima only where exponentials could leave the range of the numbers.
+    """
+    lines = np.empty((len(rows) + 1, WIDTH), dtype=np.float32)
+    lines[-1] = 0
+    logits = lines[:-1]
+    weights.take(rows[:, 0], axis=0, out=logits, mode="clip")
     for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+        logits += weights.take(rows[:, k], axis=0, mode="clip")
+    logits += bias.take(of_bias, axis=0)
+    at = np.arange(len(rows)), target
+    if not (logits.max() < SAFE and logits[at].min() > -SAFE):
+        logits -= logits.max(axis=1, keepdims=True)
+    mine = logits[at]
+    return lines, np.einsum("ij->i", np.exp(logits, out=logits)), mine
+
+
+def _row_sums(grad: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of weights that tokens use, how often, and the sums of these tokens' lines of ``grad``.
+
+    Rows used about equally often are summed at once, as blocks of one height: numpy adds along the middle of three
+    axes far faster than over stretches of uneven length. The last line of ``grad`` is zeros and fills blocks up.
+    """
+    flat = rows.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    token = order // rows.shape[1]
+    flat = flat[order]
+    first = np.flatnonzero(np.diff(flat, prepend=flat[:1] + np.uint16(1)))
+    count = np.diff(first, append=len(flat))
+    total = np.empty((len(first), WIDTH), dtype=np.float32)
+    height = np.searchsorted(_HEIGHTS, count)
+    for h in np.unique(height):
+        at = np.flatnonzero(height == h)
+        steps = np.arange(_HEIGHTS[h])
+        lines = token.take(first[at][:, None] + steps, mode="clip")
+        lines[steps >= count[at][:, None]] = len(grad) - 1
+        total[at] = grad.take(lines, axis=0, mode="clip").sum(axis=1)
+    return flat[first].astype(np.int64), count, total
 
 
 def _steps(place: np.ndarray, owner: np.ndarray, known: Vocabulary):
-    """For slices of tokens and both factors: the factor, the tokens, their feature rows, biases and targets."""
+    """For slices of tokens and both factors: the factor, the tokens, their feature rows, lines of the bias and targets."""
     keys, group, slot = features(place, owner, known.size)
     for a in range(0, len(place), STEP_TOKENS):
         b = min(a + STEP_TOKENS, len(place))
         g = group[a:b]
-        yield 0, np.arange(a, b), _hashed(keys[a:b]), known.bias[:1], g
+        yield 0, np.arange(a, b), _hashed(keys[a:b]), np.zeros(b - a, dtype=np.int64), g
         at = np.flatnonzero(g < WIDTH - 1)
         if len(at):
             # Features of words count for each class apart.
             inner = _hashed(keys[a:b][at] * WIDTH + g[at][:, None] + 1)
-            yield 1, a + at, inner, known.bias[1 + g[at]], slot[a:b][at]
+            yield 1, a + at, inner, 1 + g[at], slot[a:b][at]
 
 
 def _train(known: Broadcast, start: Broadcast):
@@ -189,22 +239,16 @@ def _train(known: Broadcast, start: Broadcast):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_words(bytes_column(part, "text"), lower=True)
-                place, owner, _ = _tokens(words, known.value)
-                for factor, at, rows, bias, target in _steps(place, owner, known.value):
-                    grad = np.exp(_shares(rows, bias, weights[factor]))
+                place, owner, _ = _tokens(words, known.value, known.value.size)
+                for factor, at, rows, of_bias, target in _steps(place, owner, known.value):
+                    grad, sums, _ = _softmax(rows, known.value.bias, of_bias, weights[factor], target)
+                    grad[:-1] /= sums[:, None]
                     grad[np.arange(len(at)), target] -= 1
-                    # Sums of the gradient for each row that some token of this step uses.
-                    flat = rows.ravel().astype(np.uint16)
-                    order = np.argsort(flat, kind="stable")
-                    row = flat[order].astype(np.int64)
-                    first = np.flatnonzero(np.diff(row, prepend=-1))
-                    row = row[first]
-                    # Two outputs are summed at once as one complex number.
-                    pairs = grad[order // FEATURES].view(np.complex64)
-                    total = np.add.reduceat(pairs, first, axis=0).view(np.float32)
-                    squares[factor, row] += np.mean(total * total, axis=1)
-                    weights[factor, row] -= RATE * total / np.sqrt(squares[factor, row])[:, None]
-                    used[factor, row] += np.diff(np.append(first, len(flat)))
+                    row, count, total = _row_sums(grad, rows)
+                    squares[factor, row] += np.einsum("ij,ij->i", total, total) / WIDTH
+                    total *= (RATE / np.sqrt(squares[factor, row]))[:, None]
+                    weights[factor, row] -= total
+                    used[factor, row] += count
         for factor in (0, 1):
             row = np.flatnonzero(used[factor])
             for part in np.array_split(row, max(1, len(row) // 1024)):
@@ -257,13 +301,14 @@ def _score(known: Broadcast, weights: Broadcast):
         number = TaskContext.get().partitionId() << 40
         logs = np.log10(vocab.counts + 1.0)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 n = len(part)
                 words = split_words(bytes_column(part, "text"), lower=True)
-                place, owner, of_distinct = _tokens(words, vocab)
+                place, owner, of_distinct = _tokens(words, vocab, len(vocab.places))
                 total = np.zeros(len(place))
-                for factor, at, rows, bias, target in _steps(place, owner, vocab):
-                    total[at] += _shares(rows, bias, tables[factor])[np.arange(len(at)), target]
+                for factor, at, rows, of_bias, target in _steps(place, owner, vocab):
+                    _, sums, mine = _softmax(rows, vocab.bias, of_bias, tables[factor], target)
+                    total[at] += mine - np.log(sums)
                 held = place >= 0
                 outside = place >= vocab.size
                 base = np.zeros(len(place))

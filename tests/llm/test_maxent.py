@@ -118,3 +118,44 @@ def test_query(spark, docs, tmp_path):
         names = tokens(texts[r.doc_id])
         assert r.held_out == held[r.doc_id] and r.n_known == sum(counts[w] > 0 for w in names)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in names))
+
+
+def test_sums_of_gradients():
+    rng = np.random.default_rng(3)
+    # Rows used once, a few times, very often, and three times by one token.
+    rows = np.minimum(rng.zipf(1.3, (3000, maxent.FEATURES)) - 1, maxent.ROWS - 1)
+    rows[7] = maxent.ROWS - 1
+    grad = np.vstack([rng.standard_normal((3000, maxent.WIDTH)), np.zeros((1, maxent.WIDTH))]).astype(np.float32)
+    wanted = np.zeros((maxent.ROWS, maxent.WIDTH))
+    np.add.at(wanted, rows.ravel(), np.repeat(grad[:-1].astype(float), maxent.FEATURES, axis=0))
+    row, count, total = maxent._row_sums(grad, rows)
+    assert row.tolist() == np.unique(rows).tolist() and count.tolist() == np.unique(rows, return_counts=True)[1].tolist()
+    assert np.abs(total - wanted[row]).max() < 1e-3
+    row, count, total = maxent._row_sums(grad[[0, -1]], rows[:1] * 0)
+    assert (row.tolist(), count.tolist()) == ([0], [3]) and np.allclose(total, 3 * grad[:1])
+
+
+@pytest.mark.parametrize("size", [1.0, 60.0, 3000.0])
+def test_softmax_of_any_size(size):
+    """Shares are right also where exponentials of the logits would leave the range of the numbers."""
+    rng = np.random.default_rng(5)
+    weights = (rng.standard_normal((maxent.ROWS, maxent.WIDTH)) * size).astype(np.float32)
+    bias = rng.standard_normal((3, maxent.WIDTH)).astype(np.float32)
+    bias[:, -3:] = -np.inf  # outputs without a word
+    rows = rng.integers(0, maxent.ROWS, (500, maxent.FEATURES))
+    of_bias, target = rng.integers(0, 3, 500), rng.integers(0, maxent.WIDTH - 3, 500)
+    lines, sums, mine = maxent._softmax(rows, bias, of_bias, weights, target)
+    logits = weights[rows].astype(float).sum(axis=1) + bias[of_bias]
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    assert np.allclose(lines[:-1] / sums[:, None], np.exp(logits), atol=1e-3) and not lines[-1].any()
+    assert np.allclose(mine - np.log(sums), logits[np.arange(500), target], rtol=1e-4, atol=1e-3)
+
+
+def test_places_of_words():
+    held = maxent.Vocabulary({b"": 0, b"a": 1, "\u00e5".encode(): 2}, np.array([3, 2, 1]), 3, np.zeros((65, 64), np.float32))
+    words = maxent.split_words([b"b A \xc3\xa5 a", None], lower=True).distinct
+    assert dict(zip(words.to_pylist(), held.find(words, 3))) == {b"b": -1, b"a": 1, "\u00e5".encode(): 2}
+    assert sorted(held.find(words, 2)) == [-1, -1, 1]
+    empty = maxent.Vocabulary({}, np.zeros(0, np.int64), 0, np.zeros((65, 64), np.float32))
+    assert empty.find(words, 0).tolist() == [-1] * 3 and len(empty.find(words[:0], 0)) == 0
