@@ -187,7 +187,9 @@ def meter_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</Timestamp></DataRecord></MBusData>"),
     )
     path = scratch_path(spark, "meter-replies")
-    table(spark, sf_dir, "lineitem").select(reply.alias("value")).write.text(path)
+    # A reply is mostly the same tags. Compressed files are read as one part each, so they stay small (about 36 MB of text).
+    feed = table(spark, sf_dir, "lineitem").select(reply.alias("value"))
+    feed.write.option("maxRecordsPerFile", 100_000).text(path, compression="gzip")
     devices, records = read_meter_xml(spark, path, address=1)
     makers = devices.groupBy("id").agg(F.max("manufacturer").alias("manufacturer"))
     rows = records.join(small_side(makers), "id")

@@ -152,7 +152,7 @@ def read_replies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Meter replies from files that hold one reply, many under one root, or many in a row.
 
     Splitting the text at the closing tag lets large files be read in parallel parts;
-    a whole-file XML read stops after the first root element.
+    a whole-file XML read stops after the first root element. Files may be compressed, each with gzip is then one part.
     """
     close = "</MBusData>"
     text = spark.read.text(path, lineSep=close)
@@ -184,8 +184,9 @@ def read_meter_replies(
     """Meter replies of one bus address -> (device rows, record rows, rejected replies).
 
     All are made from the parsed replies, which are stored once: parsing costs far more
-    than reading them back.
+    than reading them back. The text is stored of rejected replies only, as nothing else needs it.
     """
-    replies = written(read_replies(spark, path), "replies")
-    good = replies.where(F.col("SlaveInformation.Id").isNotNull())
+    device = F.col("SlaveInformation.Id")
+    replies = written(read_replies(spark, path).withColumn("reply", F.when(device.isNull(), F.col("reply"))), "replies")
+    good = replies.where(device.isNotNull())
     return reply_devices(good, address), reply_records(good, address), reply_rejects(replies)

@@ -1,9 +1,13 @@
+import gzip
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from meterflow import schemas
+from __spark_entry__ import QUERIES
+from meterflow import schemas, session
+from meterflow.session import written
+from meterflow.sources import files
 from meterflow.sources import (
     append,
     csv_lines,
@@ -250,3 +254,33 @@ def test_pages_in_one_file(spark, tmp_path):
     page = "<html><body>" + ",".join(str(10 * n) for n in range(26)) + "<br>\n</body></html>"
     path = put(tmp_path, "many.html", "\n".join([page] * 3) + "\n")
     assert [r.circuit9_cumul for r in read_counter_pages(spark, path).collect()] == [90] * 3
+
+
+def test_compressed_replies(spark, tmp_path, rows):
+    text = "\n".join(reply(f"d{n}", n, one(1, n)) for n in range(50))
+    put(tmp_path, "plain/a.xml", text)
+    os.makedirs(tmp_path / "packed")
+    with gzip.open(tmp_path / "packed/a.xml.gz", "wt") as f:
+        f.write(text)
+    (plain, there), (packed, here) = (read_meter_xml(spark, str(tmp_path / d)) for d in ("plain", "packed"))
+    assert plain.count() == 50 and rows(plain) == rows(packed) and rows(there) == rows(here)
+
+
+def test_text_of_good_replies_is_not_stored(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(files, "written", lambda df, name: stored.append(written(df, name)) or stored[-1])
+    put(tmp_path, "a.xml", reply("d1", 1, one(1, 5)) + "<MBusData><SlaveInformation><Manufact")
+    devices, records, rejects = read_meter_replies(spark, str(tmp_path), 3)
+    assert [(r.SlaveInformation.Id if r.SlaveInformation else None, r.reply is None) for r in stored[0].orderBy("reply").collect()] == [("d1", True), (None, False)]
+    assert [r.raw[:40] for r in rejects.collect()] == ["<MBusData><SlaveInformation><Manufact</M"]
+
+
+def test_meter_xml_writes_little(spark, tmp_path, monkeypatch):
+    """What the query stores, replies and parsed rows, stays far below the length of its replies (about 365 bytes)."""
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    rows = QUERIES["meter_xml"](spark, sf_dir).count()
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names)
+    assert rows > 1000 and 0 < size < 100 * rows
