@@ -18,6 +18,11 @@ from pyspark.sql.types import StructType
 #: Bytes of text that are worked on at once inside a task; one longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch sent to a task's Python worker, unless the session sets a number. Batches are held on both sides, and
+#: the default of 10,000 rows or 64 MB lets two tasks of an executor hold hundreds of MB of texts they work on 1 MB at a time.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 _shipped: set[str] = set()
 
@@ -39,6 +44,8 @@ def ship(spark: SparkSession) -> None:
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: StructType) -> DataFrame:
     """``mapInArrow`` for functions that give each output batch as a dict of columns."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)

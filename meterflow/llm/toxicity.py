@@ -23,7 +23,7 @@ MAX_ROWS = 6_000
 MAX_CHARS = 10_000
 
 #: Words whose margin a worker remembers, and words that are looked up at once.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 WORD_BLOCK = 10_000
 
 WORD = re.compile(r"\w+")

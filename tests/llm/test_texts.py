@@ -503,3 +503,15 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert len(rows) == 9 and {(r.score, r.predicted) for r in rows} == {(0.5, 0)}
     assert toxicity.without_toxic(odd, model).columns == odd.columns and toxicity.without_toxic(odd, model).count() == 9
     assert toxicity.toxicity_scores(none, model).count() == 0
+
+
+def test_batches_of_long_texts_are_small(docs):
+    """A task's Python worker gets texts in batches of a few MB, not all rows of its partition at once."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from meterflow.llm.texts import map_rows
+
+    rows = docs(*[(i, "word " * 20_000) for i in range(300)]).coalesce(1)
+    sizes = map_rows(rows.select("text"), lambda batches: ({"n": [b.nbytes]} for b in batches), StructType([StructField("n", LongType())]))
+    got = [r.n for r in sizes.collect()]
+    assert sum(got) > 29_000_000 and max(got) < 8 << 20
